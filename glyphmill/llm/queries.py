@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, decontaminate, line_dedup, slot_shards, source_mix, url_filter, vector_topk
+from glyphmill.llm import chat_format, decontaminate, line_dedup, quality, slot_shards, source_mix, toxicity, url_filter, vector_topk
 from glyphmill.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -167,3 +167,15 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id
 """
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select("row.doc_id", *chain.names, (F.col(chain.names[-1]) >= toxicity.THRESHOLD).alias("rejected"))
