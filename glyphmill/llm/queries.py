@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, decontaminate, line_dedup, quality, slot_shards, source_mix, toxicity, url_filter, vector_topk
+from glyphmill.llm import chat_format, decontaminate, line_dedup, ngram_join, quality, slot_shards, source_mix, toxicity, url_filter, vector_topk
 from glyphmill.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -179,3 +179,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).select("row.doc_id", *chain.names, (F.col(chain.names[-1]) >= toxicity.THRESHOLD).alias("rejected"))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 90 * (a.n + b.n - common)
+), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l), r(doc_id, root) AS (
+  SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(root) FROM r WHERE r.doc_id = d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -141,7 +141,7 @@ def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[byt
     n, pos = F.col("n"), F.col("pos")
     expected = n * (total["pos"] / total["n"])
     chi = (pos - expected) * (pos - expected) / (expected * (1 - n / (total["n"] + 1)))
-    best = sums.where((F.octet_length("word") > 0) & (n >= 3) & (pos > expected) & (chi >= least)).orderBy(chi.desc(), "word").limit(8 * n_words)
+    best = sums.where((F.octet_length("word") > 0) & (n >= 3) & (pos > expected) & (chi >= least)).orderBy(chi.desc(), F.length("word").desc(), "word").limit(8 * n_words)
     chosen: dict[bytes, None] = {}
     for form in (bytes(r["word"]) for r in best.collect()):
         # A form adds nothing where a beginning of it has been chosen already.
