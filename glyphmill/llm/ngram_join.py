@@ -263,6 +263,8 @@ def link(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component, unchanged; rows without shingles all stay."""
-    kept = link(documents).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows whose doc_id is the smallest of its component, unchanged; rows without shingles or doc_id all stay."""
+    own = link(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = durable(own.where("not stays").select(F.col("doc_id").alias("gone_id")))
+    few = gone.count() <= BROADCAST_CLASSES
+    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")

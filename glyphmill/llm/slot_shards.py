@@ -88,6 +88,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r["slot"]: r["shard"] for r in rows.where(F.col("version") == version).collect()}
 
 
+def assign(documents: DataFrame, shards: int = 40) -> DataFrame:
+    """The rows of `documents` with `shard`. Nothing is shuffled but the slots' sums."""
+    spark = documents.sparkSession
+    totals = slot_sizes(with_slots(documents)).collect()  # SLOTS rows at most
+    slots = first_map({r["virtual_slot"]: r["bytes"] for r in totals}, shards)
+    where = F.broadcast(map_table(spark, 1, slots).select(F.col("slot").alias("own_slot"), "shard"))
+    own = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(SLOTS)).cast("int")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    return documents.select(row, own.alias("own_slot")).join(where, "own_slot").select("row.*", "shard")
+
+
 def shard(documents: DataFrame, shards: int = 40, slots: dict[int, int] | None = None, version: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (position in the shard), virtual_slot, map_version: a row per row.
 

@@ -83,14 +83,36 @@ def thresholds(docs: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     return state.select("source", "source_size", "target", "times", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("bar"))
 
 
-def mix(documents: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row per row of `documents`."""
+def _hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _plan(documents: DataFrame, most: int, cycle: int) -> tuple[DataFrame, DataFrame, bool]:
+    """A narrow table of the documents, the state of the sources, and whether the latter is small."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = durable(documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("h")))
+    docs = durable(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
     plan = durable(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle))
     small = (plan.agg(F.max("n_sources")).first()[0] or 0) <= BROADCAST_SOURCES
     state = thresholds(docs, plan.drop("n_sources"), small).withColumnRenamed("source", "s")
-    copies = F.col("times") + (_bucket(LEVELS - 1) < F.col("bar")).cast("long")
-    return docs.join(F.broadcast(state) if small else state, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    return docs, F.broadcast(state) if small else state, small
+
+
+def _copies() -> Column:
+    return F.col("times") + (_bucket(LEVELS - 1) < F.col("bar")).cast("long")
+
+
+def mix(documents: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: a row per row of `documents`."""
+    docs, state, _ = _plan(documents, most, cycle)
+    return docs.join(state, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken")
     )
+
+
+def mixed(documents: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
+    """The rows of `documents`, each as often as the mix takes it. Documents without words are taken as often as their source's others."""
+    _, state, _ = _plan(documents, most, cycle)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, _hash().alias("h"), F.col("source").alias("own"))
+    rows = rows.join(state, F.col("own").eqNullSafe(F.col("s")), "left").withColumn("copies", _copies()).where("copies > 0")
+    return rows.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "row").select("row.*")
