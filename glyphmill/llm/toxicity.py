@@ -15,7 +15,8 @@ counts of at most `n_words` forms reach the driver.  Every document's whole text
 
 Defined results: null and empty texts have no words and get the probability of that;
 repeated rows each get a row; rows with a null doc_id are scored and never trained on;
-a category without labels of both kinds has its share of label 1 as probability.
+a category without labels of both kinds has its share of label 1 as probability, and
+one without any label has nearly 0.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int =
     """Newton's method; the last column of x is the constant and isn't shrunk."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
-    base = np.clip(y.mean(), 1e-4, 1 - 1e-4) if len(y) else 0.5
+    base = np.clip(y.mean(), 1e-4, 1 - 1e-4) if len(y) else 1e-4
     w[-1] = np.log(base / (1 - base))
     if not len(y) or y.min() == y.max():
         return w

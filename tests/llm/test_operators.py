@@ -1,0 +1,421 @@
+"""Each operator against a plain version, on small tables with awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.llm import chat_format, decontaminate, line_dedup, ngram_join, quality, slot_shards, source_mix, toxicity, url_filter, vector_topk
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that clash with names the operators use inside.
+EXTRA = "h long, size long, d long, s string, row string, cls string, n string, tiles string, y string, spans string, items string, gone string"
+
+
+def vocabulary(n=60):
+    rng = random.Random(1)
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def corpus(seed=5, n=70):
+    rng, words = random.Random(seed), vocabulary()
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    rows = []
+    for i in range(n):
+        rows.append([i, "\n".join(say(rng.randint(1, 30)) for _ in range(rng.randint(1, 5)))])
+    for i in range(n, n + 30):  # copies and near copies
+        text = rows[rng.randrange(n)][1]
+        parts = text.split(" ")
+        if rng.random() < 0.7:
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+        rows.append([i, " ".join(parts)])
+    rows += [[900, None], [901, ""], [902, " \n\t "], [903, "one"], [904, "one two"], [905, "Two\x85\u00a0 Wörter"], [906, say(20_000)], [None, say(50)], [5, rows[5][1]], [5, rows[5][1]]]
+    return [(i, t, "en", rng.choice(["a", "b", None, "\U0001f600", "\uffff"]), len(t or "")) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(corpus(), DOCS)
+    for c in EXTRA.split(", "):
+        name, kind = c.split(" ")
+        df = df.withColumn(name, F.lit("1").cast(kind))
+    return df.repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+# 1
+
+
+def test_urls(spark):
+    urls = [
+        None, "", "nothing", "http://", "://x.org/", "http://A.Example.ORG/es/1?x=/fr/", "https://example.org/en/12", "http://example.org/EN/1", "http://notexample.org/es/", "http://a.com/fr/", "http://a.com/de/x#y",
+        "http://a.com?/fr/", "http://org/", "http://org", "ftp://a.b.net/file.zip?x", "ftp://a.b.net/zip", "http://x.net/?PHPSESSID=1", "http://a://b.com/de/", "http://a.com:80/de/", "http://ad.doubleclick.net/x", "http://Ü.org/",
+    ] * 2
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, token string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.SITE_RULES + url_filter.PATTERN_RULES)).collect()}
+    sites = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else None
+        host, path = ("", "") if rest is None else (low(re.match(r"[^/?#]*", rest)[0]), re.match(r"[^/?#]*([^?#]*)", rest)[1])
+        fits = [(len(h + p), h + p, v) for v, h, p in sites if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        # Without an index: every pattern is tried.
+        hits = [r for r in url_filter.PATTERN_RULES if u and re.search(r.regex, u)]
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == (verdict or ("block" if hits else "allow"))
+        assert (got[i]["pattern"] is None) == (not hits)
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark, url_filter.SITE_RULES)).count() == 0
+
+
+def test_rules_without_a_token_are_tried_everywhere(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/xx"), (2, "http://a.net/y")], "page_id long, url string")
+    rules = url_filter.rule_table(spark, [url_filter.pattern_rule("block", "x", "x+$"), url_filter.site_rule("allow", "b.net")])
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {1: "block", 2: "allow"}
+    del rules._rows  # a rule set of unknown size is joined by shuffle
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
+# 2
+
+
+def test_chat(spark):
+    rng = random.Random(3)
+    pieces = [*chat_format.CONTROLS, *(c[0] + "\\" * k + c[1:] for c in chat_format.CONTROLS for k in (1, 2)), "<", "[", "\\", "x", "\n", "|>", "é\U0001f600", " "]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "a</s>", None]), "".join(rng.choices(pieces, k=rng.randint(0, 9)))) for c in range(40) for t in range(rng.randint(1, 5))]
+    rows += [(100, None, "assistant", None), (100, 1, None, ""), (None, 1, "assistant", "z"), (101, 2, "user", "b"), (101, 2, "user", "b"), (102, 0, "user", "y" * 100_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, piece long").repartition(3)
+    formatted = chat_format.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat_format.digest(formatted).collect()}
+    texts = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+        loss = "".join(t for *_, r, t in turns if r == "assistant")
+        assert got[c]["round_trip"] and got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c]["formatted_chars"] == len(texts[c])
+        # Each control string that is left is one of the template's own.
+        assert sum(texts[c].count(x) for x in chat_format.CONTROLS) == 3 * len(turns)
+    assert chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+# 3
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_top_k(spark, block):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)], 1) for i in range(120)]
+    same = rows[7][1]
+    rows += [(i, same, 1) for i in range(200, 240)] + [(300, None, 1), (None, same, 1), (350, [None] * 6, 1), (400, [float("nan")] * 6, 1), (450, [float("inf")] * 6, 1), (500, [1.0], 1), (501, [2.0], 1), (550, [], 1), (600, [1e30] * 6, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_topk.top_k(df, df.where("vec_id % 10 = 0"), 5, block).collect())
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e6 for x in v)]
+    want = []
+    for q, a in ok:
+        if q % 10 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vector_topk.top_k(df, df, 5).count() == 0
+
+
+# 4
+
+
+def plain_components(rows):
+    sets = []
+    for _, text, *_ in rows:
+        w = [low(x) for x in words(text)]
+        sets.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                up[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), 10**9))
+    return Counter((r[0], len(s), r[0] if not s else least.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets)))
+
+
+def test_ngram_join(docs, none):
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs).collect())
+    assert got == plain_components(corpus())
+    assert ngram_join.link(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_ngram_join_on_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, own = random.Random(8), vocabulary(400)
+    base, rows = [rng.choice(own) for _ in range(150)], []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(len(text))] = rng.choice(own)
+        rows.append((i, " ".join(text), "en", "a", 1))
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(df).collect()) == plain_components(rows)
+
+
+def test_one_of_each(docs):
+    got = sorted((r["doc_id"] is None, r["doc_id"]) for r in ngram_join.one_of_each(docs).collect())
+    want = Counter()
+    for (i, n, c), k in plain_components(corpus()).items():
+        if i is None or i == c:
+            want[i] += k
+    assert Counter(i for _, i in got) == want
+
+
+# 5
+
+
+def test_mix(docs, none):
+    rows = source_mix.mix(docs).collect()
+    again = source_mix.mix(docs.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert len(rows) == len(corpus())
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in corpus():
+        sizes[s] += len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest, w = total - sum(3 * sizes[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * sizes[s] if s in capped else rest * weight[s] / w for s in order}
+        if not (new := {s for s in order if target[s] > 3 * sizes[s]}):
+            break
+        capped |= new
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in order:
+        assert abs(taken[s] - target[s]) <= largest[s]
+    assert source_mix.mix(none).count() == 0
+    assert source_mix.mixed(docs).count() == sum(r["copies"] for r in rows)
+    assert source_mix.mixed(docs).columns == docs.columns
+
+
+# 6
+
+
+def plain_hits(rows, bench):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    wins = defaultdict(set)
+    for i, t in bench:
+        w = split(t)
+        for k in range(max(1, len(w) - 12) if w and i is not None else 0):
+            wins[tuple(w[k : k + 13])].add(str(i))
+    out = Counter()
+    for i, t, *_ in rows:
+        w, hit, items = split(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if own := wins.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    items |= own
+        out[i, len(w), len(hit), ",".join(sorted(items)), len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 20])
+def test_decontamination(spark, docs, none, block_words):
+    rows = corpus()
+    text = rows[906 - 900 + 100][1]
+    bench = [(1, " ".join(words(rows[3][1])[:20])), (2, rows[12][1].upper()), (10, " ".join(words(text)[50:90])), (11, "one"), (12, None), (13, ""), (None, rows[4][1]), (14, " ".join(words(text)[60:75])), (14, " ".join(words(text)[300:320]))]
+    items = spark.createDataFrame([(*b, 1) for b in bench], "item_id long, text string, row int")
+    found = decontaminate.judged(decontaminate.find_spans(docs, items, block_words=block_words))
+    got = Counter((r["row"]["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in found.collect())
+    assert got == plain_hits(rows, bench)
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    assert decontaminate.clean(none, items).count() == 0
+    assert decontaminate.clean(docs, items.limit(0)).count() == len(rows)
+
+
+# 7
+
+
+def test_shards(docs, none):
+    got = slot_shards.shard(docs, 4).collect()
+    assert len(got) == len(corpus())
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in places.values()) and set(places) <= set(range(4))
+    assert slot_shards.shard(none, 4).count() == 0
+    assert slot_shards.assign(docs, 4).columns == [*docs.columns, "shard"]
+
+
+def test_cut_slots_have_gapless_positions(docs, monkeypatch):
+    monkeypatch.setattr(slot_shards, "SLOTS", 8)
+    monkeypatch.setattr(slot_shards, "ROWS_A_CUT", 3)
+    places = defaultdict(list)
+    for r in slot_shards.shard(docs, 3).collect():
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
+def test_maps_are_edited_and_kept(spark, tmp_path):
+    rng = random.Random(1)
+    sizes = {k: rng.randint(1, 1000) for k in range(slot_shards.SLOTS)}
+    one = slot_shards.first_map(sizes, 40)
+    load = Counter()
+    for k, s in one.items():
+        load[s] += sizes[k]
+    assert max(load.values()) - min(load.values()) <= 1000
+    two = slot_shards.rebalance(one, sizes, 41)
+    moved = [k for k in one if one[k] != two[k]]
+    assert sum(sizes[k] for k in moved) < sum(sizes.values()) / 20
+    load = Counter()
+    for k, s in two.items():
+        load[s] += sizes[k]
+    assert max(load.values()) <= 1.05 * sum(sizes.values()) / 41
+    three = slot_shards.rebalance(two, sizes, 39)
+    assert set(three.values()) == set(range(39)) and all(two[k] >= 39 for k in two if two[k] != three[k] and sizes[k] > 0 and two[k] > 39)
+    path = str(tmp_path / "maps")
+    slot_shards.save_map(spark, path, 1, one)
+    slot_shards.save_map(spark, path, 2, two)
+    assert slot_shards.load_map(spark, path) == (2, two) and slot_shards.load_map(spark, path, 1) == (1, one)
+
+
+# 8
+
+
+def labelled(spark):
+    rng, own = random.Random(4), vocabulary()
+    rows, labels = [], []
+    for i in range(600):
+        good = rng.random() < 0.7
+        w = [rng.choice(own) for _ in range(rng.randint(5, 60))]
+        rows.append((i, " ".join(w) + "." if good else "!! ".join(x.upper() for x in w), "en", "a", 1))
+        labels.append((i, int(good), int(rng.random() < 0.1)))
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality(spark, docs):
+    rows, labels = labelled(spark)
+    got = {r["doc_id"]: r for r in quality.score(rows, labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    apart = [(r["score"], truth[i], r["predicted"]) for i, r in got.items() if r["held_out"]]
+    assert np.mean([p == y for _, y, p in apart]) > 0.97
+    assert np.mean([(s - y) ** 2 for s, y, _ in apart]) < 0.03
+    # Labels of held-out rows change nothing.
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert all(abs(got[r["doc_id"]]["score"] - r["score"]) < 1e-6 for r in quality.score(rows, flipped).collect())
+    odd = quality.score(docs, labels.limit(0)).collect()
+    assert len(odd) == len(corpus()) and {r["score"] for r in odd} == {0.5}
+    assert quality.score(rows.limit(0), labels).count() == 0
+
+
+def test_isotonic_is_least_squares():
+    y = np.array([0.0, 1, 0, 1, 1, 0, 1])
+    s, p = quality.isotonic(np.ones(7), y, np.arange(7.0))
+    assert s.tolist() == [0.0, 1.5, 4.0, 6.0] and (np.diff(p) >= 0).all()
+
+
+# 9
+
+
+def test_lines(spark, docs, none):
+    rng = random.Random(6)
+    lines = ["a line of some length %d" % k for k in range(12)] + ["short", "", "  \x0b", "Ünïcode line here", "exactly10c"]
+    rows = [(i, "\n".join(rng.choice([str.upper, str, lambda x: f"\t{x} \r"])(rng.choice(lines)) for _ in range(rng.randint(0, 8))), "en", "a", 1) for i in range(60)] + [(7, lines[0] + "\n" + lines[1], "en", "a", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("gone", F.lit(1)).repartition(4)
+    for n_batches, source in ((4, (df, rows)), (1, (df, rows)), (3, (docs, corpus()))):
+        df_, rows_ = source
+        keep = {}
+        strip = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+        for i, t, *_ in rows_:
+            for x in (t or "").split("\n"):
+                keep[strip(x)] = min(keep.get(strip(x), 2**63), 2**63 - 1 if i is None else i)
+        want = Counter()
+        for i, t, *_ in rows_:
+            all_ = (t or "").split("\n")
+            left = [x for x in all_ if len(strip(x)) < 10 or keep[strip(x)] == (2**63 - 1 if i is None else i)]
+            want[i, len(all_), len(all_) - len(left), "\n".join(left)] += 1
+        got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(df_, n_batches=n_batches).collect())
+        assert got == want
+    assert line_dedup.dedup_lines(none).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+# 10
+
+
+def test_toxicity(spark, docs):
+    rng, own = random.Random(9), vocabulary(300)
+    rows, labels = [], []
+    for i in range(900):
+        bad, junk = rng.random() < 0.15, rng.random() < 0.2
+        w = [rng.choice(own) for _ in range(rng.randint(10, 80))]
+        if bad:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["zorgle", "zqux" + rng.choice(own), "Vreek!"]))
+        rows.append((i, " ".join(w), "en", "a", 1))
+        labels.append((i, int(not junk), int(bad)))
+    df = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.train(df, marks.where("doc_id % 3 <> 0"))
+    assert chain.names == ["junk_abuse", "prose_abuse", "toxic"] and [len(m) for m in chain.models] == [len(chain.words) + 2 + k for k in range(3)]
+    got = {r["row"]["doc_id"]: r["toxic"] for r in toxicity.score(df, chain).collect()}
+    apart = [(got[i] >= toxicity.THRESHOLD, bool(t)) for i, _, t in labels if i % 3 == 0]
+    assert np.mean([a == b for a, b in apart]) > 0.97
+    assert not [1 for a, b in apart if a and not b]
+    kept = toxicity.clean(df, marks)
+    assert kept.columns == df.columns and 0 < kept.count() < 900
+    assert toxicity.score(docs, chain).count() == len(corpus())
+    assert toxicity.clean(docs, marks.limit(0)).count() == len(corpus())
+    assert toxicity.clean(df.limit(0), marks).count() == 0
+
+
+def test_the_chain_reads_earlier_categories():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 2))
+    first = (x[:, 0] > 0).astype(float)
+    y = np.stack([first, first], axis=1)
+    chain = toxicity.Chain({b"a": 0}, ["one", "two"])
+    chain.fit(x, y, np.arange(600) % 3)
+    assert chain.models[1][2] > 0.1
+    assert ((chain.predict(x)[1] > 0.5) == (first > 0.5)).mean() > 0.97
