@@ -1,10 +1,13 @@
-"""Registry of the queries on the driver's tables and of their DuckDB counterparts."""
+"""All queries on the driver's tables and their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES, ORACLES = {}, {}
+from glyphmill.plans import assembly, relational, sampler, texts, validation
+from glyphmill.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "assembly", "flagship", "relational", "sampler", "texts", "validation"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
