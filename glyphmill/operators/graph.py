@@ -41,3 +41,37 @@ def depth_first_order(edges: DataFrame, roots: DataFrame, digits: int = 8) -> Da
 
 def orphans(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     return nodes.join(reached.select("node"), "node", "left_anti")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of undirected edges(src, dst); labels sink to the smallest until none moves."""
+    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = durable(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
+        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("least"))
+        low = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("low"), "component")
+        # A label's own label is as small or smaller, which halves the rounds.
+        jump = low.select(F.col("node").alias("via"), F.col("low").alias("lower"))
+        new = durable(low.join(jump, low["low"] == jump["via"], "left").select("node", "component", F.coalesce("lower", "low").alias("new")))
+        if new.where("new <> component").isEmpty():
+            return new.select("node", "component")
+        labels = new.select("node", F.col("new").alias("component"))
+
+
+def expand_calls(events: DataFrame, root: str, most: int = 32) -> DataFrame:
+    """path, node, pos, text of events(node, pos, text, callee) of `root`, each call followed by the callee's events.
+
+    The path sorts events in the order in which they run; a call of a node that is being expanded stays a plain event.
+    """
+    pos = F.lpad(F.col("pos").cast("string"), 8, "0")
+    frames = durable(events.sparkSession.createDataFrame([("", root, [root])], "prefix string, node string, stack array<string>"))
+    out = None
+    for _ in range(most):
+        if frames.isEmpty():
+            break
+        rows = frames.join(events, "node").select(F.concat("prefix", pos).alias("path"), "node", "pos", "text", "callee", "stack")
+        rows = durable(rows)
+        out = rows if out is None else out.union(rows)
+        calls = rows.where(F.col("callee").isNotNull() & ~F.array_contains("stack", F.col("callee")))
+        frames = durable(calls.select(F.concat("path", F.lit("/")).alias("prefix"), F.col("callee").alias("node"), F.array_append("stack", F.col("callee")).alias("stack")))
+    return out.select("path", "node", "pos", "text")

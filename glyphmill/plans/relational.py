@@ -136,3 +136,39 @@ def set_operations(spark, d):
     urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
     building = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
     return urgent.intersect(building).subtract(orders.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey % 7 * 1000 + CAST(o_totalprice AS BIGINT) % 11 * 100000 AS b FROM orders WHERE o_custkey % 5 = 0), b2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT DISTINCT a, a FROM b2 UNION SELECT b2.b, r.root FROM r JOIN b2 ON b2.a = r.node WHERE r.root < b2.b) SELECT node, min(root) AS component FROM r GROUP BY node"""
+)
+def graph_components(spark, d):
+    rows = table(spark, d, "orders").where("o_custkey % 5 = 0")
+    return graph.components(rows.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 7 * 1000 + F.round(F.col("o_totalprice")).cast("long") % 11 * 100000).alias("dst")))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, pos, n_name || pos AS text, CASE WHEN pos = 2 AND n_nationkey * 2 + 1 < 25 THEN CAST(n_nationkey * 2 + 1 AS VARCHAR) WHEN pos = 3 AND n_nationkey * 2 + 2 < 25 THEN CAST(n_nationkey * 2 + 2 AS VARCHAR) END AS callee FROM nation, (VALUES (1), (2), (3)) v(pos)),
+r(path, node, pos, text, callee) AS (SELECT lpad(CAST(pos AS VARCHAR), 8, '0'), node, pos, text, callee FROM e WHERE node = '0' UNION ALL SELECT r.path || '/' || lpad(CAST(e.pos AS VARCHAR), 8, '0'), e.node, e.pos, e.text, e.callee FROM r JOIN e ON e.node = r.callee)
+SELECT path, node, pos, text FROM r"""
+)
+def call_expansion(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("pos"))
+    callee = F.col("n_nationkey") * 2 + F.col("pos") - 1
+    events = n.select(F.col("n_nationkey").cast("string").alias("node"), "pos", F.concat("n_name", F.col("pos").cast("string")).alias("text"), F.when((F.col("pos") > 1) & (callee < 25), callee.cast("string")).alias("callee"))
+    return graph.expand_calls(events, "0")
+
+
+@query(
+    """WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS v FROM embeddings), m AS (SELECT label, i, CAST(avg(x) > 0 AS INTEGER) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+c AS (SELECT label AS l, list(x ORDER BY i) AS mean FROM m GROUP BY label), s AS (SELECT vec_id, l, round(list_sum(list_transform(list_zip(v, mean), lambda z: least(z[1], z[2]))) / list_sum(list_transform(list_zip(v, mean), lambda z: greatest(z[1], z[2]))), 9) AS score FROM b, c)
+SELECT vec_id, arg_min(l, (-score, l)) AS best, max(score) AS score FROM s GROUP BY vec_id"""
+)
+def glyph_rank(spark, d):
+    rows = table(spark, d, "embeddings")
+    parts = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg((F.avg(F.col("x").cast("double")) > 0).cast("int").alias("x"))
+    means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
+    every = means.agg(F.collect_list(F.struct(F.col("label").alias("l"), "mean")).alias("means"))
+    bits = rows.select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("v")).crossJoin(F.broadcast(every))
+    scored = bits.select("vec_id", F.array_max(F.transform("means", lambda m: F.struct(F.round(similarity.overlap_of_bits(F.col("v"), m["mean"]), 9).alias("score"), (-m["l"]).alias("l")))).alias("s"))
+    return scored.select("vec_id", (-F.col("s.l")).alias("best"), "s.score")

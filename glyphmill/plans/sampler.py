@@ -67,3 +67,10 @@ def stream_windows(spark, d):
 @query("SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events")
 def stream_deltas(spark, d):
     return streams.deltas(spark, d)
+
+
+@query("SELECT event_id, n_name FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'purchase'")
+def stream_candidates(spark, d):
+    """A stream joined with a table that each batch reads anew."""
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    return streams.run_now(streams.event_stream(spark, d).where("event_type = 'purchase'").join(people, "user_id").select("event_id", "n_name"), "append").select("event_id", "n_name")

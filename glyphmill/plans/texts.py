@@ -244,3 +244,30 @@ def fixed_records(spark, d):
     # One pass over each text; substring() at growing places would start from the front each time.
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)(.{1,64})"), 1)).alias("record", "r"))
     return rows.select("doc_id", F.col("record").cast("long").alias("record"), F.substring("r", 1, 16).alias("head"), F.substring("r", 17, 48).alias("body"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, ch, CAST(i AS BIGINT) AS i FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents)), m AS (SELECT * FROM c WHERE ch = '|'), b AS (SELECT * FROM c WHERE ch = chr(10))
+SELECT m.doc_id, m.i AS place, 1 + (SELECT count(*) FROM b WHERE b.doc_id = m.doc_id AND b.i < m.i) AS line_no FROM m"""
+)
+def offset_lines(spark, d):
+    """The line of every bar, by its place in the text: an as-of join with the places where lines start."""
+    rows = doc_lines(spark, d).withColumn("n", F.length("line") + 1)
+    rows = rows.withColumn("start", F.sum("n").over(lines.in_order().rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + 1)
+    # Pieces between bars, so that no text is scanned from its front for each bar.
+    pieces = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\|")).alias("k", "piece"))
+    place = F.sum(F.length("piece") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead("k").over(Window.partitionBy("doc_id").orderBy("k")).isNull()
+    bars = pieces.select("doc_id", place.alias("place"), last.alias("last")).where("not last").drop("last")
+    starts = rows.select("doc_id", F.col("start").alias("place"), "line_no")
+    return joins.asof(bars, starts, "doc_id", "place", "line_no")
+
+
+@query("SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n FROM conversations WHERE role <> 'system'")
+def json_commands(spark, d):
+    """Conversations as nested JSON and back: commands by code, as script documents hold them."""
+    own = F.struct("turn", F.when(F.col("role") == "system", 0).otherwise(401).alias("code"), F.struct("role", "text").alias("parameters"))
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(own)).alias("doc"))
+    schema = "array<struct<turn:long,code:int,parameters:struct<role:string,text:string>>>"
+    rows = docs.select("conv_id", F.explode(F.from_json("doc", schema)).alias("c")).where("c.code = 401")
+    return rows.select("conv_id", "c.turn", "c.parameters.role", F.length("c.parameters.text").cast("long").alias("n"))

@@ -4,6 +4,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+INFERENCE = "spark.sql.constraintPropagation.enabled"
+
 
 def build_session(app: str = "glyphmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive plans and UTC. Sizes of partitions stay the cluster's unless given."""
@@ -29,6 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    A checkpoint carries over what the optimiser infers about its columns, and in a loop these
+    inferences multiply with every round until planning takes longer than the work; so it is
+    taken without them.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(INFERENCE)
+    spark.conf.set(INFERENCE, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(INFERENCE, before)

@@ -185,3 +185,11 @@ def test_text_functions(spark):
     ).first()
     assert list(row[:13]) == ["a<b>b</b>あ", "　 abあ 　", True, 1.5, ["x", "000000000010", "y", "000000000002"], "A-B-", "21", "base", "ab", "a-b-c", ["aa", "ab"], True, pytest.approx(1 / 3)]
     assert tuple(row[13]) == (1, 2, 1, 1)
+
+
+def test_components_and_calls(spark):
+    edges = spark.createDataFrame([(9, 8), (8, 7), (7, 2), (5, 4), (3, 3)] + [(k, k + 1) for k in range(20, 40)], "src int, dst int")
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {9: 2, 8: 2, 7: 2, 2: 2, 5: 4, 4: 4, 3: 3, **dict.fromkeys(range(20, 41), 20)}
+    events = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "call", "b"), ("a", 3, "y", None), ("b", 1, "in b", None), ("b", 2, "back", "a")], "node string, pos int, text string, callee string")
+    assert [r["text"] for r in graph.expand_calls(events, "a").orderBy("path").collect()] == ["x", "call", "in b", "back", "y"]
