@@ -40,7 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def reread(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
+    """df, written as Parquet in the shared folder and read again.
+
+    For loops: a checkpoint keeps the estimated size of its plan, and estimates of joins are products, so
+    after some rounds planning is busy with numbers of thousands of digits. A table has its true size.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -9,14 +9,17 @@ band's tiles too.  Within a tile, the parity bitmaps of two sets give a lower bo
 difference (so an upper bound of their overlap); pairs that pass are verified by
 intersecting the exact arrays.
 
-Groups of near copies would have a quadratic number of pairs.  Only connection is asked for,
-so each round proposes one partner per set, from another component, verifies these
-proposals, merges components, and leaves out the pairs that failed.  It ends when no
-tile has a pair between two components that passes the bitmaps, so no link that
-matters is lost.  Large tiles are cut into blocks that are paired.
-
-Equal sets are one class from the start (64 bits of two sums name it).  Links,
-classes and components stay in tables; the driver sees counts only.
+Groups of near copies would have a quadratic number of pairs.  Only connection is asked
+for, so no pairs are emitted: in a tile, the candidates that pass the bitmaps are joined in the
+task and each set names one representative.  These edges give candidate groups, and a group of bounded
+size is resolved in one task, which compares bitmaps and exact arrays and skips pairs that
+are connected already.  Larger groups are cut into blocks: each block is resolved, then each pair
+of blocks, and the components are merged.  Large tiles are cut and paired alike.  So no link that
+matters is lost, at any size, and no task holds more than two blocks.
+
+Equal sets are one class from the start (64 bits of two sums name it), and only one
+document of a class makes tiles.  Links, classes and components stay in tables; the driver
+sees counts only.
 
 Defined results: a null or blank text has no shingles, size 0, and is linked with
 nothing; fewer than three words make one shingle; repeated rows link with each other;
@@ -31,10 +34,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphmill.llm.common import durable, mix64
+from glyphmill.llm.common import mix64, reread
 
 #: The similarity wanted, as a fraction.
 NUM, DEN = 9, 10
@@ -44,8 +48,10 @@ WIDTH = 3
 BITS = 512
 #: Sets of a tile that one group of rows holds; larger tiles are cut and their blocks paired.
 BLOCK = 4096
-#: The documents whose arrays are needed are broadcast (16 bytes each) up to this number.
-BROADCAST_CLASSES = 1_000_000
+#: Sets and elements of a candidate group that one task resolves; of larger groups, blocks of half of this are paired.
+GROUP_SETS, GROUP_ELEMENTS = 8192, 4_000_000
+#: Ids of documents (8 to 24 bytes each) are broadcast up to this number, and joined by shuffle beyond.
+BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,167 +99,250 @@ def tiles(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def signature(s: np.ndarray) -> bytes:
+def signature(s: np.ndarray, bits: int = BITS) -> bytes:
     """Parity of the number of elements at each bit: the xor of two is the parity of what they don't share."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _name(s: np.ndarray) -> np.int64:
+    """The class of equal sets."""
+    return (s.sum(dtype=np.uint64) * _A + mix64(s ^ _B).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """doc_id, n, cls (of equal sets), sig, tiles."""
+    """doc_id, key (names the row where doc_id is null), n, cls (of equal sets), sig."""
 
     def run(frames):
-        for rows in frames:
-            out = []
-            for text in rows["text"]:
-                s = shingles(text)
-                with np.errstate(over="ignore"):
-                    name = s.sum(dtype=np.uint64) * _A + mix64(s ^ _B).sum(dtype=np.uint64) + np.uint64(len(s))
-                out.append((len(s), name.astype(np.int64), signature(s), tiles(s)))
-            n, cls, sig, own = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n": n, "cls": cls, "sig": sig, "tiles": own})
+        with np.errstate(over="ignore"):
+            for rows in frames:
+                sets = [shingles(t) for t in rows["text"]]
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "key": rows["key"], "n": [len(s) for s in sets], "cls": [_name(s) for s in sets], "sig": [signature(s) for s in sets]})
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text").mapInPandas(run, "doc_id long, key long, n long, cls long, sig binary")
+
+
+def _key():
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, cls long, sig binary, tiles array<long>")
+def _hint(ids: DataFrame):
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def arrays(documents: DataFrame) -> DataFrame:
-    """cls, s (the exact sorted array) of documents(text, cls)."""
+def _tiled(documents: DataFrame, described: DataFrame) -> DataFrame:
+    """tile, cls of one document of each class (of all, where a doc_id stands in several rows)."""
+    many = described.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copies = described.join(many, "cls").where("doc_id > first and n > 0").select("key")
+    twice = described.groupBy("key").count().where("count > 1")
+    copies = reread(copies.join(twice, "key", "left_anti"))
 
     def run(frames):
-        for rows in frames:
-            yield pd.DataFrame({"cls": rows["cls"], "s": [shingles(t).view(np.int64) for t in rows["text"]]})
+        with np.errstate(over="ignore"):
+            for rows in frames:
+                sets = [shingles(t) for t in rows["text"]]
+                own = [tiles(s) for s in sets]
+                yield pd.DataFrame({"tile": np.concatenate([*own, np.zeros(0, np.int64)]), "cls": np.repeat(np.array([_name(s) for s in sets], np.int64), [len(t) for t in own])})
 
-    return documents.select("cls", "text").mapInPandas(run, "cls long, s array<long>")
+    rows = documents.select(_key(), "text").join(_hint(copies), "key", "left_anti")
+    return rows.select("text").mapInPandas(run, "tile long, cls long")
 
 
-def _shared_tiles(described: DataFrame) -> DataFrame:
+def _shared_tiles(documents: DataFrame, described: DataFrame) -> DataFrame:
     """tile, blocks, cls of the tiles that two classes or more share."""
-    every = described.where("n > 0").select(F.explode("tiles").alias("tile"), "cls")
-    shared = every.groupBy("tile").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("rows")).where("a <> b")
-    shared = shared.select("tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    return every.join(shared, "tile").distinct()
+    w = Window.partitionBy("tile")
+    every = _tiled(documents, described).withColumn("a", F.min("cls").over(w)).withColumn("b", F.max("cls").over(w)).withColumn("k", F.count("*").over(w))
+    return every.where("a <> b").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), "cls").distinct()
 
 
-def _proposals(rows: DataFrame) -> DataFrame:
-    """x, y, cx, cy: for each class the partner of the smallest component below its own that the bitmaps allow.
+def arrays(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (key, cls, ...) with s, the exact sorted array of the document's shingles; one row per class."""
+    more = [c for c in wanted.columns if c != "key"]
+    schema = T.StructType([*[wanted.schema[c] for c in more], T.StructField("s", T.ArrayType(T.LongType()))])
 
-    rows: tile, blocks, cls, comp, n, sig, failed (classes that it doesn't link with).
-    """
-    b = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    def run(frames):
+        with np.errstate(over="ignore"):
+            for rows in frames:
+                sets = [shingles(t) for t in rows["text"]]
+                rows = rows[more].assign(s=[s.view(np.int64) for s in sets])
+                # A key that stands in several rows may have other texts.
+                yield rows[[_name(s) == c for s, c in zip(sets, rows["cls"])]]
+
+    rows = documents.select(_key(), "text").join(_hint(wanted), "key")
+    return rows.select(*more, "text").mapInPandas(run, schema)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (tile, blocks, cls, ...) by tile and pair of blocks; a tile of one block is one group."""
+    b = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     j = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = rows.select("*", b.cast("int").alias("b"), j.alias("j")).select("tile", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "cls", "comp", "n", "sig", "failed")
-    cut = cut.repartition("tile", "b1", "b2").sortWithinPartitions("tile", "b1", "b2", "cls")
-    found = cut.mapInPandas(_propose, "x long, y long, cx long, cy long")
-    return found.groupBy("x", "cx").agg(F.min(F.struct("cy", "y")).alias("best")).select("x", "best.y", "cx", "best.cy")
+    rest = [c for c in rows.columns if c not in ("tile", "blocks")]
+    cut = rows.select("*", b.alias("b"), j.alias("j")).select("tile", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), *rest)
+    return cut.repartition("tile", "b1", "b2").sortWithinPartitions("tile", "b1", "b2", "cls")
 
 
-def _propose(frames):
+def _whole_groups(frames, keys: list[str]):
+    """Frames of sorted rows, cut so that no group of equal keys is split; with where each group starts, and the end."""
     held = None
     for rows in frames:
         rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        key = rows[["tile", "b1", "b2"]].to_numpy()
-        # The last tile may go on in the next batch.
+        key = rows[keys].to_numpy()
         edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         done = int(edge[-1]) if len(edge) else 0
         held = rows.iloc[done:]
         if done:
-            yield from _pairs(rows.iloc[:done], np.concatenate([[0], edge]))
+            yield rows.iloc[:done], np.concatenate([[0], edge])
     if held is not None and len(held):
-        yield from _pairs(held, np.array([0, len(held)]))
+        yield held, np.array([0, len(held)])
 
 
-def _pairs(rows: pd.DataFrame, starts: np.ndarray):
-    """starts: where each tile starts, and the end."""
-    cls, comp, n = (rows[c].to_numpy(np.int64) for c in ("cls", "comp", "n"))
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), -1)
-    bad = {(int(c), int(f)) for c, own in zip(cls, rows["failed"]) if own is not None for f in own}
-    sizes, out = np.diff(starts), []
-    for k in np.unique(sizes):
+def _index_pairs(starts: np.ndarray):
+    """All pairs of rows of the same group, some at a time."""
+    sizes = np.diff(starts)
+    for k in np.unique(sizes[sizes > 1]):
         own = starts[:-1][sizes == k]
-        if k < 2:
-            continue
         if k <= 64:
             i, j = np.triu_indices(int(k), 1)
             step = max(1, 200_000 // len(i))
-            groups = [((own[a : a + step, None] + i).ravel(), (own[a : a + step, None] + j).ravel()) for a in range(0, len(own), step)]
+            for a in range(0, len(own), step):
+                yield (own[a : a + step, None] + i).ravel(), (own[a : a + step, None] + j).ravel()
         else:
-            groups = ((np.repeat(np.arange(r, min(r + 64, o + k)), k), np.tile(np.arange(o, o + k), min(64, o + k - r))) for o in own for r in range(o, o + k, 64))
-        for i, j in groups:
-            on = comp[i] != comp[j]
-            on &= NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])
-            i, j = i[on], j[on]
-            differ = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
-            on = (DEN + NUM) * differ <= (DEN - NUM) * (n[i] + n[j])
-            i, j = i[on], j[on]
-            up = comp[i] > comp[j]
-            x, y = np.where(up, i, j), np.where(up, j, i)
-            if bad and len(x):
-                on = np.fromiter(((int(a), int(b)) not in bad for a, b in zip(cls[x], cls[y])), bool, len(x))
-                x, y = x[on], y[on]
-            if len(x):
-                out.append(_least(cls[x], cls[y], comp[x], comp[y]))
-    if out:
-        yield _least(*(np.concatenate([f[c].to_numpy() for f in out]) for c in ("x", "y", "cx", "cy")))
-
-
-def _least(x, y, cx, cy) -> pd.DataFrame:
-    order = np.lexsort((y, cy, x))
-    first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
-    return pd.DataFrame({"x": x[first], "y": y[first], "cx": cx[first], "cy": cy[first]})
-
-
-def _verify(pairs: DataFrame, exact: DataFrame) -> DataFrame:
-    """pairs with linked: whether the exact arrays overlap enough."""
-    both = pairs.join(exact.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x").join(exact.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
-    same = F.size(F.array_intersect("sx", "sy"))
-    union = F.size("sx") + F.size("sy") - same
-    return both.select("x", "y", "cx", "cy", (DEN * same >= NUM * union).alias("linked"))
+            for o in own:
+                for r in range(o, o + k, 64):
+                    i, j = np.meshgrid(np.arange(r, min(r + 64, o + k)), np.arange(r, o + k), indexing="ij")
+                    yield i[i < j], j[i < j]
+
+
+def _may_link(i, j, n, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that sizes and bitmaps allow, and how much they differ at least."""
+    on = NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])
+    i, j = i[on], j[on]
+    step = max(1, (1 << 21) // sig.shape[1])  # 16 MB of bits at once
+    differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(sig[i[a : a + step]] ^ sig[j[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), step))])
+    on = (DEN + NUM) * differ <= (DEN - NUM) * (n[i] + n[j])
+    return i[on], j[on], differ[on]
+
+
+def _bits(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+
+
+def _candidate_edges(rows: DataFrame) -> DataFrame:
+    """x, y: each class of a tile with the smallest row it is connected to there by pairs that the bitmaps allow."""
+
+    def run(frames):
+        for some, starts in _whole_groups(frames, ["tile", "b1", "b2"]):
+            n, cls, sig = some["n"].to_numpy(np.int64), some["cls"].to_numpy(np.int64), _bits(some["sig"])
+            own = np.arange(len(some))
+            for i, j in _index_pairs(starts):
+                # Pairs that are joined already tell nothing new.
+                new = own[i] != own[j]
+                i, j, _ = _may_link(i[new], j[new], n, sig)
+                while len(i):
+                    low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+                    if (low == high).all():
+                        break
+                    np.minimum.at(own, high, low)
+                    own = own[own]
+            while (own[own] != own).any():
+                own = own[own]
+            on = own != np.arange(len(own))
+            pairs = np.unique(np.stack([cls[on], cls[own[on]]], axis=1), axis=0)
+            yield pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return _in_blocks(rows).mapInPandas(run, "x long, y long").where("x <> y").distinct()
+
+
+def _merge(edges: DataFrame) -> DataFrame:
+    """cls, comp (the smallest class connected) from edges(x, y), by hooking and doubling pointers."""
+    both = reread(edges.union(edges.select("y", "x")).distinct())
+    labels = both.select(F.col("x").alias("cls")).distinct().withColumn("comp", F.col("cls"))
+    while not both.isEmpty():
+        hooks = both.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("p")).where("p < c")
+        roots = _roots(reread(hooks))
+        root = roots.withColumnRenamed("c", "comp")
+        labels = reread(labels.join(root, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")))
+        of = lambda c: roots.select(F.col("c").alias(c), F.col("root").alias(f"r{c}"))
+        both = both.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
+        both = reread(both.where("x <> y").distinct())
+    return labels
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
     """c, root of hooks(c, p): every p is below its c, so pointers are doubled until none moves."""
     while True:
         up = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        hooks = durable(hooks.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+        hooks = reread(hooks.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
         if hooks.where("moved").isEmpty():
             return hooks.select("c", F.col("p").alias("root"))
         hooks = hooks.select("c", "p")
 
 
+def _resolve(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """cls, comp of rows(keys, b, cls, comp, n, s): each group's components by exact links.
+
+    `comp` is what is known before (or the class itself); rows of the same block `b` have been compared if the
+    group has two blocks.
+    """
+
+    def run(frames):
+        with np.errstate(over="ignore"):
+            for some, starts in _whole_groups(frames, keys):
+                sets, cls, n, block = some["s"].tolist(), some["cls"].to_numpy(np.int64), some["n"].to_numpy(np.int64), some["b"].to_numpy(np.int64, copy=True)
+                # Here the bitmaps can be as long as the sets ask for: short ones fill up and tell nothing.
+                bits = max(BITS, 1 << int(2 * n.max() - 1).bit_length())
+                sig = _bits([signature(s.view(np.uint64), bits) for s in sets])
+                own = np.arange(len(some))
+                for lo, hi in zip(starts[:-1], starts[1:]):
+                    _, first, which = np.unique(some["comp"].to_numpy(np.int64)[lo:hi], return_index=True, return_inverse=True)
+                    own[lo:hi] = lo + first[which]
+                    if (block[lo:hi] == block[lo]).all():
+                        block[lo:hi] = np.arange(hi - lo)  # one block: all pairs are new
+                for i, j in _index_pairs(starts):
+                    new = (own[i] != own[j]) & (block[i] != block[j])
+                    i, j, differ = _may_link(i[new], j[new], n, sig)
+                    for k in np.argsort(differ, kind="stable"):
+                        a, b = own[i[k]], own[j[k]]
+                        if a != b:
+                            same = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+                            if DEN * same >= NUM * (n[i[k]] + n[j[k]] - same):
+                                g = np.searchsorted(starts, i[k], "right")
+                                part = own[starts[g - 1] : starts[g]]  # a view: the group's own labels
+                                part[part == max(a, b)] = min(a, b)
+                yield pd.DataFrame({"cls": cls, "comp": cls[own]})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInPandas(run, "cls long, comp long")
+
+
 def components(documents: DataFrame, described: DataFrame) -> DataFrame:
-    """cls, comp of the classes that share a tile with another; comp names a connected component."""
-    sharing = durable(_shared_tiles(described))
+    """cls, comp of the classes that may link with another; comp names a connected component."""
+    sharing = reread(_shared_tiles(documents, described))
     wanted = sharing.select("cls").distinct()
-    reps = described.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    reps = durable(reps)
-    few = reps.count() <= BROADCAST_CLASSES
-    hint = F.broadcast if few else (lambda d: d)
-    own = described.select("doc_id", "cls", "n", "sig").join(hint(reps), ["doc_id", "cls"]).dropDuplicates(["cls"])
-    rows = durable(sharing.join(own.select("cls", "n", "sig"), "cls"))
-    exact = durable(arrays(documents.select("doc_id", "text").join(hint(reps), "doc_id")).dropDuplicates(["cls"]))
-    labels = durable(reps.select("cls", F.col("cls").alias("comp")))
-    failed = None
-    while True:
-        told = labels.withColumn("failed", F.lit(None).cast("array<long>"))
-        if failed is not None:
-            both = failed.union(failed.select("y", "x")).groupBy(F.col("x").alias("cls")).agg(F.collect_set("y").alias("failed"))
-            told = labels.join(both, "cls", "left")
-        known = rows.join(told, "cls")
-        mixed = known.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tile")
-        pairs = durable(_proposals(known.join(mixed, "tile", "left_semi") if failed is not None else known))
-        if pairs.isEmpty():
-            return labels
-        judged = durable(_verify(pairs, exact))
-        lost = judged.where("not linked").select("x", "y")
-        failed = durable(lost if failed is None else failed.union(lost))
-        hooks = judged.where("linked").groupBy(F.col("cx").alias("c")).agg(F.min("cy").alias("p"))
-        roots = _roots(durable(hooks)).withColumnRenamed("c", "comp")
-        labels = durable(labels.join(roots, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")))
+    reps = described.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min_by(F.struct("key", "n", "sig"), F.struct(F.col("doc_id").isNull(), "key")).alias("r"))
+    reps = reread(reps.select("cls", "r.key", "r.n", "r.sig"))
+    groups = _merge(reread(_candidate_edges(sharing.join(reps.select("cls", "n", "sig"), "cls")))).withColumnRenamed("comp", "grp")
+    own = groups.join(reps.select("cls", "key", "n"), "cls")
+    load = F.count("*") + F.ceil(F.sum("n") * (GROUP_SETS / GROUP_ELEMENTS))
+    blocks = own.groupBy("grp").agg(load.alias("load")).select("grp", F.when(F.col("load") <= GROUP_SETS, 1).otherwise(F.ceil(2 * F.col("load") / GROUP_SETS)).cast("int").alias("blocks"))
+    own = own.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("comp", F.col("cls"))
+    rows = reread(arrays(documents, reread(own)).dropDuplicates(["cls"]))
+    alone = reread(_resolve(rows, ["grp", "b"]))
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return alone
+    # Every pair of blocks of a large group, with what its blocks have told.
+    known = large.drop("comp").join(alone, "cls")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("b")))
+    pairs = known.withColumn("j", other).withColumn("b1", F.least("b", "j")).withColumn("b2", F.greatest("b", "j"))
+    told = _resolve(pairs.drop("j", "blocks"), ["grp", "b1", "b2"])
+    links = reread(told.union(alone).where("cls <> comp").distinct())
+    merged = _merge(links.toDF("x", "y"))
+    return reread(alone.select("cls").join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
 
 
 def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of `documents`."""
     documents = documents.select("doc_id", "text")
-    described = durable(describe(documents))
+    described = reread(describe(documents))
     found = components(documents, described)
     rows = described.select("doc_id", "n", "cls").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -265,6 +354,5 @@ def link(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows whose doc_id is the smallest of its component, unchanged; rows without shingles or doc_id all stay."""
     own = link(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = durable(own.where("not stays").select(F.col("doc_id").alias("gone_id")))
-    few = gone.count() <= BROADCAST_CLASSES
-    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = reread(own.where("not stays").select(F.col("doc_id").alias("gone_id")))
+    return documents.join(_hint(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")

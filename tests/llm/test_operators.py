@@ -180,16 +180,17 @@ def test_ngram_join(docs, none):
     assert ngram_join.link(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_ngram_join_on_a_large_group(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, group", [(4096, 8192), (8, 8192), (8, 10)])
+def test_ngram_join_on_a_large_group(spark, monkeypatch, block, group):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", group)
     rng, own = random.Random(8), vocabulary(400)
     base, rows = [rng.choice(own) for _ in range(150)], []
     for i in range(150):
         text = list(base)
         for _ in range(rng.randint(0, 5)):
             text[rng.randrange(len(text))] = rng.choice(own)
-        rows.append((i, " ".join(text), "en", "a", 1))
+        rows.append((None if i in (3, 4) else i, " ".join(text), "en", "a", 1))
     df = spark.createDataFrame(rows, DOCS).repartition(4)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link(df).collect()) == plain_components(rows)
 
