@@ -40,6 +40,11 @@ THRESHOLD = 0.3
 CATEGORIES = (("junk_abuse", "toxic = 1 and quality = 0"), ("prose_abuse", "toxic = 1 and quality = 1"), ("toxic", "toxic = 1"))
 
 
+def tokens(text: str | None) -> list[bytes]:
+    """Words of a whole text in lower case, letters beyond ASCII too."""
+    return words_of(text.lower()) if text else []
+
+
 def forms(word: bytes) -> tuple[bytes, ...]:
     """The word, and its beginnings with a star."""
     return (word, *(word[:k] + b"*" for k in (4, 5, 6) if len(word) >= k))
@@ -75,7 +80,7 @@ class Chain:
 
     def counts(self, text: str | None) -> np.ndarray:
         get, out = self.words.get, np.zeros(len(self.words) + 1)
-        found = words_of(text)
+        found = tokens(text)
         for word, n in Counter(found).items():
             for form in forms(word):
                 k = get(form)
@@ -127,7 +132,7 @@ def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[byt
         every, toxic, docs = Counter(), Counter(), np.zeros(2)
         for some in frames:
             for text, y in zip(some["text"], some["y"]):
-                own = {f for w in set(words_of(text)) for f in forms(w)}
+                own = {f for w in set(tokens(text)) for f in forms(w)}
                 every.update(own)
                 docs += 1, y[-1]
                 if y[-1]:
