@@ -1,11 +1,15 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
-Sets are the distinct shingles of whole texts, as 64-bit hashes.  Two sets of at
-least the wanted similarity, of sizes a and b, differ in at most (a + b) / 19 elements
-(for nine tenths).  Sizes fall into bands; in a band whose largest size is s the hash range is
-cut into 2s / 19 + 1 parts, so linked sets agree in at least one whole part.  A tile is the
-sets of a band that agree in one part; a set whose partners may lie in the next band joins that
-band's tiles too.  Within a tile, the parity bitmaps of two sets give a lower bound of their
+Sets are the distinct shingles of whole texts, as 64-bit hashes.  A `Rule` gives the words a
+shingle and the similarity wanted.  Two sets of at least that similarity, of sizes a and b,
+differ in at most (a + b) / 19 elements for nine tenths, (a + b) / 9 for four fifths.  Sizes fall
+into bands; in a band whose largest size is s the hash range is cut into one part more than
+that (2s / 19 + 1), so linked sets agree in at least one whole part.  A tile is the sets of a band
+that agree in one part; a set whose partners may lie in later bands joins their tiles too.
+
+Parts get smaller with the similarity, and an empty part agrees with every other empty one. So a
+rule may ask for m spare parts: linked sets then agree in at least m parts, and a set with
+fewer than m empty ones leaves them out, as it can't agree with a partner in these only.  Within a tile, the parity bitmaps of two sets give a lower bound of their
 difference (so an upper bound of their overlap); pairs that pass are verified by
 intersecting the exact arrays.
 
@@ -22,7 +26,7 @@ document of a class makes tiles.  Links, classes and components stay in tables;
 sees counts only.
 
 Defined results: a null or blank text has no shingles, size 0, and is linked with
-nothing; fewer than three words make one shingle; repeated rows link with each other;
+nothing; fewer words than a shingle has make one shingle; repeated rows link with each other;
 rows with a null doc_id get the smallest doc_id of their component, or null.
 """
 
@@ -30,6 +34,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from functools import cache
+from math import ceil, exp, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,10 +46,6 @@ from pyspark.sql import types as T
 
 from glyphmill.llm.common import mix64, reread
 
-#: The similarity wanted, as a fraction.
-NUM, DEN = 9, 10
-#: Words a shingle.
-WIDTH = 3
 #: Bits of a signature.
 BITS = 512
 #: Sets of a tile that one group of rows holds; larger tiles are cut and their blocks paired.
@@ -55,17 +57,51 @@ BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bands(top: int = 1 << 40) -> list[int]:
+class Rule(NamedTuple):
+    """When two texts are linked."""
+
+    #: Words a shingle.
+    width: int
+    #: The similarity wanted, as a fraction.
+    num: int
+    den: int
+    #: Growth of the bands of sizes.
+    up: int = 3
+    down: int = 2
+    #: Whether bands have spare parts.
+    spare: bool = False
+
+
+#: What the contract of op4 asks for.
+OP4 = Rule(3, 9, 10)
+#: What stages that drop near copies take.
+NEAR = Rule(5, 4, 5, 5, 4, True)
+
+
+@cache
+def _bands(rule: Rule, top: int = 1 << 40) -> list[int]:
     edges = [1]
     while edges[-1] < top:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
+        edges.append(max(edges[-1] + 1, edges[-1] * rule.up // rule.down))
     return edges
 
 
-EDGES = _bands()
-
-
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+@cache
+def _parts(rule: Rule, band: int) -> tuple[int, int]:
+    """The parts of a band, and the number of them in which linked sets agree at least; 0 parts where only equal sets are linked."""
+    edges = _bands(rule)
+    apart = 2 * (edges[band + 1] - 1) * (rule.den - rule.num) // (rule.den + rule.num)
+    if not apart:
+        return 0, 0
+    agree = 1
+    for _ in range(4 if rule.spare else 0):
+        # The empty parts of the smallest set that may be here, and some more.
+        empty = (apart + agree) * exp(-edges[band] * rule.num / rule.den / (apart + agree))
+        agree = 1 + ceil(empty + 2 * sqrt(empty))
+    return apart + agree, agree
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
@@ -83,19 +119,20 @@ def _cuts(parts: int) -> np.ndarray:
     return np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
 
 
-def tiles(s: np.ndarray) -> np.ndarray:
-    """The tiles of a set: for its band, and for the next if a partner may be there."""
-    n, out = len(s), []
+def tiles(s: np.ndarray, rule: Rule) -> np.ndarray:
+    """The tiles of a set: for its band, and for later ones if a partner may be there."""
+    n, out, edges = len(s), [], _bands(rule)
     if not n:
         return np.zeros(0, np.int64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ _A))])
-    for band in sorted({bisect_right(EDGES, n) - 1, bisect_right(EDGES, n * DEN // NUM) - 1}):
-        apart = 2 * (EDGES[band + 1] - 1) * (DEN - NUM) // (DEN + NUM)
-        if apart:
-            ends = np.concatenate([[0], np.searchsorted(s, _cuts(apart + 1)), [n]])
+    for band in range(bisect_right(edges, n) - 1, bisect_right(edges, n * rule.den // rule.num)):
+        parts, agree = _parts(rule, band)
+        if parts:
+            ends = np.concatenate([[0], np.searchsorted(s, _cuts(parts)), [n]])
             sums = total[ends[1:]] - total[ends[:-1]]
-            own = np.arange(apart + 1, dtype=np.uint64) + np.uint64((band + 1) << 40)
-            out.append(mix64(sums + mix64(own)).view(np.int64))
+            own = np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40)
+            found, empty = mix64(sums + mix64(own)).view(np.int64), ends[1:] == ends[:-1]
+            out.append(found if empty.sum() >= agree else found[~empty])
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -109,13 +146,13 @@ def _name(s: np.ndarray) -> np.int64:
     return (s.sum(dtype=np.uint64) * _A + mix64(s ^ _B).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)
 
 
-def describe(documents: DataFrame) -> DataFrame:
+def describe(documents: DataFrame, rule: Rule = OP4) -> DataFrame:
     """doc_id, key (names the row where doc_id is null), n, cls (of equal sets), sig."""
 
     def run(frames):
         with np.errstate(over="ignore"):
             for rows in frames:
-                sets = [shingles(t) for t in rows["text"]]
+                sets = [shingles(t, rule.width) for t in rows["text"]]
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "key": rows["key"], "n": [len(s) for s in sets], "cls": [_name(s) for s in sets], "sig": [signature(s) for s in sets]})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text").mapInPandas(run, "doc_id long, key long, n long, cls long, sig binary")
@@ -129,7 +166,7 @@ def _hint(ids: DataFrame):
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _tiled(documents: DataFrame, described: DataFrame) -> DataFrame:
+def _tiled(documents: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     """tile, cls of one document of each class (of all, where a doc_id stands in several rows)."""
     many = described.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     copies = described.join(many, "cls").where("doc_id > first and n > 0").select("key")
@@ -139,22 +176,22 @@ def _tiled(documents: DataFrame, described: DataFrame) -> DataFrame:
     def run(frames):
         with np.errstate(over="ignore"):
             for rows in frames:
-                sets = [shingles(t) for t in rows["text"]]
-                own = [tiles(s) for s in sets]
+                sets = [shingles(t, rule.width) for t in rows["text"]]
+                own = [tiles(s, rule) for s in sets]
                 yield pd.DataFrame({"tile": np.concatenate([*own, np.zeros(0, np.int64)]), "cls": np.repeat(np.array([_name(s) for s in sets], np.int64), [len(t) for t in own])})
 
     rows = documents.select(_key(), "text").join(_hint(copies), "key", "left_anti")
     return rows.select("text").mapInPandas(run, "tile long, cls long")
 
 
-def _shared_tiles(documents: DataFrame, described: DataFrame) -> DataFrame:
+def _shared_tiles(documents: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     """tile, blocks, cls of the tiles that two classes or more share."""
     w = Window.partitionBy("tile")
-    every = _tiled(documents, described).withColumn("a", F.min("cls").over(w)).withColumn("b", F.max("cls").over(w)).withColumn("k", F.count("*").over(w))
+    every = _tiled(documents, described, rule).withColumn("a", F.min("cls").over(w)).withColumn("b", F.max("cls").over(w)).withColumn("k", F.count("*").over(w))
     return every.where("a <> b").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), "cls").distinct()
 
 
-def arrays(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def arrays(documents: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """wanted (key, cls, ...) with s, the exact sorted array of the document's shingles; one row per class."""
     more = [c for c in wanted.columns if c != "key"]
     schema = T.StructType([*[wanted.schema[c] for c in more], T.StructField("s", T.ArrayType(T.LongType()))])
@@ -162,7 +199,7 @@ def arrays(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(frames):
         with np.errstate(over="ignore"):
             for rows in frames:
-                sets = [shingles(t) for t in rows["text"]]
+                sets = [shingles(t, rule.width) for t in rows["text"]]
                 rows = rows[more].assign(s=[s.view(np.int64) for s in sets])
                 # A key that stands in several rows may have other texts.
                 yield rows[[_name(s) == c for s, c in zip(sets, rows["cls"])]]
@@ -212,13 +249,13 @@ def _index_pairs(starts: np.ndarray):
                     yield i[i < j], j[i < j]
 
 
-def _may_link(i, j, n, sig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _may_link(i, j, n, sig, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that sizes and bitmaps allow, and how much they differ at least."""
-    on = NUM * np.maximum(n[i], n[j]) <= DEN * np.minimum(n[i], n[j])
+    on = rule.num * np.maximum(n[i], n[j]) <= rule.den * np.minimum(n[i], n[j])
     i, j = i[on], j[on]
     step = max(1, (1 << 21) // sig.shape[1])  # 16 MB of bits at once
     differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(sig[i[a : a + step]] ^ sig[j[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), step))])
-    on = (DEN + NUM) * differ <= (DEN - NUM) * (n[i] + n[j])
+    on = (rule.den + rule.num) * differ <= (rule.den - rule.num) * (n[i] + n[j])
     return i[on], j[on], differ[on]
 
 
@@ -226,7 +263,7 @@ def _bits(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
 
 
-def _candidate_edges(rows: DataFrame) -> DataFrame:
+def _candidate_edges(rows: DataFrame, rule: Rule) -> DataFrame:
     """x, y: each class of a tile with the smallest row it is connected to there by pairs that the bitmaps allow."""
 
     def run(frames):
@@ -236,7 +273,7 @@ def _candidate_edges(rows: DataFrame) -> DataFrame:
             for i, j in _index_pairs(starts):
                 # Pairs that are joined already tell nothing new.
                 new = own[i] != own[j]
-                i, j, _ = _may_link(i[new], j[new], n, sig)
+                i, j, _ = _may_link(i[new], j[new], n, sig, rule)
                 while len(i):
                     low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                     if (low == high).all():
@@ -277,7 +314,7 @@ def _roots(hooks: DataFrame) -> DataFrame:
         hooks = hooks.select("c", "p")
 
 
-def _resolve(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _resolve(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     """cls, comp of rows(keys, b, cls, comp, n, s): each group's components by exact links.
 
     `comp` is what is known before (or the class itself); rows of the same block `b` have been compared if the
@@ -299,12 +336,12 @@ def _resolve(rows: DataFrame, keys: list[str]) -> DataFrame:
                         block[lo:hi] = np.arange(hi - lo)  # one block: all pairs are new
                 for i, j in _index_pairs(starts):
                     new = (own[i] != own[j]) & (block[i] != block[j])
-                    i, j, differ = _may_link(i[new], j[new], n, sig)
+                    i, j, differ = _may_link(i[new], j[new], n, sig, rule)
                     for k in np.argsort(differ, kind="stable"):
                         a, b = own[i[k]], own[j[k]]
                         if a != b:
                             same = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
-                            if DEN * same >= NUM * (n[i[k]] + n[j[k]] - same):
+                            if rule.den * same >= rule.num * (n[i[k]] + n[j[k]] - same):
                                 g = np.searchsorted(starts, i[k], "right")
                                 part = own[starts[g - 1] : starts[g]]  # a view: the group's own labels
                                 part[part == max(a, b)] = min(a, b)
@@ -313,19 +350,19 @@ def _resolve(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInPandas(run, "cls long, comp long")
 
 
-def components(documents: DataFrame, described: DataFrame) -> DataFrame:
+def components(documents: DataFrame, described: DataFrame, rule: Rule = OP4) -> DataFrame:
     """cls, comp of the classes that may link with another; comp names a connected component."""
-    sharing = reread(_shared_tiles(documents, described))
+    sharing = reread(_shared_tiles(documents, described, rule))
     wanted = sharing.select("cls").distinct()
     reps = described.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min_by(F.struct("key", "n", "sig"), F.struct(F.col("doc_id").isNull(), "key")).alias("r"))
     reps = reread(reps.select("cls", "r.key", "r.n", "r.sig"))
-    groups = _merge(reread(_candidate_edges(sharing.join(reps.select("cls", "n", "sig"), "cls")))).withColumnRenamed("comp", "grp")
+    groups = _merge(reread(_candidate_edges(sharing.join(reps.select("cls", "n", "sig"), "cls"), rule))).withColumnRenamed("comp", "grp")
     own = groups.join(reps.select("cls", "key", "n"), "cls")
     load = F.count("*") + F.ceil(F.sum("n") * (GROUP_SETS / GROUP_ELEMENTS))
     blocks = own.groupBy("grp").agg(load.alias("load")).select("grp", F.when(F.col("load") <= GROUP_SETS, 1).otherwise(F.ceil(2 * F.col("load") / GROUP_SETS)).cast("int").alias("blocks"))
     own = own.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("comp", F.col("cls"))
-    rows = reread(arrays(documents, reread(own)).dropDuplicates(["cls"]))
-    alone = reread(_resolve(rows, ["grp", "b"]))
+    rows = reread(arrays(documents, reread(own), rule).dropDuplicates(["cls"]))
+    alone = reread(_resolve(rows, ["grp", "b"], rule))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return alone
@@ -333,17 +370,17 @@ def components(documents: DataFrame, described: DataFrame) -> DataFrame:
     known = large.drop("comp").join(alone, "cls")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("b")))
     pairs = known.withColumn("j", other).withColumn("b1", F.least("b", "j")).withColumn("b2", F.greatest("b", "j"))
-    told = _resolve(pairs.drop("j", "blocks"), ["grp", "b1", "b2"])
+    told = _resolve(pairs.drop("j", "blocks"), ["grp", "b1", "b2"], rule)
     links = reread(told.union(alone).where("cls <> comp").distinct())
     merged = _merge(links.toDF("x", "y"))
     return reread(alone.select("cls").join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
 
 
-def link(documents: DataFrame) -> DataFrame:
+def link(documents: DataFrame, rule: Rule = OP4) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of `documents`."""
     documents = documents.select("doc_id", "text")
-    described = reread(describe(documents))
-    found = components(documents, described)
+    described = reread(describe(documents, rule))
+    found = components(documents, described, rule)
     rows = described.select("doc_id", "n", "cls").join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "comp", "left").select(
@@ -351,8 +388,8 @@ def link(documents: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, rule: Rule = OP4) -> DataFrame:
     """The rows whose doc_id is the smallest of its component, unchanged; rows without shingles or doc_id all stay."""
-    own = link(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    own = link(documents, rule).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     gone = reread(own.where("not stays").select(F.col("doc_id").alias("gone_id")))
     return documents.join(_hint(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
