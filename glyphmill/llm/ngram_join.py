@@ -21,6 +21,9 @@ are connected already.  Larger groups are cut into blocks: each block is resolve
 of blocks, and the components are merged.  Large tiles are cut and paired alike.  So no link that
 matters is lost, at any size, and no task holds more than two blocks.
 
+Where the links are asked for (`class_links`, `link_counts`), no pair that the bitmaps allow is
+skipped: all pairs of a candidate group are verified, and the components follow from the links.
+
 Equal sets are one class from the start (64 bits of two sums name it), and only one
 document of a class makes tiles.  Links, classes and components stay in tables; the driver
 sees counts only.
@@ -350,8 +353,8 @@ def _resolve(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInPandas(run, "cls long, comp long")
 
 
-def components(documents: DataFrame, described: DataFrame, rule: Rule = OP4) -> DataFrame:
-    """cls, comp of the classes that may link with another; comp names a connected component."""
+def _grouped(documents: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
+    """cls, comp, n, s, grp, blocks, b of the classes that may link with another; linked ones have the same grp."""
     sharing = reread(_shared_tiles(documents, described, rule))
     wanted = sharing.select("cls").distinct()
     reps = described.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min_by(F.struct("key", "n", "sig"), F.struct(F.col("doc_id").isNull(), "key")).alias("r"))
@@ -361,21 +364,87 @@ def components(documents: DataFrame, described: DataFrame, rule: Rule = OP4) ->
     load = F.count("*") + F.ceil(F.sum("n") * (GROUP_SETS / GROUP_ELEMENTS))
     blocks = own.groupBy("grp").agg(load.alias("load")).select("grp", F.when(F.col("load") <= GROUP_SETS, 1).otherwise(F.ceil(2 * F.col("load") / GROUP_SETS)).cast("int").alias("blocks"))
     own = own.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("comp", F.col("cls"))
-    rows = reread(arrays(documents, reread(own), rule).dropDuplicates(["cls"]))
+    return reread(arrays(documents, reread(own), rule).dropDuplicates(["cls"]))
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of larger groups by every pair b1, b2 of their blocks."""
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("b")))
+    return rows.withColumn("j", other).withColumn("b1", F.least("b", "j")).withColumn("b2", F.greatest("b", "j")).drop("j", "blocks")
+
+
+def components(documents: DataFrame, described: DataFrame, rule: Rule = OP4) -> DataFrame:
+    """cls, comp of the classes that may link with another; comp names a connected component."""
+    rows = _grouped(documents, described, rule)
     alone = reread(_resolve(rows, ["grp", "b"], rule))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return alone
     # Every pair of blocks of a large group, with what its blocks have told.
     known = large.drop("comp").join(alone, "cls")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("b")))
-    pairs = known.withColumn("j", other).withColumn("b1", F.least("b", "j")).withColumn("b2", F.greatest("b", "j"))
-    told = _resolve(pairs.drop("j", "blocks"), ["grp", "b1", "b2"], rule)
+    told = _resolve(_block_pairs(known), ["grp", "b1", "b2"], rule)
     links = reread(told.union(alone).where("cls <> comp").distinct())
     merged = _merge(links.toDF("x", "y"))
     return reread(alone.select("cls").join(merged, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
 
 
+def _exact_links(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
+    """x, y, overlap of rows(keys, b, cls, n, s): every linked pair of classes of a group, x below y.
+
+    Rows of the same block `b` are compared only if the group has one block.
+    """
+
+    def run(frames):
+        for some, starts in _whole_groups(frames, keys):
+            sets, cls, n, block = some["s"].tolist(), some["cls"].to_numpy(np.int64), some["n"].to_numpy(np.int64), some["b"].to_numpy(np.int64)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                # One group at a time, so that a long set lengthens the bitmaps of its own group only.
+                own = slice(lo, hi)
+                bits = max(BITS, 1 << int(2 * n[own].max() - 1).bit_length())
+                sig, one = _bits([signature(s.view(np.uint64), bits) for s in sets[own]]), (block[own] == block[lo]).all()
+                for i, j in _index_pairs(np.array([0, hi - lo])):
+                    new = one | (block[lo + i] != block[lo + j])
+                    i, j, _ = _may_link(i[new], j[new], n[own], sig, rule)
+                    i, j = i + lo, j + lo
+                    same = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+                    on = rule.den * same >= rule.num * (n[i] + n[j] - same)
+                    x, y = cls[i[on]], cls[j[on]]
+                    if len(x):
+                        yield pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "overlap": same[on]})
+
+    rows = rows.select(*keys, *(c for c in ("b", "cls", "n", "s") if c not in keys))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInPandas(run, "x long, y long, overlap long")
+
+
+def class_links(documents: DataFrame, described: DataFrame, rule: Rule = OP4) -> DataFrame:
+    """x, y, overlap: all links between different classes, as a table; each pair once, x below y."""
+    rows = _grouped(documents, described, rule)
+    return reread(_exact_links(rows, ["grp", "b"], rule).union(_exact_links(_block_pairs(rows.where("blocks > 1")), ["grp", "b1", "b2"], rule)))
+
+
+def link_counts(documents: DataFrame, rule: Rule = OP4) -> DataFrame:
+    """doc_id, class_id, component_id, n_links: a row per row of `documents`, with the number of other rows it links with.
+
+    Rows of the same class_id have equal sets and link with each other; rows without shingles have no class.
+    """
+    documents = documents.select("doc_id", "text")
+    described = reread(describe(documents, rule))
+    links = class_links(documents, described, rule)
+    sizes = described.where("n > 0").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.select("x", "y").union(links.select("y", "x"))
+    near = both.join(sizes, both["y"] == sizes["cls"]).groupBy("x").agg(F.sum("size").alias("near")).withColumnRenamed("x", "cls")
+    rows = described.join(sizes, "cls", "left").join(near, "cls", "left").join(_merge(links.select("x", "y")), "cls", "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "cls"))
+    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    some = F.col("n") > 0
+    return rows.join(least, "comp", "left").select(
+        "doc_id",
+        F.when(some, F.col("cls")).alias("class_id"),
+        F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("size") - 1 + F.coalesce("near", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
+
+
 def link(documents: DataFrame, rule: Rule = OP4) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of `documents`."""
     documents = documents.select("doc_id", "text")

@@ -102,3 +102,30 @@ def test_run_drops_what_the_plain_version_drops(spark, tmp_path, monkeypatch):
     assert len(before) > 100
     assert sorted(i for i, _ in after) == plain_kept(before)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= {i for i, _ in after}
+
+
+@pytest.mark.parametrize("group", [8192, 10])
+def test_every_link_is_counted(spark, monkeypatch, group):
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", group)
+    rng, rows = random.Random(8), near_copies(n=20, most=80)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    for _ in range(40):  # one group of many different near copies, and some equal ones
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(150)] = f"w{rng.randrange(400)}"
+        rows.append((len(rows), " ".join(text), "en", "a", 1))
+    sets, want = plain_sets([r[1] for r in rows], 3), [0] * len(rows)
+    links = list(plain_links(sets, 9, 10))
+    for i, j, _ in links:
+        want[i] += 1
+        want[j] += 1
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r["doc_id"]: r for r in ngram_join.link_counts(docs).collect()}
+    assert len(got) == len(rows) and max(want) > 10
+    assert [got[i]["n_links"] for i in range(len(rows))] == want
+    assert {i: r["component_id"] for i, r in got.items()} == {r["doc_id"]: r["component_id"] for r in ngram_join.link(docs).collect()}
+    # The table holds each pair of classes once, with its overlap.
+    cls = {i: r["class_id"] for i, r in got.items()}
+    pairs = {(min(cls[i], cls[j]), max(cls[i], cls[j]), both) for i, j, both in links if cls[i] != cls[j]}
+    table = [tuple(r) for r in ngram_join.class_links(docs, ngram_join.describe(docs)).collect()]
+    assert len(table) == len(pairs) and set(table) == pairs
