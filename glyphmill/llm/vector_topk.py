@@ -9,8 +9,9 @@ the order of their upper bounds until the k-th exact score reaches the next boun
 Each task keeps k rows a query, which a window then reduces to k.
 
 Equal vectors tie in every query, so only the k + 1 smallest ids of a vector can
-appear in a result; the rest are set aside before (the row limit of the window runs
-before its shuffle as well).  Queries come in blocks of `block` rows, of which the
+appear in a result (one of them may be the query's own), each in at most k rows; the rest are set
+aside before (rows are counted by vector and id, and the limit of the window runs before its
+shuffle as well).  Queries come in blocks of `block` rows, of which the
 driver holds one at a time; each block's result is checkpointed when there are more.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components or
@@ -59,7 +60,8 @@ def scan(ids: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.
     mid = queries.astype(np.float64) @ centre.T
     # Rounding of sums of doubles is far below a thousandth of their size.
     slack = np.abs(queries).astype(np.float64) @ ((width - 1) / 2) + 1e-9 * (1 + np.abs(queries).astype(np.float64) @ np.abs(centre).max(axis=0))
-    kth = min(k, len(ids) - 1)
+    # No more rows than wanted: none can be ruled out.
+    kth = k if len(ids) > k else 0
     for q in range(len(queries)):
         row = mid[q].copy()
         own = ids == query_ids[q]
@@ -81,8 +83,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, sca
     """query_id, rank, vec_id, score. `vectors` and `queries`: vec_id, embedding; more columns are left out."""
     every = whole_vectors(vectors, scale)
     first = Window.partitionBy("v").orderBy("vec_id")
-    few = every.select("vec_id", "v", F.row_number().over(first).alias("nth")).where(F.col("nth") <= k + 1).drop("nth")
-    few = durable(few)
+    rows = every.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    few = rows.select("vec_id", "v", "times", F.row_number().over(first).alias("nth")).where(F.col("nth") <= k + 1)
+    few = durable(few.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("row")).drop("row"))
     asked = durable(whole_vectors(queries, scale).dropDuplicates(["vec_id", "v"]))
     n = asked.count()
     blocks = max(1, -(-n // block) * 2 if n > block else 1)
