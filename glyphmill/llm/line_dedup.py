@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BLANKS, ascii_lower, durable
+from glyphmill.llm.common import BLANKS, ascii_lower, checkpointed
 
 #: A null doc_id.
 LAST = 2**63 - 1
@@ -95,7 +95,7 @@ class LineRuns:
         told = self.spark.table(name)
         run = self._store(told.where("known is null").select("h1", "h2", "first"))
         rule = told.where("known is not null or last > first").select("h1", "h2", F.least("known", "first").alias("keeper"))
-        lost = durable(keys.join(rule, ["h1", "h2"]).where("d > keeper").select("d", "h1"))
+        lost = checkpointed(keys.join(rule, ["h1", "h2"]).where("d > keeper").select("d", "h1"))
         self._drop(name)
         self._add(run)
         return lost

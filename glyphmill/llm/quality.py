@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import durable
+from glyphmill.llm.common import checkpointed
 
 TRAIN_ROWS = 100_000
 FEATURES, FOLDS, PARTS, SEED = 256, 3, 8, 17
@@ -110,7 +110,7 @@ def fit(measured: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, ri
     share = min(1.0, train_rows / max(1, told.count()))
     sample = told.where(h < int(share * (1 << 30))).join(measured, "doc_id").withColumn("fold", (h % FOLDS).cast("int"))
     # The sample is bounded, so a fixed number of tasks will do.
-    sample = durable(sample.select("fold", "y", "x").repartition(PARTS))
+    sample = checkpointed(sample.select("fold", "y", "x").repartition(PARTS))
     model = Model(*_moments(sample), np.zeros(FEATURES + 1), (np.array([0.0, 1.0]), np.array([0.5, 0.5])))
 
     def equations(frames):
@@ -162,7 +162,7 @@ def isotonic(n: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, n
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of `documents`."""
-    measured = durable(measure(documents))
+    measured = checkpointed(measure(documents))
     model = fit(measured, labels, train_rows)
 
     def run(frames):

@@ -20,7 +20,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import durable
+from glyphmill.llm.common import checkpointed
 
 SLOTS = 4096
 #: Rows of one slot that one sort handles; larger slots are cut by further bits of the hash.
@@ -105,7 +105,7 @@ def shard(documents: DataFrame, shards: int = 40, slots: dict[int, int] | None =
     Without `slots` the map is made from these documents' sizes.
     """
     spark = documents.sparkSession
-    rows = durable(with_slots(documents))
+    rows = checkpointed(with_slots(documents))
     totals = slot_sizes(rows).collect()  # SLOTS rows at most
     if slots is None:
         slots = first_map({r["virtual_slot"]: r["bytes"] for r in totals}, shards)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import WORD, durable
+from glyphmill.llm.common import WORD, checkpointed
 
 #: Levels and bits a level: 5 * 12 = 60 bits of the hash decide.
 LEVELS, BITS = 5, 12
@@ -78,7 +78,7 @@ def thresholds(docs: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
             F.when(F.col("c").isNull(), F.lit(0.0)).otherwise(F.col("left") - (F.col("c.upto") - F.col("c.size"))).alias("left"),
             F.coalesce("c.b", "prefix").alias("prefix"), F.col("c.size").alias("size"),
         )
-        state = durable(state)
+        state = checkpointed(state)
     nearer = F.col("size").isNotNull() & (F.col("left") * 2 >= F.col("size"))
     return state.select("source", "source_size", "target", "times", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("bar"))
 
@@ -90,8 +90,8 @@ def _hash() -> Column:
 def _plan(documents: DataFrame, most: int, cycle: int) -> tuple[DataFrame, DataFrame, bool]:
     """A narrow table of the documents, the state of the sources, and whether the latter is small."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = durable(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
-    plan = durable(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle))
+    docs = checkpointed(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
+    plan = checkpointed(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle))
     small = (plan.agg(F.max("n_sources")).first()[0] or 0) <= BROADCAST_SOURCES
     state = thresholds(docs, plan.drop("n_sources"), small).withColumnRenamed("source", "s")
     return docs, F.broadcast(state) if small else state, small

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import durable
+from glyphmill.llm.common import checkpointed
 
 CELLS = 256
 SCHEMA = "query_id long, vec_id long, score long"
@@ -85,8 +85,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, sca
     first = Window.partitionBy("v").orderBy("vec_id")
     rows = every.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     few = rows.select("vec_id", "v", "times", F.row_number().over(first).alias("nth")).where(F.col("nth") <= k + 1)
-    few = durable(few.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("row")).drop("row"))
-    asked = durable(whole_vectors(queries, scale).dropDuplicates(["vec_id", "v"]))
+    few = checkpointed(few.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("row")).drop("row"))
+    asked = checkpointed(whole_vectors(queries, scale).dropDuplicates(["vec_id", "v"]))
     n = asked.count()
     blocks = max(1, -(-n // block) * 2 if n > block else 1)
     grid = grids(few.unionByName(asked))
@@ -95,7 +95,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, sca
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
         by_length = {m: (rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.int64)) for m, rows in own.groupby(own["v"].map(len))}
         part = _best(few.mapInPandas(_scanner(by_length, grid, k), SCHEMA), k)
-        parts.append(durable(part) if blocks > 1 else part)
+        parts.append(checkpointed(part) if blocks > 1 else part)
     return reduce(DataFrame.unionByName, parts)
 
 

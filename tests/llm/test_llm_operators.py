@@ -14,7 +14,7 @@ from glyphmill.llm import chat_format, decontaminate, line_dedup, ngram_join, qu
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names the operators use inside.
-EXTRA = "h long, size long, d long, s string, row string, cls string, n string, tiles string, y string, spans string, items string, gone string"
+EXTRA = "h long, size long, d long, s string, row string, cls string, n string, tiles string, y string, spans string, items string, gone string, shard string, gone_id string, virtual_slot string, key string, _gone string, _row string"
 
 
 def vocabulary(n=60):

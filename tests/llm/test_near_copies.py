@@ -127,5 +127,5 @@ def test_every_link_is_counted(spark, monkeypatch, group):
     # The table holds each pair of classes once, with its overlap.
     cls = {i: r["class_id"] for i, r in got.items()}
     pairs = {(min(cls[i], cls[j]), max(cls[i], cls[j]), both) for i, j, both in links if cls[i] != cls[j]}
-    table = [tuple(r) for r in ngram_join.class_links(docs, ngram_join.describe(docs)).collect()]
+    table = [tuple(r) for r in ngram_join.class_links(ngram_join.Classes(docs, ngram_join.OP4)).collect()]
     assert len(table) == len(pairs) and set(table) == pairs
