@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import decontaminate, ngram_join, slot_shards, source_mix, toxicity
-from glyphmill.llm.common import reread, table
+from glyphmill.llm.common import durable, table
 
 SHARDS = 40
 
@@ -54,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = reread(stage(spark, docs, sf_dir))
+        docs = durable(stage(spark, docs, sf_dir))
     return docs
