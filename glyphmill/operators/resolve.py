@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.session import durable
+
 
 def fill_references(rows: DataFrame, values: DataFrame, key: list[str], text: str, pattern: str = r"\{(\w+)\}", form: str = "{%s}") -> DataFrame:
     """rows with references filled from values(name, value), and `unresolved`: the names that aren't there (they stay)."""
@@ -60,6 +62,16 @@ def running_numbers(rows: DataFrame, file: str, order: str, name: str = "number"
     return rows.withColumn("_own", own).join(starts, file).withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """rows numbered from 1 in a total order: dealt by ranges into a written table, numbered in each range, and moved by the ranges before it. No task sorts all rows."""
+    parts = durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = parts.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    starts = counts.select("_range", before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start", "_range")
+
+
 def insert_options(lines: DataFrame, options: DataFrame, key: str) -> DataFrame:
     """key, line_no, kind, text: options(key, page, idx, text) before the lines(key, page, idx, text) of their page."""
     both = options.select(key, "page", F.lit(0).alias("r"), "idx", "text").unionByName(lines.select(key, "page", F.lit(1).alias("r"), "idx", "text"))
