@@ -60,9 +60,9 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts have at most `most` bytes (a longer text is a piece of its own); no bytes are copied."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, texts: pa.Array | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose texts (its column `text`, or those given) have at most `most` bytes; a longer text is a piece of its own. No bytes are copied."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text") if texts is None else texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):

@@ -2,21 +2,25 @@
 
 The categories stand in a fixed order, each with a linear (logistic) model over the
 counts of chosen words and word beginnings (the first 4, 5 or 6 bytes, so that a stem
-with many endings counts as one); the models after the first also see the logits of
-the earlier categories.  While training, those logits come from models that did not see
-the row (out of fold); when scoring, from the final models.  The words are chosen by
-how much their presence differs between the two labels, counted in the training rows
-by Spark.
-
-`labels` marks toxicity and quality only, so the default categories are made of these
-two: abuse in junk, abuse in prose, and any abuse; the last decides.  Training uses
-at most `train_rows` labelled rows, the smallest by hash of doc_id; only their
+with many endings counts as one) and a few numbers about the text's form; the models after
+the first also see the logits of the earlier categories.  While training, those logits
+come from models that did not see the row (out of fold); when scoring, from the final models.
+The words are chosen by how much their presence differs between the two labels, counted
+in the training rows by Spark.
+
+`labels` marks toxicity and quality only, so the earlier categories are parts of it that
+these and the language tell apart: abuse in junk, and abuse in other languages than
+English.  They overlap and don't add up to the last category, any abuse, which decides.
+Training uses at most `train_rows` labelled rows, the smallest by hash of doc_id; only their
 counts of at most `n_words` forms reach the driver.  Every document's whole text is scored.
 
+Texts are worked on in slices of bounded bytes, so a task's memory depends on neither
+the number nor the length of the documents (but for one text that is longer than a slice).
+
 Defined results: null and empty texts have no words and get the probability of that;
-repeated rows each get a row; rows with a null doc_id are scored and never trained on;
-a category without labels of both kinds has its share of label 1 as probability, and
-one without any label has nearly 0.
+repeated rows each get a row; rows with a null doc_id are scored and never trained on; of
+labels that contradict each other the larger counts; a category without labels of both
+kinds has its share of label 1 as probability, and one without any label has nearly 0.
 """
 
 from __future__ import annotations
@@ -25,19 +29,24 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.common import Scratch, slices
 from glyphmill.llm.decontaminate import words_of
 
 TRAIN_ROWS, N_WORDS, FOLDS = 20_000, 300, 3
 #: A document is rejected from this probability of the last category on.
 THRESHOLD = 0.3
-#: Names and label expressions over `labels`, in the order of the chain; the last one decides.
-CATEGORIES = (("junk_abuse", "toxic = 1 and quality = 0"), ("prose_abuse", "toxic = 1 and quality = 1"), ("toxic", "toxic = 1"))
+#: Names and label expressions over toxic, quality and lang, in the order of the chain; the last one decides.
+CATEGORIES = (("junk_abuse", "toxic = 1 and quality = 0"), ("foreign_abuse", "toxic = 1 and lang <> 'en'"), ("toxic", "toxic = 1"))
+#: Words whose forms a task remembers at once.
+REMEMBERED = 100_000
+#: Numbers about the form of a text.
+N_FORM = 4
+_SYMBOLS = np.isin(np.arange(256), list(b"#$%&*@^~+=_|")).astype(np.float32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,8 +64,12 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25) -> np.ndarray:
-    """Newton's method; the last column of x is the constant and isn't shrunk."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25, block: int = 2048) -> np.ndarray:
+    """Newton's method over blocks of rows; the last column of x is the constant and isn't shrunk."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
     base = np.clip(y.mean(), 1e-4, 1 - 1e-4) if len(y) else 1e-4
@@ -64,34 +77,69 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int =
     if not len(y) or y.min() == y.max():
         return w
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        curve, slope = np.diag(keep), keep * w
+        for at in range(0, len(x), block):
+            some = x[at : at + block].astype(np.float64)
+            p = _sigmoid(some @ w)
+            curve = curve + (some * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ some
+            slope = slope + some.T @ (p - y[at : at + block])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+class _Known(dict):
+    """Word to the numbers of its chosen forms; filled as words come."""
+
+    def __init__(self, words: dict[bytes, int]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        get = self.words.get
+        self[word] = out = tuple(k for f in forms(word) if (k := get(f)) is not None)
+        return out
+
+
+def _form(text: str | None, n_words: int) -> tuple[float, ...]:
+    """Logarithm of the words, and shares of capitals, of symbols, and of bytes beyond ASCII."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if not raw:
+        return (0.0,) * N_FORM
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    return np.log1p(n_words), counts[65:91].sum() / len(raw), float(_SYMBOLS @ counts) / len(raw), counts[128:].sum() / len(raw)
+
+
 @dataclass
 class Chain:
     words: dict[bytes, int]
     names: list[str]
     models: list[np.ndarray] = field(default_factory=list)
 
-    def counts(self, text: str | None) -> np.ndarray:
-        get, out = self.words.get, np.zeros(len(self.words) + 1)
-        found = tokens(text)
-        for word, n in Counter(found).items():
-            for form in forms(word):
-                k = get(form)
-                if k is not None:
-                    out[k] += n
-        out[-1] = len(found)
-        return np.log1p(out)
+    @property
+    def width(self) -> int:
+        return len(self.words) + N_FORM
+
+    def counts(self, texts: list[str | None], known: _Known | None = None) -> np.ndarray:
+        """A row per text: logarithms of the counts of the chosen forms, and the form of the text."""
+        known = _Known(self.words) if known is None else known
+        out = np.zeros((len(texts), self.width), np.float32)
+        for row, text in zip(out, texts):
+            found = tokens(text)
+            for hit in filter(None, map(known.__getitem__, found)):
+                for k in hit:
+                    row[k] += 1
+            np.log1p(row, out=row)
+            row[len(self.words) :] = _form(text, len(found))
+            if len(known) > REMEMBERED:
+                known.clear()
+        return out
 
     @staticmethod
     def design(x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
-        return np.hstack([x, *[_logit(p)[:, None] for p in earlier], np.ones((len(x), 1))])
+        return np.hstack([x, *[_logit(p)[:, None] for p in earlier], np.ones((len(x), 1))]).astype(np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
         """y: a column per category."""
@@ -102,45 +150,52 @@ class Chain:
             apart = np.zeros(len(x))
             for f in range(FOLDS):
                 own = fold == f
-                apart[own] = 1 / (1 + np.exp(-np.clip(d[own] @ fit_logistic(d[~own], y[~own, c]), -30, 30)))
+                apart[own] = _sigmoid(d[own] @ fit_logistic(d[~own], y[~own, c]))
             earlier.append(apart)
 
     def predict(self, x: np.ndarray) -> list[np.ndarray]:
         """The probability of each category, in order."""
         out: list[np.ndarray] = []
         for w in self.models:
-            out.append(1 / (1 + np.exp(-np.clip(self.design(x, out) @ w, -30, 30))))
+            out.append(_sigmoid(self.design(x, out) @ w))
         return out
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, categories, train_rows: int) -> DataFrame:
-    """text, y, fold of the labelled rows that are used. Their ids and labels, at most `train_rows` rows, are broadcast."""
+    """id, text, y, fold of the labelled rows that are used. Their ids and labels, at most `train_rows` rows, are broadcast."""
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    y = F.array(*[F.coalesce(F.expr(e).cast("double"), F.lit(0.0)) for _, e in categories])
-    told = told.select("id", y.alias("y"), h.alias("h"), (h % FOLDS).cast("int").alias("fold"))
+    told = told.select("id", "toxic", "quality", h.alias("h"), (h % FOLDS).cast("int").alias("fold"))
     share = min(1.0, train_rows / max(1, told.count()))
     # The limit only guards the bound of the broadcast; the hash has chosen the rows.
     told = told.where(F.col("h") < int(share * (1 << 30))).orderBy("h", "id").limit(train_rows)
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(told), "id").select("id", "text", "y", "fold")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").join(F.broadcast(told), "id")
+    y = F.array(*[F.coalesce(F.expr(e).cast("double"), F.lit(0.0)) for _, e in categories])
+    return rows.select("id", "text", y.alias("y"), "fold")
 
 
 def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[bytes]:
     """The forms whose presence speaks most for the last category, by chi-squared."""
 
-    def run(frames):
+    def run(batches):
         every, toxic, docs = Counter(), Counter(), np.zeros(2)
-        for some in frames:
-            for text, y in zip(some["text"], some["y"]):
-                own = {f for w in set(tokens(text)) for f in forms(w)}
-                every.update(own)
-                docs += 1, y[-1]
-                if y[-1]:
-                    toxic.update(own)
+        for batch in batches:
+            for some in slices(batch):
+                for text, y in zip(some.column("text").to_pylist(), some.column("y").to_pylist()):
+                    own = {f for w in set(tokens(text)) for f in forms(w)}
+                    every.update(own)
+                    docs += 1, y[-1]
+                    if y[-1]:
+                        toxic.update(own)
         every[b""], toxic[b""] = docs  # the empty word counts documents
-        yield pd.DataFrame({"word": list(every), "n": list(every.values()), "pos": [toxic[w] for w in every]})
-
-    sums = rows.select("text", "y").mapInPandas(run, "word binary, n double, pos double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+        words = list(every)
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.binary()), pa.array([float(every[w]) for w in some]), pa.array([float(toxic[w]) for w in some])], names=["word", "n", "pos"]
+            )
+
+    sums = rows.select("text", "y").mapInArrow(run, "word binary, n double, pos double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     total = sums.where(F.octet_length("word") == 0).first()
     if not total or not total["pos"] or total["pos"] == total["n"]:
         return []
@@ -157,29 +212,38 @@ def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[byt
 
 
 def train(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: int = TRAIN_ROWS, n_words: int = N_WORDS) -> Chain:
-    rows = training_rows(documents, labels, categories, train_rows)
+    scratch = Scratch(documents.sparkSession)
+    # The documents are read once for the bounded sample, which is then read twice.
+    rows = scratch.table(training_rows(documents, labels, categories, train_rows))
     chain = Chain({w: k for k, w in enumerate(choose_words(rows, n_words))}, [c for c, _ in categories])
 
-    def run(frames):
-        for some in frames:
-            x = np.array([chain.counts(t) for t in some["text"]], np.float32)
-            yield pd.DataFrame({"id": some["id"], "x": [r.tobytes() for r in x], "y": some["y"], "fold": some["fold"]})
-
-    got = rows.mapInPandas(run, "id long, x binary, y array<double>, fold int").toPandas().sort_values(["id", "x"])
-    x = np.array([np.frombuffer(r, np.float32) for r in got["x"]], np.float64).reshape(-1, len(chain.words) + 1)
-    chain.fit(x, np.array(got["y"].tolist()).reshape(-1, len(categories)), got["fold"].to_numpy())
+    def run(batches):
+        known = _Known(chain.words)
+        for batch in batches:
+            for some in slices(batch):
+                x = chain.counts(some.column("text").to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), some.column("y"), some.column("fold")], names=["id", "x", "y", "fold"])
+
+    got = rows.mapInArrow(run, "id long, x binary, y array<double>, fold int").toArrow()
+    scratch.drop(rows)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, chain.width)
+    y = np.array(got.column("y").to_pylist(), np.float64).reshape(-1, len(categories))
+    order = np.lexsort((*x.T[:3], got.column("id").to_numpy()))
+    chain.fit(x[order], y[order], got.column("fold").to_numpy()[order])
     return chain
 
 
 def score(documents: DataFrame, chain: Chain) -> DataFrame:
     """row (struct of the document's columns) and the probability of each category."""
-    df = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")).select("row", F.col("row.text").alias("text"))
+    df = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     schema = T.StructType([df.schema["row"], *[T.StructField(c, T.DoubleType()) for c in chain.names]])
 
     def run(batches):
+        known = _Known(chain.words)
         for batch in batches:
-            x = np.array([chain.counts(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(chain.words) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, chain.predict(x))], names=["row", *chain.names])
+            for some in slices(batch, batch.column("row").field("text")):
+                x = chain.counts(some.column("row").field("text").to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([some.column("row"), *map(pa.array, chain.predict(x))], names=["row", *chain.names])
 
     return df.mapInArrow(run, schema)
 
