@@ -7,7 +7,7 @@ threshold is found without a sort: words are summed by source and the first bits
 of the hash, the bucket in which the budget ends is split by the next bits, and so
 on (nested thresholds), until the buckets are single hash values.  Sums are taken
 in the map tasks, so a hot source costs no more than others, and the result is one
-filter.
+filter.  Each level reads what the one before it has left: the documents of the boundary buckets.
 
 Defined results: a null text has size 0; null is a source of its own (the last);
 documents with equal doc_id and text share a hash and so are taken alike.  The
@@ -19,33 +19,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import WORD, checkpointed
+from glyphmill.llm.common import WORD, Scratch, checkpointed
+from glyphmill.operators.resolve import numbered
 
 #: Levels and bits a level: 5 * 12 = 60 bits of the hash decide.
 LEVELS, BITS = 5, 12
-#: Tables with a row per source are broadcast up to this many sources.
+#: Tables with a row per source are broadcast up to this many sources, and joined by shuffle beyond; the results agree.
 BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
-    """source, source_size, n_sources, target from one row (source, source_size) per source.
+    """source, source_size, target from one row (source, source_size) per source.
 
-    Weights are 1 to `cycle`, repeating, in code point order with null last.  The
-    windows run over one row per source.
+    Weights are 1 to `cycle`, repeating, in code point order with null last; sources are numbered range by
+    range.  A source is capped while its share of what the capped ones leave is above `most` times its size;
+    a round sums both sides over all sources, and the capped ones only grow.
     """
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    w = sizes.withColumn("weight", (F.row_number().over(order) - 1) % cycle + 1)
-    # Source by source in the order of size / weight: capped while its share of the rest is above its cap.
-    rising = Window.orderBy(F.col("source_size") / F.col("weight"), F.asc_nulls_last("source"))
-    before, every = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    w = w.withColumn("cap", most * F.col("source_size")).withColumn("total", F.sum("source_size").over(every))
-    rest = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weights = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    w = w.withColumn("capped", F.col("cap") * weights < F.col("weight") * rest)
-    w = w.withColumn("rest", F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0)))
-    w = w.withColumn("weights", F.sum("weight").over(every) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("weight"))).over(every), F.lit(0)))
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("rest")).cast("double") / F.col("weights"))
-    return w.select("source", "source_size", F.count("*").over(every).alias("n_sources"), F.coalesce(target, F.lit(0.0)).alias("target"))
+    w = numbered(sizes, [F.asc_nulls_last("source")], "weight").withColumn("weight", (F.col("weight") - 1) % cycle + 1)
+    w = checkpointed(w.withColumn("cap", most * F.col("source_size")))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    total, rest, weights, capped, before = None, 0, 1, F.lit(False), -1
+    while True:
+        got = w.agg(F.sum("source_size").alias("t"), F.count_if(capped).alias("n"), F.sum(F.when(capped, F.col("cap"))).alias("c"), F.sum(F.when(~capped, F.col("weight"))).alias("w")).first()
+        total, rest, weights = got["t"] or 0, (got["t"] or 0) - (got["c"] or 0), got["w"] or 1
+        if got["n"] == before:
+            break
+        before, capped = got["n"], wide("cap") * F.lit(weights).cast("decimal(19,0)") < wide("weight") * F.lit(rest).cast("decimal(19,0)")
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(F.col("weight").cast("double") * float(rest) / float(weights))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def _bucket(level: int) -> Column:
@@ -59,12 +60,15 @@ def thresholds(docs: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     state = plan.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size"))
     state = state.withColumn("prefix", F.lit(0).cast("long"))
     hint = F.broadcast if small else (lambda d: d)
-    rows = docs.where("size > 0").groupBy("source", "h").agg(F.sum("size").alias("size"))
+    scratch, kept, rows = Scratch(docs.sparkSession), [], docs.where("size > 0").select("source", "h", "size")
     for level in range(LEVELS):
         s = state.select(F.col("source").alias("s"), "left", "prefix")
         on = F.col("source").eqNullSafe(F.col("s")) & (F.col("left") > 0)
         if level:
             on = on & (_bucket(level - 1) == F.col("prefix"))
+            # From here on only documents of boundary buckets are read.
+            rows = scratch.table(rows.join(hint(s), on, "left_semi"))
+            kept.append(rows)
         histogram = rows.join(hint(s), on).groupBy("source", "left", _bucket(level).alias("b")).agg(F.sum("size").alias("size"))
         run = F.sum("size").over(Window.partitionBy("source").orderBy("b"))
         histogram = histogram.select("source", "left", "b", "size", run.alias("upto"))
@@ -79,6 +83,7 @@ def thresholds(docs: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
             F.coalesce("c.b", "prefix").alias("prefix"), F.col("c.size").alias("size"),
         )
         state = checkpointed(state)
+    scratch.drop(*kept)
     nearer = F.col("size").isNotNull() & (F.col("left") * 2 >= F.col("size"))
     return state.select("source", "source_size", "target", "times", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("bar"))
 
@@ -92,8 +97,8 @@ def _plan(documents: DataFrame, most: int, cycle: int) -> tuple[DataFrame, DataF
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = checkpointed(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
     plan = checkpointed(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), most, cycle))
-    small = (plan.agg(F.max("n_sources")).first()[0] or 0) <= BROADCAST_SOURCES
-    state = thresholds(docs, plan.drop("n_sources"), small).withColumnRenamed("source", "s")
+    small = plan.count() <= BROADCAST_SOURCES
+    state = thresholds(docs, plan, small).withColumnRenamed("source", "s")
     return docs, F.broadcast(state) if small else state, small
 
 
