@@ -1,14 +1,15 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is one batch of documents in a task.  Its words become numbers of the
+A shard is a slice of bounded bytes of a task's documents.  Its words become numbers of the
 benchmark's vocabulary; a word that no benchmark item has ends every window, so
 only runs of known words that are long enough for a window go into the shard's
 text (a lossless reduction).  All windows are searched backward through the ranks
 of a wavelet matrix, their occurrences are located by sampled suffix positions, and
 the overlapping occurrences are merged into removal spans.  Nothing is shuffled.
 
-The benchmark is handed to the tasks in blocks of at most `block_words` words; a
-larger one takes more passes over the same rows.
+The benchmark is handed to the tasks in blocks of about `block_words` words, one block at a time: a
+larger benchmark takes more passes, each of which reads the table that the one before it has
+written and adds its spans.  The driver and the tasks hold one block, whatever the benchmark's size.
 
 Defined results: a null or empty text has no words, no spans and no items; items
 with a null id or without words are left out; repeated rows each get a row; rows of
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.common import Scratch, slices
 from glyphmill.llm.fm_index import FMIndex
 
 #: Bytes that end a word: all ASCII but digits and a-z (A-Z are lower-cased before).
 _BREAKS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
-FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = ("n_words long", "spans array<struct<start:long,end:long>>", "items array<string>")
+#: Bytes of documents in a shard.
+SHARD_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,22 +45,25 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str]], width: int = 13):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.names)}
+        rows, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
         for name, text in items:
             # 0 is the index's end of text and 1 parts the runs.
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
-            for k in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + width]), set()).add(number[name])
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.patterns = np.zeros((len(found), width), np.int64)
-        for k, w in enumerate(found):
-            self.patterns[k, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if found else 0
-        pairs = [(k, i) for k, own in enumerate(found.values()) for i in sorted(own)]
-        self.item = np.array([i for _, i in pairs], np.int64)
-        self.first = np.searchsorted(np.array([k for k, _ in pairs], np.int64), np.arange(len(found) + 1))
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)], np.int32)
+            if len(ids) >= width:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, width))
+            elif len(ids):
+                rows.append(np.pad(ids, (0, width - len(ids)))[None, :])
+            else:
+                continue
+            owners.append(np.full(len(rows[-1]), number[name]))
+        self.patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min(initial=width)) if len(self.patterns) else 0
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)], axis=1), axis=0)
+        self.item = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1))
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text of a shard: number of words, merged spans of words, items with occurring windows."""
@@ -127,14 +134,19 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tu
         yield [(r["item_id"], r["text"]) for r in rows.collect()]
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = 2_000_000) -> DataFrame:
+def find_spans(documents: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = 500_000) -> DataFrame:
     """row (struct of the document's columns), n_words, spans (start and end word), items."""
-    df = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")).select("row", F.col("row.text").alias("text"))
-    for c in ("n_words long", "spans array<struct<start:long,end:long>>", "items array<string>"):
+    df = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    for c in FOUND:
         name, kind = c.split(" ", 1)
         df = df.withColumn(name, F.lit(None).cast(kind))
-    schema = T.StructType(df.schema.fields)
-    for items in benchmark_blocks(benchmark, block_words):
+    schema, scratch, before = T.StructType(df.schema.fields), Scratch(documents.sparkSession), None
+    for k, items in enumerate(benchmark_blocks(benchmark, block_words)):
+        if k:
+            df, old = scratch.table(df), before
+            before = df
+            if old is not None:
+                scratch.drop(old)
         df = df.mapInArrow(_searcher(Windows(items, width)), schema)
     return df.select("row", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -143,18 +155,19 @@ def _searcher(windows: Windows):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
-            found = list(windows.search(batch.column("text").to_pylist()))
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            spans = [merge_spans([(s["start"], s["end"]) for s in old or []] + new) for old, (_, new, _) in zip(old_spans, found)]
-            items = [sorted({*(old or []), *new}) for old, (_, _, new) in zip(old_items, found)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("text"), pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string())),
-                ],
-                names=["row", "text", "n_words", "spans", "items"],
-            )
+        for whole in batches:
+            for batch in slices(whole, whole.column("row").field("text"), SHARD_BYTES):
+                found = list(windows.search(batch.column("row").field("text").to_pylist()))
+                old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+                spans = [merge_spans([(s["start"], s["end"]) for s in old or []] + new) for old, (_, new, _) in zip(old_spans, found)]
+                items = [sorted({*(old or []), *new}) for old, (_, _, new) in zip(old_items, found)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row"), pa.array([n for n, _, _ in found], pa.int64()),
+                        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string())),
+                    ],
+                    names=["row", "n_words", "spans", "items"],
+                )
 
     return run
 
