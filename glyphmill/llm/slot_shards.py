@@ -1,26 +1,36 @@
 """Sharding through fixed virtual slots.
 
-Records are hashed into thousands of slots that never change.  A versioned table
-maps slots to shards: version 1 is filled by bytes (largest slot first, always to
-the lightest shard), and later versions edit it, moving only slots whose shard is
-too heavy or that a new shard needs.  The law that holds is `bytes`: shards have
-nearly equal sizes.  Only the slots' sums, a fixed number of rows, reach the driver.
+Records are hashed into thousands of slots that never change.  A stored, versioned table
+maps slots to shards: version 1 deals them out evenly by number, and each later version edits the
+one before for the bytes that the slots hold, moving only slots whose shard is
+too heavy or that a new shard needs, and then single slots while that evens out the
+heaviest and the lightest shard.  Records find their shard through the last version that is
+stored.  The law that holds is `bytes`: shards have nearly equal sizes.  Only the slots' sums,
+a fixed number of rows, reach the driver.
+
+Rows of the same doc_id and text have one hash.  Where such a group holds more than a
+slot's fair share of all bytes (there can be no more such groups than slots), its rows
+are salted by a running number and so spread over several slots.
 
 Positions in a shard come from counts of smaller groups (slot and further bits of
-the hash), so no task sorts a whole shard.
+the hash), so no task sorts a whole shard.  The number of these cuts follows the largest slot; it decides
+which position a row gets, and nothing else.
+
+Equal texts: `bytes` keeps records of equal text apart unless their doc_id is equal too.  Groups of
+copies may hold a third of all rows, which no shard of forty could take whole without breaking the law.
 
 Defined results: a null text has no bytes and the checksum of an empty one; null
-and repeated doc_ids are spread by their text; repeated rows each get a position.
+and repeated doc_ids are spread by their text, and by the salt; repeated rows each get a position.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import checkpointed
+from glyphmill.llm.common import Scratch
 
 SLOTS = 4096
 #: Rows of one slot that one sort handles; larger slots are cut by further bits of the hash.
@@ -28,25 +38,38 @@ ROWS_A_CUT = 50_000
 MAP_SCHEMA = "version int, slot int, shard int"
 
 
-def with_slots(documents: DataFrame, overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, h, virtual_slot."""
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+def _bytes_of(text: Column) -> Column:
+    return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def hashed(documents: DataFrame, overhead: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, h, rid (a number of the row, for the salt)."""
+    text = _bytes_of(F.col("text"))
     rows = documents.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("h", F.xxhash64("doc_id", "text_crc32")).withColumn("virtual_slot", F.pmod("h", F.lit(SLOTS)).cast("int"))
+    return rows.withColumn("h", F.xxhash64("doc_id", "text_crc32")).withColumn("rid", F.monotonically_increasing_id())
+
+
+def heavy_hashes(rows: DataFrame) -> DataFrame:
+    """heavy, salts of the hashes that hold more than a slot's fair share of bytes: SLOTS rows at most."""
+    total = rows.agg(F.sum("size")).first()[0] or 1
+    by = rows.groupBy(F.col("h").alias("heavy")).agg(F.sum("size").alias("own"), F.count("*").alias("k")).where((F.col("own") * SLOTS > total) & (F.col("k") > 1))
+    return by.select("heavy", F.least(F.col("k"), F.ceil(F.col("own") * (4.0 * SLOTS / total))).cast("long").alias("salts"))
+
+
+def with_slots(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """rows(h, rid, ...) with salted `h` and virtual_slot. What is heavy has SLOTS rows at most and is broadcast."""
+    rows = rows.join(F.broadcast(heavy), F.col("h") == F.col("heavy"), "left")
+    salted = F.when(F.col("salts").isNotNull(), F.xxhash64("h", F.pmod(F.xxhash64("rid"), F.col("salts")))).otherwise(F.col("h"))
+    return rows.withColumn("h", salted).drop("heavy", "salts").withColumn("virtual_slot", F.pmod("h", F.lit(SLOTS)).cast("int"))
 
 
 def slot_sizes(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
-def first_map(sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """Slot to shard: the largest slot goes to the lightest shard, slot by slot."""
-    heap, out = [(0, s) for s in range(shards)], {}
-    for slot in sorted(range(SLOTS), key=lambda x: (-sizes.get(x, 0), x)):
-        load, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (load + sizes.get(slot, 0), shard))
-    return out
+def first_map(shards: int) -> dict[int, int]:
+    """Slot to shard, dealt out in turn."""
+    return {slot: slot % shards for slot in range(SLOTS)}
 
 
 def rebalance(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.02) -> dict[int, int]:
@@ -69,6 +92,27 @@ def rebalance(current: dict[int, int], sizes: dict[int, int], shards: int, slack
         n, shard = heapq.heappop(heap)
         out[slot] = shard
         heapq.heappush(heap, (n + sizes.get(slot, 0), shard))
+    return evened(out, sizes, shards)
+
+
+def evened(current: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
+    """The map after moves of single slots from the heaviest shard to the lightest, while one brings the two closer."""
+    own: dict[int, list[int]] = {s: [] for s in range(shards)}
+    for slot, shard in current.items():
+        if sizes.get(slot, 0):
+            own[shard].append(slot)
+    load = {s: sum(sizes[x] for x in slots) for s, slots in own.items()}
+    out = dict(current)
+    for _ in range(SLOTS):
+        top, low = max(load, key=lambda s: (load[s], s)), min(load, key=lambda s: (load[s], s))
+        gap = load[top] - load[low]
+        # The slot whose move leaves the smallest gap.
+        best = min((x for x in own[top] if sizes[x] < gap), key=lambda x: (abs(gap - 2 * sizes[x]), x), default=None)
+        if best is None:
+            break
+        own[top].remove(best)
+        own[low].append(best)
+        load[top], load[low], out[best] = load[top] - sizes[best], load[low] + sizes[best], low
     return out
 
 
@@ -88,27 +132,45 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r["slot"]: r["shard"] for r in rows.where(F.col("version") == version).collect()}
 
 
-def assign(documents: DataFrame, shards: int = 40) -> DataFrame:
-    """The rows of `documents` with `shard`. Nothing is shuffled but the slots' sums."""
-    spark = documents.sparkSession
-    totals = slot_sizes(with_slots(documents)).collect()  # SLOTS rows at most
-    slots = first_map({r["virtual_slot"]: r["bytes"] for r in totals}, shards)
-    where = F.broadcast(map_table(spark, 1, slots).select(F.col("slot").alias("own_slot"), "shard"))
-    own = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(SLOTS)).cast("int")
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    return documents.select(row, own.alias("own_slot")).join(where, "own_slot").select("row.*", "shard")
+def edited_map(spark: SparkSession, path: str, sizes: dict[int, int], shards: int) -> tuple[int, dict[int, int]]:
+    """The last stored map (version 1 if there is none yet), edited for `sizes`, stored as the next version and read back."""
+    if not _stored(spark, path):
+        save_map(spark, path, 1, first_map(shards))
+    version, slots = load_map(spark, path)
+    save_map(spark, path, version + 1, rebalance(slots, sizes, shards, 0.0))
+    return load_map(spark, path, version + 1)
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def shard(documents: DataFrame, shards: int = 40, slots: dict[int, int] | None = None, version: int = 1) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (position in the shard), virtual_slot, map_version: a row per row.
+def assign(documents: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """The rows of `documents` with `shard` (in place of a column of this name). Nothing is shuffled but sums by hash and by slot. path: where the maps are stored.
 
-    Without `slots` the map is made from these documents' sizes.
+    `documents` is read twice; a written table gives its rows in the same order then, so that salted rows count where they go.
     """
-    spark = documents.sparkSession
-    rows = checkpointed(with_slots(documents))
+    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
+    documents = documents.drop("shard")
+    rows = hashed(documents)
+    heavy = scratch.table(heavy_hashes(rows))
+    totals = slot_sizes(with_slots(rows, heavy)).collect()  # SLOTS rows at most
+    version, slots = edited_map(spark, path or f"{scratch.folder}/maps", {r["virtual_slot"]: r["bytes"] for r in totals}, shards)
+    where = F.broadcast(map_table(spark, version, slots).select(F.col("slot").alias("virtual_slot"), "shard"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    own = documents.select(row, F.xxhash64("doc_id", F.crc32(_bytes_of(F.col("text")))).alias("h"), F.monotonically_increasing_id().alias("rid"))
+    return with_slots(own, heavy).join(where, "virtual_slot").select("row.*", "shard")
+
+
+def shard(documents: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (position in the shard), virtual_slot, map_version: a row per row. path: where the maps are stored."""
+    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
+    raw = scratch.table(hashed(documents))
+    rows = scratch.table(with_slots(raw, heavy_hashes(raw)))
+    scratch.drop(raw)
     totals = slot_sizes(rows).collect()  # SLOTS rows at most
-    if slots is None:
-        slots = first_map({r["virtual_slot"]: r["bytes"] for r in totals}, shards)
+    version, slots = edited_map(spark, path or f"{scratch.folder}/maps", {r["virtual_slot"]: r["bytes"] for r in totals}, shards)
     cuts = -(-max([1, *(r["rows"] for r in totals)]) // ROWS_A_CUT)
     where = F.broadcast(map_table(spark, version, slots).select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version")))
     rows = rows.join(where, "virtual_slot").withColumn("cut", F.pmod(F.shiftright("h", 20), F.lit(cuts)))
