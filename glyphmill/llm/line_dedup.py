@@ -8,6 +8,9 @@ run has (the anti join) become a new run of level 0, and when a level has `fanou
 runs they are merged into one of the next level.  A line is dropped if its key's
 smallest doc_id is another one.
 
+Runs and the keys of a batch are bucketed alike by hash, one sorted file a bucket, so
+neither the joins nor the merges shuffle a run; only a batch's own keys are dealt out.
+
 The key's 128 bits of hash stand for it.  Keys meet only as hashes and ids, summed in the
 map tasks first; a line that a third of all documents share is one key of the
 aggregation, and the join that tells its documents is one that Spark may split.
@@ -45,16 +48,19 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, least: int = 10, fanout: int = 2):
         self.spark, self.least, self.fanout = spark, least, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.made: set[str] = set()
         self.count = 0
         self.name = f"line_runs_{uuid.uuid4().hex}"
 
-    def _store(self, rows: DataFrame) -> str:
+    def _store(self, rows: DataFrame, dealt: bool = False) -> str:
+        """rows as a bucketed, sorted table; `dealt`: whether they come in its buckets already."""
         name = f"{self.name}_{self.count}"
         self.count += 1
-        rows.sortWithinPartitions("h1", "h2").write.format("parquet").saveAsTable(name)
         self.made.add(name)
+        rows = rows if dealt else rows.repartition(self.buckets, "h1", "h2")
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -67,15 +73,15 @@ class LineRuns:
         self.levels[level].append(table)
         if len(self.levels[level]) == self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.unionByName, [self.spark.table(t) for t in old]).repartition("h1", "h2")
-            self._add(self._store(merged), level + 1)
+            # No two runs share a key, so a full merge join of their buckets is their union.
+            merged = self.spark.table(old[0])
+            for t in old[1:]:
+                other = self.spark.table(t).withColumnRenamed("first", "other")
+                merged = merged.join(other.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", F.coalesce("first", "other").alias("first"))
+            self._add(self._store(merged, True), level + 1)
             for t in old:
                 self._drop(t)
 
-    def _known(self) -> DataFrame | None:
-        tables = [self.spark.table(t) for level in self.levels for t in level]
-        return reduce(DataFrame.unionByName, tables) if tables else None
-
     def keys(self, batch: DataFrame) -> DataFrame:
         """d (doc_id), h1, h2: the long keys of each row, once."""
         lines = F.split(ascii_lower(F.col("text")), "\n", -1)
@@ -85,15 +91,13 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """d, h1: the keys that each document of the batch loses. Batches come in rising order of doc_id."""
-        keys, known = self.keys(batch), self._known()
-        firsts = keys.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-        if known is None:
-            told = firsts.withColumn("known", F.lit(None).cast("long"))
-        else:
-            told = firsts.join(known.select("h1", "h2", F.col("first").alias("known")).hint("merge"), ["h1", "h2"], "left")
-        name = self._store(told)
-        told = self.spark.table(name)
-        run = self._store(told.where("known is null").select("h1", "h2", "first"))
+        keys = self.keys(batch)
+        name = self._store(keys.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")))
+        told = self.spark.table(name).withColumn("known", F.lit(None).cast("long"))
+        for k, t in enumerate(t for level in self.levels for t in level):
+            run = self.spark.table(t).withColumnRenamed("first", f"known{k}")
+            told = told.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("known", F.coalesce("known", f"known{k}")).drop(f"known{k}")
+        run = self._store(told.where("known is null").select("h1", "h2", "first"), True)
         rule = told.where("known is not null or last > first").select("h1", "h2", F.least("known", "first").alias("keeper"))
         lost = checkpointed(keys.join(rule, ["h1", "h2"]).where("d > keeper").select("d", "h1"))
         self._drop(name)
@@ -108,13 +112,12 @@ class LineRuns:
 
 def batches(documents: DataFrame, n: int) -> list[DataFrame]:
     """The documents cut at quantiles of doc_id; rows of one doc_id stay together."""
-    cuts = documents.select(F.percentile_approx(_id(), [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
-    cuts = sorted({*(cuts or [])})
-    out = []
+    cuts = documents.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
+    cuts, own, out = sorted({*(cuts or [])}), F.col("doc_id"), []
     for k in range(len(cuts) + 1):
-        above = (_id() > cuts[k - 1]) if k else F.lit(True)
-        below = (_id() <= cuts[k]) if k < len(cuts) else F.lit(True)
-        out.append(documents.where(above & below))
+        # Plain comparisons reach the scan. Null, which counts as the largest, is in the last batch.
+        above = (own > cuts[k - 1]) if k else F.lit(True)
+        out.append(documents.where(above & (own <= cuts[k]) if k < len(cuts) else above | own.isNull()))
     return out
 
 
@@ -122,8 +125,10 @@ def dedup_lines(documents: DataFrame, least: int = 10, n_batches: int = 3, fanou
     """doc_id, n_lines, n_dropped, kept: a row per row of `documents`."""
     documents = documents.select("doc_id", "text")
     runs = LineRuns(documents.sparkSession, least, fanout)
-    lost = reduce(DataFrame.unionByName, [runs.add(b) for b in batches(documents, n_batches)])
-    runs.close()
+    try:
+        lost = reduce(DataFrame.unionByName, [runs.add(b) for b in batches(documents, n_batches)])
+    finally:
+        runs.close()
     gone = lost.groupBy("d").agg(F.collect_set("h1").alias("gone"))
     docs = documents.select("doc_id", "text", _id().alias("d")).join(gone, "d", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
