@@ -7,22 +7,51 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The character classes of the rules.
+# The character classes, patterns and symbols of the rules.
 IDEOGRAPHIC_SPACE = r"\x{3000}"
 JAPANESE = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
-CONTROLS = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}]"
+HIRAGANA = r"[\x{3040}-\x{309F}]"
+NAME_LETTER = r"[ぁ-んァ-ヶ一-龯]"
+CONTROLS = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}]"
 HALF_KANA = r"[\x{FF66}-\x{FF9F}]"
 HALF_PUNCTUATION = r"[\x{FF61}-\x{FF65}]"
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}]"
 WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]"
+#: Characters that need no place in a ledger, those at home in Japanese texts, and symbols.
+CJK = r"[\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFEE}]"
+NATIVE = r"[\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF60}\x{2010}-\x{203B}\x{2190}-\x{21FF}\x{2460}-\x{24FF}\x{2500}-\x{25FF}\x{0100}\x{00D7}\x{00F7}]"
+SYMBOLS = r"[　、。・…‥—―‐−─～〜「」『』（）()［］\[\]｛｝{}〈〉《》【】〔〕！？!?，,．.：:；;／/＼＊*＃#＠@＆&％%＋+＝=＜＞＄￥￠￡№♪☆★○●◎◇◆□■△▲▽▼※→←↑↓〒〆々〻ヽヾゝゞ０１２３４５６７８９]"
+#: Characters of faces, whose brackets don't pair.
+FACES = r"[￣￢ω∀дДσΣ＾´｀ﾟ▽△ヮ⌒]"
+LEADING = r"^[、。，．,.）)」』】〕]"
+#: Name plates: a whole line, a line's head, heads of shops and goods, and what stands after a head.
+PLATE = r"^[!！]?【([^】。、…‥]{1,20})】$"
+HEAD = r"^[!！]?【[^】。、…‥]{1,20}】"
+NO_HEAD = r"^[!！]?【[^】]*[・＠][^】]*】"
+BODY_START = r"^(?:\z|[「『（( \x{3000}])"
+#: `name:` at the start of a line; labels, chapters and times that look like it.
+COLON = r"^[^\s。「、！？…‥（(【『」』）)〔〕［］《》〈〉—―‐−─～〜Ａ-Ｚａ-ｚ０-９]{1,8}[：:]"
+FIELD_LABEL = r"送信者|受信者|件名|宛先|差出人|本文|注意|追伸|ＰＳ|Ｑ|Ａ|コメント|返信|投稿者|作成者|タイトル|日時|日程|予定|場所|日付|時刻"
+CHAPTER = r"^[第＃#]?[0-9一二三四五六七八九十０-９]{0,3}[幕章話節]"
+CLOCK = r"^.{0,8}[0-9０-９][：:][0-9０-９]"
 #: Classes of residue that a finished text must not hold.
 RESIDUE = {
-    "resource label": r"[A-Za-z0-9_/]+\.(?:png|jpg|bmp|ogg|wav|mp3|mp4|txt|dat)\b",
-    "inline code": r"[\\%@$#][A-Za-z]+\[?\d*\]?",
-    "path": r"[A-Za-z]:[\\/]|(?:^|\s)\.{0,2}/[A-Za-z0-9_]+/",
-    "upper code": r"\b[A-Z]{2,}_[A-Z0-9_]+\b",
+    "resource label": r"^[a-z][a-z0-9]*_[a-z0-9_]+$",
+    "inline code": r":[A-Za-z_][A-Za-z0-9_]*(?:\s[^:」』]*)?:",
+    "script code": r"^\s*(?:if|goto|gosub|resume|lsp|csp|mov|textclear)\b",
+    "resource path": r"(?i)[A-Za-z0-9_]+/[A-Za-z0-9_.]+\.(?:png|bmp|jpg|gif|wav|ogg|mp3)",
+    "command and numbers": r"^\s*[A-Za-z_]\w*\s+\d[\d,]*\s*$",
+    "numbered resource": r"\|[A-Za-z0-9]{1,10}/[A-Za-z0-9_]{1,24}",
+    "upper code": r"^[A-Z][A-Z0-9]*_[A-Z0-9_]+$",
 }
 MARKUP = r"</?[A-Za-z][^>]{0,24}>"
+#: Shapes of macros that nothing has filled in.
+MACRO = "|".join(
+    (
+        r"@[A-Za-z_]\w*", r"%[-0-9.$*]*[A-Za-z]", r"\\[A-Za-z]+", r"＆{2,}", r"&&", r"\*\*[A-Z]{2,}",
+        r"#\s*[Nn]ame\[\d+\]", r"\$\{[^}]{1,24}\}", r"%[a-z][a-z_]{2,}%", r"<[a-z]{3,12}>", r"\{[A-Za-z_]\w*\}",
+    )
+)
 
 
 def strip_blanks(c: Column) -> Column:
@@ -110,10 +139,17 @@ def fill_slots(c: Column, values: Column, mark: str = "%s") -> Column:
     return F.array_join(filled, "")
 
 
-def natural_key(c: Column, digits: int = 12) -> Column:
-    """An array that sorts names with their numbers as numbers."""
+def sortable_number(digits: Column) -> Column:
+    """Digits as text that sorts as the number does, however long: the number's length in four digits, and its digits."""
+    plain = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
+
+
+def natural_key(c: Column) -> Column:
+    """An array that sorts names with their numbers as numbers; of numbers that differ in leading zeros only, the longer comes later."""
     parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, digits, "0")).otherwise(p))
+    key = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), sortable_number(p)).otherwise(p))
+    return F.concat(key, F.array(F.lit(""), F.lpad(F.length(c).cast("string"), 10, "0")))
 
 
 def slug(c: Column) -> Column:
@@ -121,10 +157,17 @@ def slug(c: Column) -> Column:
     return F.replace(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}\s_-]", ""), F.lit(" "), F.lit("-"))
 
 
+def gram_list(c: Column, n: int, piece: int = 256) -> Column:
+    """Character n-grams in order; the whole text where it is shorter. Long texts are cut into overlapping pieces first, so each gram is found near the start of its piece."""
+    whole = F.when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    own = lambda p: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{1,{piece + n - 1}}})).{{1,{piece}}}"), 1)
+    return F.when(F.length(c) < n, whole).when(F.length(c) <= 2 * piece, own(c)).otherwise(F.flatten(F.transform(pieces, own)))
+
+
 def grams(c: Column, n: int) -> Column:
     """Distinct character n-grams; the whole text where it is shorter."""
-    whole = F.when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(whole)
+    return F.array_distinct(gram_list(c, n))
 
 
 def repeats_gram(c: Column, n: int) -> Column:

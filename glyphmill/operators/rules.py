@@ -1,20 +1,65 @@
 """The rules engine: findings of finished texts as one table.
 
-A rule is data: an id, a severity and a condition on a line, or sums over a
-document.  All line rules run in one pass over the lines, all document rules on one
-aggregation, so a new rule adds an expression and no scan.  Profiles change severities.
+A rule is data: an id, a severity and a condition.  Line rules look at the line, the
+line before it and what the whole document holds; a document is one row, so its lines are taken
+apart and judged in the task that reads it, and only counts by document and rule are
+shuffled.  Document rules look at sums over the lines.  A `Profile` holds what
+depends on the script and on the work: the rules are the same for all.
+
+Findings on what is declared elsewhere (allowed lines, ledgers, page maps, reports, claims)
+come from tables, and all findings decide the verdict together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators.lines import in_order, lines
+from glyphmill.operators import assemble, lines as L
+from glyphmill.operators.reports import declared_layouts
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What rules take from the script and the work; the defaults are those of Japanese texts."""
+
+    #: One character of the script; a text with fewer than `least_share` of it is relaxed.
+    script: str = T.JAPANESE
+    least_share: float = 0.01
+    period: str = "。"
+    comma: str = "、"
+    pairs: tuple[tuple[str, str], ...] = (("「", "」"), ("『", "』"), ("（", "）"), ("(", ")"))
+    #: Lines from which on a text's periods are judged, and whether the work is known to end lines without one.
+    least_lines: int = 300
+    no_final_period: bool = False
+    widest: float = 200.0
+    #: Name plates: a whole line, a line's head, heads that are none, characters that no name has, symbols.
+    plate: str = T.PLATE
+    head: str = T.HEAD
+    no_head: str = T.NO_HEAD
+    no_name: str = T.HIRAGANA
+    body: str = T.BODY_START
+    symbols: str = T.SYMBOLS
+    #: `name:` at the start of a line, what it must hold, and labels, chapters and times that are no names.
+    colon: str = T.COLON
+    colon_holds: str = T.NAME_LETTER
+    colon_not: tuple[str, ...] = (T.FIELD_LABEL, T.CHAPTER)
+    colon_time: str = T.CLOCK
+    #: Characters that need no place in a ledger, and those that are at home in the script.
+    unlisted: str = T.CJK
+    native: str = T.NATIVE
+    names: tuple[str, ...] = ()
+    dual: bool = False
+    expect_dual: bool = False
+    #: rule_id to another severity, or to '' to leave a rule out.
+    severities: Mapping[str, str] = field(default_factory=dict)
+
+    def severity(self, rule_id: str, usual: str) -> str:
+        return self.severities.get(rule_id, usual)
 
 
 @dataclass(frozen=True)
@@ -25,77 +70,174 @@ class LineRule:
     allowable: bool = True
 
 
-def line_rules(widest: float = 200.0) -> list[LineRule]:
-    """Conditions on `line`, `before` (the line before) and `times` (occurrences in the document)."""
+def line_rules(p: Profile) -> list[LineRule]:
+    """Conditions on `line`, `before` (the line before), `plates` and `heads` (of the whole document)."""
     c = F.col("line")
+    head = F.regexp_extract(c, p.head, 0)
+    plate = c.rlike(p.plate) & (F.size(F.filter("plates", lambda x: x == c)) >= 2) & ~c.rlike(p.no_name)
+    only_symbols = F.regexp_replace(F.regexp_extract(c, p.plate, 1), p.symbols, "") == ""
+    rest = F.substring(c, F.length(head) + 1, F.length(c))
+    named = c.rlike(p.head) & ~c.rlike(p.plate) & ~c.rlike(p.no_head) & ~head.rlike(p.no_name) & (F.size(F.filter("heads", lambda x: x == head)) >= 2) & rest.rlike(p.body)
+    label = F.regexp_extract(c, p.colon, 0)
+    colon = c.rlike(p.colon) & label.rlike(p.colon_holds) & ~c.rlike(p.colon_time)
+    for other in p.colon_not:
+        colon = colon & ~label.rlike(other)
     return [
-        LineRule("Q3_replacement_character", "E", c.contains("\ufffd"), False),
-        LineRule("Q4_geta_mark", "E", c.contains("\u3013")),
+        LineRule("Q3_replacement_character", "E", c.contains("�"), False),
+        LineRule("Q4_geta_mark", "E", c.contains("〓")),
         LineRule("Q5_control_character", "E", c.rlike(T.CONTROLS), False),
         LineRule("Q6_half_width_kana", "E", c.rlike(T.HALF_KANA)),
         LineRule("Q7_half_width_punctuation", "W", c.rlike(T.HALF_PUNCTUATION), False),
         LineRule("Q8_private_use", "E", c.rlike(T.PRIVATE_USE), False),
-        LineRule("Q10_unbalanced_quote", "W", c.startswith("\u300c") & (T.pair_difference(c, "\u300c", "\u300d") != 0)),
-        *(LineRule(f"Q11_{k.replace(' ', '_')}", "E", c.rlike(p)) for k, p in T.RESIDUE.items()),
+        LineRule("Q10_unbalanced_quote", "W", c.startswith("「") & (T.pair_difference(c, "「", "」") > 0)),
+        *(LineRule(f"Q11_{k.replace(' ', '_')}", "E", c.rlike(r)) for k, r in T.RESIDUE.items()),
         LineRule("Q12_inline_markup", "E", c.rlike(T.MARKUP)),
         LineRule("Q13_latin_letters", "W", c.rlike("[A-Za-z]")),
-        LineRule("Q14_double_quote", "W", c.contains('"')),
-        LineRule("Q15_leading_punctuation", "W", F.substring(c, 1, 1).isin(*"\u3001\u3002,.!?)]}\u300d\u300f")),
-        LineRule("Q21_repeated_plate", "E", c.rlike(r"^[\[\u3010][^\[\]\u3010\u3011]{1,16}[\]\u3011]$") & (F.col("times") >= 2)),
-        LineRule("Q23_name_prefix", "E", c.rlike(r"^[^\s:\x{FF1A}]{1,12}[:\x{FF1A}]\s?\S") & ~c.rlike(r"^\d{1,2}[:\x{FF1A}]\d")),
+        LineRule("Q14_double_quote", "W", c.contains('"'), False),
+        LineRule("Q15_leading_punctuation", "W", c.rlike(T.LEADING)),
+        LineRule("Q20_symbol_plate", "W", plate & only_symbols),
+        LineRule("Q21_repeated_plate", "E", plate & ~only_symbols),
+        LineRule("Q22_plate_and_body", "E", named),
+        LineRule("Q23_name_prefix", "E", colon),
         LineRule("Q29_blank_line", "W", T.is_blank(c), False),
-        LineRule("Q30_wide_line", "W", T.display_width(c) > widest, False),
-        LineRule("Q31_adjacent_duplicate", "W", F.coalesce(c == F.col("before"), F.lit(False)) & ~T.is_blank(c), False),
-        LineRule("Q32_unresolved_macro", "E", c.rlike(r"\{[A-Za-z_]\w*\}|\$\{\w+\}|%[A-Za-z]\w*%|<<\w+>>")),
+        LineRule("Q30_wide_line", "W", T.display_width(c) > p.widest, False),
+        LineRule("Q31_adjacent_duplicate", "W", F.coalesce(c == F.col("before"), F.lit(False)) & (c != ""), False),
+        LineRule("Q32_unresolved_macro", "E", c.rlike(T.MACRO)),
     ]
 
 
-def document_rules(least_lines: int = 20) -> list[tuple[str, str, Column, Column]]:
-    """(id, severity, condition, count) on sums: n, periods, end_periods, commas, opens, closes."""
-    gate = F.col("n") >= least_lines
-    return [
-        ("Q9_bracket_totals", "W", F.col("opens") != F.col("closes"), F.abs(F.col("opens") - F.col("closes"))),
-        ("Q16_no_periods", "W", gate & (F.col("periods") == 0), F.col("n")),
-        ("Q17_no_final_periods", "W", gate & (F.col("periods") > 0) & (F.col("end_periods") == 0), F.col("n")),
-        ("Q18_few_final_periods", "W", gate & (F.col("end_periods") > 0) & (20 * F.col("end_periods") < F.col("n")), F.col("end_periods")),
-        ("Q19_many_commas", "W", gate & (F.col("periods") > 0) & (F.col("commas") > 5 * F.col("periods")), F.col("commas")),
-    ]
+def annotated(docs: DataFrame, p: Profile) -> DataFrame:
+    """doc_id, line_no, line, before, plates, heads: the lines of docs(doc_id, text), without the empty one after a last line end."""
+    every = F.split("text", "\n", -1)
+    own = F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    docs = docs.where("text is not null").select("doc_id", own.alias("own"))
+    docs = docs.withColumn("plates", F.filter("own", lambda x: x.rlike(p.plate))).withColumn("heads", F.transform(F.filter("own", lambda x: x.rlike(p.head)), lambda x: F.regexp_extract(x, p.head, 0)))
+    rows = F.transform("own", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.get("own", i - 1).alias("before")))
+    return docs.select("doc_id", "plates", "heads", F.explode(rows).alias("r")).select("doc_id", "r.*", "plates", "heads")
 
 
-def line_findings(rows: DataFrame, rules: list[LineRule], allowed: DataFrame | None = None) -> DataFrame:
-    """doc_id, rule_id, severity, count, first_line, sample of rows(doc_id, line_no, line). allowed: doc_id, line."""
-    rows = rows.withColumn("before", F.lag("line").over(in_order())).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "line")))
-    rows = rows.withColumn("excused", F.lit(False))
-    if allowed is not None:
-        marks = allowed.select("doc_id", "line").distinct().withColumn("on_list", F.lit(True))
-        rows = rows.drop("excused").join(marks, ["doc_id", "line"], "left").withColumn("excused", F.coalesce("on_list", F.lit(False))).drop("on_list")
-    hits = F.filter(F.array(*[F.when(r.when & ~(F.col("excused") & r.allowable), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules]), lambda x: x.isNotNull())
-    found = rows.select("doc_id", "line_no", "line", F.explode(hits).alias("r"))
-    return found.groupBy("doc_id", "r.rule_id", "r.severity").agg(
-        F.count("*").alias("count"), F.min("line_no").alias("first_line"), F.min_by(F.substring("line", 1, 40), "line_no").alias("sample")
-    )
+def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """rows with `excused`: whether the line stands in allowed(doc_id, line)."""
+    if allowed is None:
+        return rows.withColumn("excused", F.lit(False))
+    marks = allowed.select("doc_id", "line").distinct().withColumn("excused", F.lit(True))
+    return rows.join(marks, ["doc_id", "line"], "left").withColumn("excused", F.coalesce("excused", F.lit(False)))
 
 
-def document_findings(rows: DataFrame, opening: str = "(", closing: str = ")", period: str = ".", comma: str = ",", least_lines: int = 20) -> DataFrame:
+def line_findings(rows: DataFrame, rules: list[LineRule]) -> DataFrame:
+    """doc_id, rule_id, severity, count, first_line, sample of annotated rows with `excused`."""
+    hits = F.array(*[F.when(r.when & ~(F.col("excused") & r.allowable), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules])
+    found = rows.select("doc_id", "line_no", "line", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("r"))
+    return found.groupBy("doc_id", "r.rule_id", "r.severity").agg(F.count("*").alias("count"), F.min("line_no").alias("first_line"), F.min_by(F.substring("line", 1, 40), "line_no").alias("sample"))
+
+
+def _listed(found: DataFrame, cases: list[tuple[Column, str, str, Column]]) -> DataFrame:
+    """A finding for each case (condition, id, severity, count) that holds; rules without severity are left out."""
+    hits = [F.when(when, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), k.cast("long").alias("count"))) for when, i, s, k in cases if s]
+    if not hits:
+        hits = [F.lit(None).cast("struct<rule_id:string,severity:string,count:bigint>")]
+    rows = found.select("doc_id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r"))
+    return rows.select("doc_id", "r.rule_id", "r.severity", "r.count", F.lit(None).cast("long").alias("first_line"), F.lit(None).cast("string").alias("sample"))
+
+
+def document_findings(rows: DataFrame, p: Profile) -> DataFrame:
+    """Findings on sums over annotated rows with `excused`: pairs (lines with faces and allowed lines don't count), periods, foreign characters' kinds."""
     c = F.col("line")
-    n = lambda ch: F.sum(F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit(""))))
-    sums = rows.where(~T.is_blank(c)).groupBy("doc_id").agg(
-        F.count("*").alias("n"), n(period).alias("periods"), F.sum(c.endswith(period).cast("long")).alias("end_periods"), n(comma).alias("commas"), n(opening).alias("opens"), n(closing).alias("closes")
-    )
-    rules = F.array(*[F.when(when, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), k.cast("long").alias("count"))) for i, s, when, k in document_rules(least_lines)])
-    found = sums.select("doc_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r"))
-    return found.select("doc_id", "r.rule_id", "r.severity", "r.count", F.lit(None).cast("long").alias("first_line"), F.lit(None).cast("string").alias("sample"))
-
-
-def findings(docs: DataFrame, allowed: DataFrame | None = None, profile: Mapping[str, str] | None = None, widest: float = 200.0) -> DataFrame:
-    """All findings of docs(doc_id, text). profile: rule_id to another severity, or to '' to leave a rule out."""
-    rows = lines(docs)
-    rules = [LineRule(r.rule_id, (profile or {}).get(r.rule_id, r.severity), r.when, r.allowable) for r in line_rules(widest)]
-    found = line_findings(rows, [r for r in rules if r.severity], allowed).unionByName(document_findings(rows))
-    carriage = docs.where(F.col("text").contains("\r")).select(
-        "doc_id", F.lit("Q2_carriage_return").alias("rule_id"), F.lit("E").alias("severity"), T.count_of(F.col("text"), "\r").alias("count"), F.lit(None).cast("long").alias("first_line"), F.lit(None).cast("string").alias("sample")
-    )
-    return found.unionByName(carriage)
+    n = lambda ch, on=None: F.sum(F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))) if on is None else F.sum(F.when(on, F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).otherwise(0))
+    counts = ~F.col("excused") & ~c.rlike(T.FACES)
+    pairs = [(n(a, counts).alias(f"o{k}"), n(b, counts).alias(f"c{k}")) for k, (a, b) in enumerate(p.pairs)]
+    sums = rows.groupBy("doc_id").agg(
+        F.count("*").alias("n"), n(p.period).alias("periods"), F.sum(c.endswith(p.period).cast("long")).alias("ends"), n(p.comma).alias("commas"),
+        F.sum(F.regexp_count(c, F.lit(p.script))).alias("script"), (F.sum(F.length(c)) + F.count("*")).alias("chars"), *(x for pair in pairs for x in pair),
+    )
+    judged = (F.col("n") >= p.least_lines) & (F.col("script") >= p.least_share * F.col("chars"))
+    told = "_declared" if p.no_final_period else ""
+    few = 20 * F.col("periods") < F.col("n")
+    cases = [(F.col(f"o{k}") != F.col(f"c{k}"), f"Q9_pair_{a}{b}", F.abs(F.col(f"o{k}") - F.col(f"c{k}"))) for k, (a, b) in enumerate(p.pairs)]
+    cases += [
+        (judged & (F.col("periods") == 0), f"Q16_no_periods{told}", F.col("n")),
+        (judged & (F.col("periods") > 0) & (F.col("ends") == 0), f"Q17_no_final_periods{told}", F.col("n")),
+        (judged & (F.col("ends") > 0) & few, "Q18_few_periods", F.col("periods")),
+        (judged & (F.col("periods") > 0) & (F.col("commas") > 5 * F.col("periods")), "Q19_many_commas", F.col("commas")),
+    ]
+    return _listed(sums, [(when, i, p.severity(i, "W"), k) for when, i, k in cases])
+
+
+def character_findings(rows: DataFrame, p: Profile, ledger: DataFrame | None = None) -> DataFrame:
+    """Kinds of characters from elsewhere (Q33), and against ledger(doc_id, ch): a document without one, kinds that it hasn't (Q34)."""
+    chars = rows.select("doc_id", F.explode(F.array_distinct(F.split("line", ""))).alias("ch")).where("ch <> ''").distinct()
+    far = chars.groupBy("doc_id").agg(F.count_if((F.col("ch") > "\x7f") & ~F.col("ch").rlike(p.native) & ~F.col("ch").rlike(p.symbols)).alias("far"))
+    found = _listed(far, [(F.col("far") > 0, "Q33_foreign_characters", p.severity("Q33_foreign_characters", "W"), F.col("far"))])
+    if ledger is None:
+        return found
+    listed = chars.where(~F.col("ch").rlike(p.unlisted))
+    known = ledger.select("doc_id", F.substring("ch", 1, 1).alias("ch")).distinct().withColumn("known", F.lit(True))
+    fresh = listed.join(known, ["doc_id", "ch"], "left").groupBy("doc_id").agg(F.count_if(F.col("known").isNull()).alias("fresh"))
+    there = ledger.select("doc_id").distinct().withColumn("there", F.lit(True))
+    sums = rows.select("doc_id").distinct().join(there, "doc_id", "left").join(fresh, "doc_id", "left")
+    cases = [(F.col("there").isNull(), "Q34_ledger_missing", F.lit(1)), (F.col("there") & (F.col("fresh") > 0), "Q34_unregistered_characters", F.col("fresh"))]
+    return found.unionByName(_listed(sums, [(when, i, p.severity(i, "E"), k) for when, i, k in cases]))
+
+
+def _with_joined_rows(docs: DataFrame) -> DataFrame:
+    """Documents of which a line ends with the one before it; in others no line is the concatenation of those before."""
+    own = F.split("text", "\n", -1)
+    before = lambda i: F.get(own, i - 1)
+    ends = F.transform(own, lambda x, i: F.coalesce((before(i) != "") & x.endswith(before(i)) & (F.length(x) > F.length(before(i))), F.lit(False)))
+    return docs.where(F.exists(ends, lambda x: x))
+
+
+def layout_findings(docs: DataFrame, p: Profile, maps: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
+    """The declared layout against joined rows (Q25, Q27), page maps(doc_id, map) (Q26) and reports(doc_id, text) (Q28)."""
+    rows = annotated(docs, p).select("doc_id", "line_no", "line")
+    some = annotated(_with_joined_rows(docs), p).select("doc_id", "line_no", "line")
+    joined = L.concatenations(some, "doc_id", "line_no", "line").groupBy("doc_id").agg(F.count("*").alias("joined"))
+    sums = docs.select("doc_id").join(joined, "doc_id", "left").withColumn("joined", F.coalesce("joined", F.lit(0)))
+    cases = [(F.lit(p.expect_dual and not p.dual), "Q25_dual_expected", "E", F.lit(1))]
+    if maps is None:
+        cases += [(F.lit(p.dual) & (F.col("joined") == 0), "Q27_dual_without_joined_rows", "W", F.lit(1)), (F.lit(not p.dual) & (F.col("joined") > 0), "Q27_joined_rows_in_single", "W", F.col("joined"))]
+    else:
+        wrong = assemble.validate_page_maps(maps, rows).where("error <> 'no pages'").groupBy("doc_id").agg(F.count("*").alias("wrong"))
+        pages = maps.select("doc_id", F.coalesce(F.size(F.from_json("map", assemble.PAGE_MAP)["pages"]), F.lit(-1)).alias("pages"))
+        sums = sums.join(pages, "doc_id", "left").join(wrong, "doc_id", "left")
+        cases += [
+            (F.col("wrong") > 0, "Q26_page_map", "E", F.col("wrong")), (F.col("pages") < 0, "Q26_page_map_unreadable", "E", F.lit(1)),
+            (F.lit(not p.dual) & (F.col("pages") > 0), "Q26_pages_in_single", "E", F.col("pages")), (F.lit(p.expect_dual) & (F.col("pages") == 0), "Q26_no_pages", "E", F.lit(1)),
+        ]
+    if reports is not None:
+        sums = sums.join(reports.select("doc_id", declared_layouts(F.col("text")).alias("m")), "doc_id", "left")
+        m, want = F.col("m"), "dual" if p.dual else "single"
+        cases += [
+            (F.coalesce(F.size(m), F.lit(0)) <= 0, "Q28_layout_missing", "E", F.lit(1)), (F.size(m) > 1, "Q28_layout_conflict", "E", F.size(m)),
+            ((F.size(m) == 1) & (F.get(m, F.lit(0)) != want), "Q28_layout_mismatch", "E", F.lit(1)),
+        ]
+    return _listed(sums, [(when, i, p.severity(i, s), k) for when, i, s, k in cases])
+
+
+def text_findings(docs: DataFrame, p: Profile, claims: DataFrame | None = None) -> DataFrame:
+    """What a document's row tells by itself: its mark (if docs has `marked`), carriage returns, expected names, and claims(doc_id, rows, sha256); a null claims nothing."""
+    c = F.col("text")
+    cases = [(c.contains("\r"), "Q2_carriage_return", "E", T.count_of(c, "\r"))]
+    if "marked" in docs.columns:
+        cases.append((~F.col("marked"), "Q1_mark_missing", "E", F.lit(1)))
+    cases += [(~c.contains(name), f"Q24_name_absent_{name}", "W", F.lit(1)) for name in p.names]
+    sums = docs.where("text is not null")
+    if claims is not None:
+        own = T.count_of(c, "\n") + (~c.endswith("\n") & (c != "")).cast("long")
+        sums = sums.join(claims.select("doc_id", F.col("rows").alias("_rows"), F.col("sha256").alias("_sha")), "doc_id", "left")
+        cases += [(F.col("_rows") != own, "Q35_declared_rows", "E", own), (F.col("_sha") != F.sha2(c, 256), "Q36_digest_mismatch", "E", F.lit(1))]
+    return _listed(sums, [(when, i, p.severity(i, s), k) for when, i, s, k in cases])
+
+
+def findings(
+    docs: DataFrame, profile: Profile = Profile(), allowed: DataFrame | None = None, ledger: DataFrame | None = None, maps: DataFrame | None = None,
+    reports: DataFrame | None = None, claims: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, rule_id, severity, count, first_line, sample: all findings of docs(doc_id, text, and `marked` where the file's mark is known)."""
+    rows = _allowed(annotated(docs, profile), allowed)
+    rules = [LineRule(r.rule_id, profile.severity(r.rule_id, r.severity), r.when, r.allowable) for r in line_rules(profile)]
+    found = line_findings(rows, [r for r in rules if r.severity]).unionByName(document_findings(rows, profile)).unionByName(character_findings(rows, profile, ledger))
+    return found.unionByName(layout_findings(docs, profile, maps, reports)).unionByName(text_findings(docs, profile, claims))
 
 
 def verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:

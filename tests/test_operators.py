@@ -135,31 +135,62 @@ def test_similar_neighbours(spark):
     assert bits.select(similarity.overlap_of_bits(F.col("a"), F.col("b"))).first()[0] == 0.5
 
 
+LONG = "\n".join(f"これは{k}行目です" for k in range(320))
+
+
 @pytest.mark.parametrize(
     "text, found, absent",
     [
-        ("clean line.", set(), {"Q5_control_character", "Q12_inline_markup"}),
+        ("あい。", set(), {"Q5_control_character", "Q12_inline_markup", "Q13_latin_letters"}),
         ("a\r\nb", {"Q2_carriage_return"}, set()),
         ("ｶ", {"Q6_half_width_kana"}, set()),
         ("｡", {"Q7_half_width_punctuation"}, {"Q6_half_width_kana"}),
-        ("", {"Q8_private_use"}, set()),
+        ("\ue000", {"Q8_private_use"}, set()),
         ("�", {"Q3_replacement_character"}, set()),
         ("〓", {"Q4_geta_mark"}, set()),
         ("\x07", {"Q5_control_character"}, set()),
-        ("「あ", {"Q10_unbalanced_quote"}, set()),
+        ("\x7f", {"Q5_control_character"}, set()),
+        ("「あ", {"Q10_unbalanced_quote", "Q9_pair_「」"}, set()),
+        ("『あ\n（い\n(う", {"Q9_pair_『』", "Q9_pair_（）", "Q9_pair_()"}, {"Q9_pair_「」"}),
+        ("（￣ω￣", set(), {"Q9_pair_（）"}),
         ("、あ", {"Q15_leading_punctuation"}, set()),
-        ("【あ】\nx\n【あ】", {"Q21_repeated_plate"}, set()),
-        ("【あ】\nx", set(), {"Q21_repeated_plate"}),
-        ("A：hi", {"Q23_name_prefix"}, set()),
-        ("12:30", set(), {"Q23_name_prefix"}),
-        ("see bg01.png", {"Q11_resource_label"}, set()),
-        ("hi {name}", {"Q32_unresolved_macro"}, set()),
+        ("【春】\nx\n【春】", {"Q21_repeated_plate"}, {"Q20_symbol_plate"}),
+        ("【春】\nx", set(), {"Q21_repeated_plate"}),
+        ("【はる】\nx\n【はる】", set(), {"Q21_repeated_plate"}),
+        ("【春…】\nx\n【春…】", set(), {"Q21_repeated_plate"}),
+        ("【・・・】\nx\n【・・・】", {"Q20_symbol_plate"}, {"Q21_repeated_plate"}),
+        ("【春】「あ」\n【春】「い」", {"Q22_plate_and_body"}, set()),
+        ("【春】「あ」\n【夏】「い」", set(), {"Q22_plate_and_body"}),
+        ("【春・店】「あ」\n【春・店】「い」", set(), {"Q22_plate_and_body"}),
+        ("【春】言葉\n【春】言葉", set(), {"Q22_plate_and_body"}),
+        ("春子：こんにちは", {"Q23_name_prefix"}, set()),
+        ("送信者：春子", set(), {"Q23_name_prefix"}),
+        ("第一幕：はじまり", set(), {"Q23_name_prefix"}),
+        ("朝8：30", set(), {"Q23_name_prefix"}),
+        ("party_chiriko", {"Q11_resource_label"}, set()),
+        ("x:ld_n 8:", {"Q11_inline_code"}, set()),
+        ("if a == 0 next", {"Q11_script_code"}, set()),
+        ("maki/maki_t_001.PNG", {"Q11_resource_path"}, set()),
+        ("wait 100,2", {"Q11_command_and_numbers"}, set()),
+        ("|52/FUR_00270.", {"Q11_numbered_resource"}, set()),
+        ("FUR_00270", {"Q11_upper_code"}, {"Q11_resource_label"}),
+        *((x, {"Q32_unresolved_macro"}, set()) for x in ("@GameLast", "%s", "%.1d", r"あ\n", "＆＆", "&&", "**AA", "#Name[1]", "${First}", "%name%", "<firstname>", "{name}")),
+        ("OK 100%", set(), {"Q32_unresolved_macro"}),
         ("x<br>", {"Q12_inline_markup"}, set()),
-        ("\n".join(["あい"] * 2), {"Q31_adjacent_duplicate"}, set()),
+        ('あ"', {"Q14_double_quote"}, set()),
+        ("あい\nあい", {"Q31_adjacent_duplicate"}, set()),
+        ("あ\n\nい", {"Q29_blank_line"}, set()),
+        ("あ\n", set(), {"Q29_blank_line"}),
         ("あ" * 201, {"Q30_wide_line"}, set()),
         ("x" * 201, set(), {"Q30_wide_line"}),
-        ("\n".join(f"line {i}" for i in range(25)), {"Q16_no_periods"}, set()),
-        ("a (b", {"Q9_bracket_totals"}, set()),
+        (LONG, {"Q16_no_periods"}, set()),
+        (LONG + "。あ", {"Q17_no_final_periods"}, set()),
+        (LONG + "\nあ。", {"Q18_few_periods"}, {"Q19_many_commas"}),
+        (LONG + "、" * 6 + "\nあ。", {"Q19_many_commas"}, set()),
+        ("\n".join(f"line {i}" for i in range(320)), set(), {"Q16_no_periods"}),
+        ("あ\nい\nあい", {"Q27_joined_rows_in_single"}, set()),
+        ("é", {"Q33_foreign_characters"}, set()),
+        ("♪", set(), {"Q33_foreign_characters"}),
     ],
 )
 def test_rules(spark, text, found, absent):
@@ -169,11 +200,28 @@ def test_rules(spark, text, found, absent):
 
 
 def test_allowed_lines_and_profiles(spark):
-    docs = spark.createDataFrame([(1, "ｶ"), (2, "ｶ\x07")], "doc_id long, text string")
-    allowed = spark.createDataFrame([(1, "ｶ"), (2, "ｶ\x07")], "doc_id long, line string")
-    got = {(r["doc_id"], r["rule_id"], r["severity"]) for r in rules.findings(docs, allowed, {"Q5_control_character": "W", "Q13_latin_letters": ""}).collect()}
+    docs = spark.createDataFrame([(1, "ｶ"), (2, "ｶ\x07"), (3, "「")], "doc_id long, text string")
+    allowed = spark.createDataFrame([(1, "ｶ"), (2, "ｶ\x07"), (3, "「")], "doc_id long, line string")
+    profile = rules.Profile(severities={"Q5_control_character": "W", "Q33_foreign_characters": ""})
+    got = {(r["doc_id"], r["rule_id"], r["severity"]) for r in rules.findings(docs, profile, allowed).collect()}
     assert got == {(2, "Q5_control_character", "W")}
-    assert [(r["doc_id"], r["passed"]) for r in rules.verdicts(docs, rules.findings(docs)).orderBy("doc_id").collect()] == [(1, False), (2, False)]
+    assert [(r["doc_id"], r["passed"]) for r in rules.verdicts(docs, rules.findings(docs)).orderBy("doc_id").collect()] == [(1, False), (2, False), (3, True)]
+
+
+def test_what_is_declared_elsewhere(spark):
+    docs = spark.createDataFrame([(1, "あ\nい\nあい", True), (2, "あé", False), (3, "あ", True), (4, None, True)], "doc_id long, text string, marked boolean")
+    ledger = spark.createDataFrame([(1, "x"), (2, "x note")], "doc_id long, ch string")
+    claims = spark.createDataFrame([(1, 3, None), (2, 2, "00"), (3, None, None)], "doc_id long, rows long, sha256 string")
+    reports = spark.createDataFrame([(1, "Layout: dual"), (2, "layout: single"), (3, "Layout: dual\nLayout: single"), (4, "a dual layout")], "doc_id long, text string")
+    of = lambda *p, **k: {(r["doc_id"], r["rule_id"]) for r in rules.findings(docs, *p, **k).collect()}
+    got = of(rules.Profile(names=("い",), dual=True), ledger=ledger, claims=claims, reports=reports)
+    assert {(2, "Q1_mark_missing"), (2, "Q24_name_absent_い"), (3, "Q24_name_absent_い"), (2, "Q34_unregistered_characters"), (3, "Q34_ledger_missing"), (2, "Q35_declared_rows"), (2, "Q36_digest_mismatch")} <= got
+    assert {(2, "Q27_dual_without_joined_rows"), (2, "Q28_layout_mismatch"), (3, "Q28_layout_conflict"), (4, "Q28_layout_missing")} <= got
+    assert not {r for i, r in got if i == 1} - {"Q13_latin_letters"}
+    maps = spark.createDataFrame([(1, '{"pages":[{"segments":[1,2],"merged":3}]}'), (2, '{"pages":[{"segments":[1,2],"merged":3}]}'), (3, "{")], "doc_id long, map string")
+    got = of(rules.Profile(expect_dual=True), maps=maps)
+    assert {(1, "Q25_dual_expected"), (1, "Q26_pages_in_single"), (2, "Q26_page_map"), (3, "Q26_page_map_unreadable")} <= got and (1, "Q26_page_map") not in got
+    assert (1, "Q16_no_periods_declared") in {(r["doc_id"], r["rule_id"]) for r in rules.findings(spark.createDataFrame([(1, LONG)], "doc_id long, text string"), rules.Profile(no_final_period=True)).collect()}
 
 
 def test_text_functions(spark):
@@ -183,7 +231,7 @@ def test_text_functions(spark):
         T.strip_blanks(c), T.strip_markup(c), T.has_japanese(c), T.display_width(F.lit("aあ")), T.natural_key(F.col("n")), T.fill_slots(F.lit("%s-%s-%s"), F.col("v")), T.substitute(F.lit("@ab@a"), {"@a": "1", "@ab": "2"}),
         T.keep_ruby_base(F.lit("<ruby=r>base</ruby>")), T.merge_soft_breaks(F.lit("a\\n　b")), T.slug(F.lit("A b! C")), T.grams(F.lit("aaab"), 2), T.repeats_gram(F.lit("abab"), 2), T.share_of(F.lit("ab1"), "[0-9]"), T.bracket_depth(F.lit("((a)b)c)("), "(", ")"),
     ).first()
-    assert list(row[:13]) == ["a<b>b</b>あ", "　 abあ 　", True, 1.5, ["x", "000000000010", "y", "000000000002"], "A-B-", "21", "base", "ab", "a-b-c", ["aa", "ab"], True, pytest.approx(1 / 3)]
+    assert list(row[:13]) == ["a<b>b</b>あ", "　 abあ 　", True, 1.5, ["x", "000210", "y", "00012", "", "0000000005"], "A-B-", "21", "base", "ab", "a-b-c", ["aa", "ab"], True, pytest.approx(1 / 3)]
     assert tuple(row[13]) == (1, 2, 1, 1)
 
 
