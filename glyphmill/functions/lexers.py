@@ -11,50 +11,48 @@ from pyspark.sql.functions import udtf
 _ATTRIBUTE = re.compile(r"""([^\s=\[\]]+)\s*=\s*("[^"]*"|'[^']*'|[^\s\]]+)""")
 
 
+def _partners(line: str, opening: str, closing: str) -> dict[int, int]:
+    """Place of each opening bracket to that of its closing one."""
+    held, out = [], {}
+    for m in re.finditer(f"[{re.escape(opening + closing)}]", line):
+        if m[0] == opening:
+            held.append(m.start())
+        elif held:
+            out[held.pop()] = m.start()
+    return out
+
+
 def tag_spans(text: str, opening: str = "[", closing: str = "]") -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of texts and tags; brackets nest, quotes inside a tag hide them, and a
-    bracket that is never closed ends at the next closing one, or is text."""
-    i = start = 0
-    while i < len(text):
-        if text[i] != opening:
-            i += 1
-            continue
-        depth, quote, j = 0, "", i
-        while j < len(text):
-            c = text[j]
-            if quote:
-                quote = "" if c == quote else quote
-            elif c in "\"'" and depth:
-                quote = c
-            elif c == opening:
-                depth += 1
-            elif c == closing:
-                depth -= 1
-                if not depth:
-                    break
-            j += 1
-        if j == len(text):
-            j = text.find(closing, i)
-            if j < 0:
-                break
-        if i > start:
-            yield start, i, "text"
-        yield i, j + 1, "tag"
-        i = start = j + 1
-    if start < len(text):
-        yield start, len(text), "text"
+    """(start, end, kind) of texts and tags, line by line; line ends stand in neither.
+
+    Brackets nest.  A tag without a partner ends at the next closing bracket of its line, and takes the rest of the line if there is none.
+    """
+    base = 0
+    for line in text.split("\n"):
+        partners, done = _partners(line, opening, closing), 0
+        for at in (m.start() for m in re.finditer(re.escape(opening), line)):
+            if at < done:
+                continue
+            if at > done:
+                yield base + done, base + at, "text"
+            end = partners.get(at, line.find(closing, at)) + 1
+            done = end or len(line)
+            yield base + at, base + done, "tag" if end else "cut"
+        if done < len(line):
+            yield base + done, base + len(line), "text"
+        base += len(line) + 1
 
 
 @udtf(returnType="pos int, kind string, name string, attributes map<string,string>, value string, start int, end int")
 class TagTokens:
-    """The tokens of a bracket-tag script, in order, with their places."""
+    """The tokens of a bracket-tag script, in order, with their places; `cut` tags are never closed."""
 
     def eval(self, text: str):
         for pos, (a, b, kind) in enumerate(tag_spans(text or "")):
-            inner = text[a + 1 : b - 1].strip() if kind == "tag" else ""
+            inner = text[a + 1 : b - 1].strip() if kind == "tag" else text[a + 1 : b].strip() if kind == "cut" else ""
             name = inner.split(None, 1)[0] if inner else None
             attributes = {k: v.strip("\"'") for k, v in _ATTRIBUTE.findall(inner[len(name or "") :])}
-            yield pos, kind, name, attributes, None if kind == "tag" else text[a:b], a, b
+            yield pos, kind, name, attributes, text[a:b] if kind == "text" else None, a, b
 
 
 @udtf(returnType="pos int, kind string, value string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,40 +28,52 @@ def prefer_macro_twins(rows: DataFrame, rendered: Column, macro: str = r"[@%{]",
     return rows.withColumn("_t", twin & ~F.col("_m")).where(~F.col("_t")).drop("_r", "_m", "_t")
 
 
-def fold_blocks(lines: list[str], most: int = 120) -> list[int]:
-    """Places that stay when every block that follows its equal at once goes, the longest block first."""
-    keep, i = [], 0
-    while i < len(lines):
-        for k in range(min(most, (len(lines) - i) // 2), 0, -1):
-            if lines[i] == lines[i + k] and lines[i : i + k] == lines[i + k : i + 2 * k]:
-                keep += range(i, i + k)
-                i += 2 * k
-                while lines[i : i + k] == lines[i - k : i]:
-                    i += k
-                break
-        else:
-            keep.append(i)
-            i += 1
-    return keep
+def folded(rows: DataFrame, most: int = 120, key: str = "doc_id") -> DataFrame:
+    """rows(key, line_no, line) without the second of two equal blocks that follow each other; line_no is gapless.
+
+    Equal lines at a distance of d at most `most` meet by cells of line numbers, so a line has few partners however often it
+    stands there.  Runs of pairs of one distance tell where a block of d lines comes twice; of those that begin at one
+    line the longest counts, and a document's blocks are taken from its start, each beyond the one before it.
+    """
+    cell = F.floor(F.col("line_no") / most)
+    left = rows.select(key, "line", F.col("line_no").alias("i"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    right = rows.select(key, "line", F.col("line_no").alias("j"), cell.alias("cell"))
+    pairs = left.join(right, [key, "line", "cell"]).where((F.col("j") > F.col("i")) & (F.col("j") - F.col("i") <= most)).select(key, "i", (F.col("j") - F.col("i")).alias("d"))
+    pairs = pairs.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(key, "d").orderBy("i")))
+    runs = pairs.groupBy(key, "d", "run").agg(F.min("i").alias("a"), F.max("i").alias("b")).where(F.col("b") - F.col("a") + 1 >= F.col("d"))
+    starts = runs.select(key, "d", F.explode(F.sequence(F.col("a"), F.col("b") - F.col("d") + 1)).alias("i"))
+    best = starts.groupBy(key, "i").agg(F.max("d").alias("d")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("blocks"))
+    zero = F.struct(F.lit(0).cast("long").alias("past"), F.array().cast("array<struct<i:bigint,d:bigint>>").alias("taken"))
+    take = lambda acc, x: F.when(x["i"] > acc["past"], F.struct((x["i"] + 2 * x["d"] - 1).alias("past"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
+    taken = best.select(key, F.explode(F.aggregate("blocks", zero, take, lambda acc: acc["taken"])).alias("t"))
+    gone = taken.select(key, F.explode(F.sequence(F.col("t.i") + F.col("t.d"), F.col("t.i") + 2 * F.col("t.d") - 1)).alias("line_no"))
+    return rows.join(gone, [key, "line_no"], "left_anti")
 
 
 def drop_earlier_repeats(lines: list[str], least: int = 5) -> list[int]:
-    """Places that stay when a run of `least` lines or more that stood before (whole, and earlier) goes."""
-    first: dict[tuple[str, ...], int] = {}
-    keep, i = [], 0
-    while i < len(lines):
-        gram = tuple(lines[i : i + least])
-        at = first.get(gram) if len(gram) == least else None
-        if at is not None and at + least <= i:
-            n = least
-            while i + n < len(lines) and at + n < i and lines[at + n] == lines[i + n]:
-                n += 1
+    """Places that stay when every longest run of `least` lines or more goes that stood before as a whole, and apart from it."""
+    number = {x: k for k, x in enumerate(dict.fromkeys(lines))}
+    own = np.array([number[x] for x in lines], np.int64)
+    starts: dict[bytes, list[int]] = {}
+    keep, i, known = [], 0, 0
+    while i < len(own):
+        # Places up to i - least may begin a run that ends before i.
+        while known <= i - least:
+            starts.setdefault(own[known : known + least].tobytes(), []).append(known)
+            known += 1
+        at = np.array(starts.get(own[i : i + least].tobytes(), ()) if i + least <= len(own) else (), np.int64)
+        n = least
+        while len(at):
+            more = at[(at + n < i) & (i + n < len(own))]
+            more = more[own[more + n] == own[i + n]] if len(more) else more
+            if not len(more):
+                break
+            at, n = more, n + 1
+        if len(at):
             i += n
-            continue
-        if len(gram) == least:
-            first.setdefault(gram, i)
-        keep.append(i)
-        i += 1
+        else:
+            keep.append(i)
+            i += 1
     return keep
 
 

@@ -51,11 +51,11 @@ def test_byte_functions(spark):
     assert tuple(one.select(codecs.decode_table("c", "t"), codecs.normalise("k", F.lit("NFKC"))).first()) == ("ac<0009>", "ガ")
 
 
-def test_tags_nest_and_quotes_hide_brackets(spark):
-    df = spark.createDataFrame([(1, 'Hi[name v="a]b" w=[x]]there[l][broken')], "i int, text string")
+def test_tags_nest_and_end_with_their_line(spark):
+    df = spark.createDataFrame([(1, 'Hi[name v="ab" w=[x]]there[l][broken [r]x\n[open\ny]z')], "i int, text string")
     got = df.lateralJoin(lexers.TagTokens(F.col("text").outer())).orderBy("pos").collect()
-    assert [(r["kind"], r["name"]) for r in got] == [("text", None), ("tag", "name"), ("text", None), ("tag", "l"), ("text", None)]
-    assert got[1]["attributes"]["v"] == "a]b" and got[2]["value"] == "there" and got[4]["value"] == "[broken"
+    assert [(r["kind"], r["name"]) for r in got] == [("text", None), ("tag", "name"), ("text", None), ("tag", "l"), ("tag", "broken"), ("text", None), ("cut", "open"), ("text", None)]
+    assert got[1]["attributes"]["v"] == "ab" and got[2]["value"] == "there" and got[5]["value"] == "x" and got[7]["value"] == "y]z"
 
 
 def test_line_scripts(spark):
