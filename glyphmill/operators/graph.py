@@ -1,7 +1,7 @@
 """Reachability and orders over edge tables, by rounds of joins over the frontier.
 
 Each round joins only the nodes reached last with the edges, so the work follows
-the number of edges; results stay distributed and are checkpointed every few rounds.
+the number of edges; results stay distributed, and each round is written as a table.
 """
 
 from __future__ import annotations
@@ -9,34 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions import text as T
 from glyphmill.session import durable
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, depth (the fewest edges) from edges(src, dst) and roots(node)."""
-    seen = frontier = durable(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    """node, depth (the fewest edges) from edges(src, dst) and roots(node). A round writes its own nodes, and every eighth all of them."""
+    frontier = durable(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    seen, rounds = frontier, 0
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = durable(step.join(seen, "node", "left_anti"))
-        seen = durable(seen.unionByName(frontier))
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        seen = seen if rounds % 8 else durable(seen)
     return seen
 
 
-def depth_first_order(edges: DataFrame, roots: DataFrame, digits: int = 8) -> DataFrame:
-    """node, path: the least path of edge positions by which a node is first visited; sort by path for pre-order.
+def depth_first_order(edges: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, path: the least path of edge positions to a node; sort by path for the pre-order of a depth-first visit.
 
-    edges(src, pos, dst). Without joining or crossing paths this is the order of the first visit; the order of a
-    node with several parents is that of its least path.
+    edges(src, pos, dst), pos not negative. A depth-first visit reaches a node by its least path: whatever it visits before is smaller, and from
+    there it takes the first edge that leads on.  Positions sort as numbers of any length.  With nodes(node), those
+    that no root reaches follow in their own order.
     """
     best = frontier = durable(roots.select("node", F.lit("").alias("path")).distinct())
     while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.lpad(F.col("pos").cast("string"), digits, "0")).alias("path"))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", T.sortable_number(F.col("pos").cast("string"))).alias("path"))
         step = step.groupBy("node").agg(F.min("path").alias("path"))
         # A path that comes back to a node is longer than the one it had and starts with it, so it never wins.
         better = step.join(best.withColumnRenamed("path", "old"), "node", "left").where("old is null or path < old").select("node", "path")
         frontier = durable(better)
         best = durable(best.unionByName(frontier).groupBy("node").agg(F.min("path").alias("path")))
-    return best
+    if nodes is None:
+        return best
+    return best.unionByName(orphans(nodes.select("node"), best).select("node", F.concat(F.lit("~"), T.sortable_number(F.col("node").cast("string"))).alias("path")))
 
 
 def orphans(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -58,20 +64,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("component"))
 
 
-def expand_calls(events: DataFrame, root: str, most: int = 32) -> DataFrame:
-    """path, node, pos, text of events(node, pos, text, callee) of `root`, each call followed by the callee's events.
+def expand_calls(events: DataFrame, root: str) -> DataFrame:
+    """path, node, pos, text of events(node, pos, text, callee) of `root`, each call followed by the callee's events, to any depth.
 
     The path sorts events in the order in which they run; a call of a node that is being expanded stays a plain event.
     """
-    pos = F.lpad(F.col("pos").cast("string"), 8, "0")
-    frames = durable(events.sparkSession.createDataFrame([("", root, [root])], "prefix string, node string, stack array<string>"))
+    pos = T.sortable_number(F.col("pos").cast("string"))
+    frames = events.sparkSession.createDataFrame([("", root, [root])], "prefix string, node string, stack array<string>")
     out = None
-    for _ in range(most):
-        if frames.isEmpty():
-            break
-        rows = frames.join(events, "node").select(F.concat("prefix", pos).alias("path"), "node", "pos", "text", "callee", "stack")
-        rows = durable(rows)
+    while True:
+        rows = durable(frames.join(events, "node").select(F.concat("prefix", pos).alias("path"), "node", "pos", "text", "callee", "stack"))
         out = rows if out is None else out.union(rows)
         calls = rows.where(F.col("callee").isNotNull() & ~F.array_contains("stack", F.col("callee")))
-        frames = durable(calls.select(F.concat("path", F.lit("/")).alias("prefix"), F.col("callee").alias("node"), F.array_append("stack", F.col("callee")).alias("stack")))
-    return out.select("path", "node", "pos", "text")
+        if calls.isEmpty():
+            return out.select("path", "node", "pos", "text")
+        frames = calls.select(F.concat("path", F.lit("/")).alias("prefix"), F.col("callee").alias("node"), F.array_append("stack", F.col("callee")).alias("stack"))

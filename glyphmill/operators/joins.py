@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.session import durable, hinted
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, order: str, value: str, strict: bool = False) -> DataFrame:
@@ -48,11 +49,12 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def containment(lines: DataFrame, corpus: DataFrame, n: int = 8) -> DataFrame:
     """For each line (line_id, line) the corpus item (item_id, text) that holds most of its n-grams: line_id, item_id, hits, share.
 
-    Grams of the corpus are distinct, and those of the lines are counted per pair before anything else is joined.
+    Grams are counted per pair of line and item before anything else is joined.
     """
-    own = lines.select("line_id", T.grams(F.col("line"), n).alias("g")).where(F.size("g") > 0)
-    own = own.select("line_id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    theirs = corpus.select("item_id", F.explode(T.grams(F.col("text"), n)).alias("gram")).distinct()
+    own = durable(lines.select("line_id", T.grams(F.col("line"), n).alias("g")).where(F.size("g") > 0).select("line_id", F.size("g").alias("size"), F.explode("g").alias("gram")))
+    # Of the corpus only those grams are kept that a line has, before they are made distinct.
+    wanted = hinted(durable(own.select("gram").distinct()))
+    theirs = corpus.select("item_id", F.explode(T.gram_list(F.col("text"), n)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
     hits = own.join(theirs, "gram").groupBy("line_id", "size", "item_id").agg(F.count("*").alias("hits"))
     best = hits.groupBy("line_id", "size").agg(F.max(F.struct("hits", (-F.col("item_id")).alias("i"))).alias("best"))
     return best.select("line_id", (-F.col("best.i")).alias("item_id"), F.col("best.hits").alias("hits"), (F.col("best.hits") / F.col("size")).alias("share"))

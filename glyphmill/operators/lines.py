@@ -88,12 +88,20 @@ def shared_blocks(rows: DataFrame, width: int = 8, key: str = "doc_id") -> DataF
     return hits.groupBy(key, "keeper", "run").agg(F.min("line_no").alias("first_line"), (F.max("line_no") + width - 1).alias("last_line")).drop("run")
 
 
-def concatenations(rows: DataFrame, key: str, order: str, text: str, most: int = 6) -> DataFrame:
-    """Rows that are the concatenation of the 2 to `most` rows before them: key, order, parts (the fewest)."""
+def concatenations(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Rows that are the concatenation of two or more rows right before them, none of them empty: key, order, text, parts.
+
+    By places in the document's joined text, a row can only begin where one of the rows before it does: one equi-join, whatever the number of parts.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    cases = None
-    for n in range(2, most + 1):
-        before = [F.lag(text, k).over(w) for k in range(n, 0, -1)]
-        hit = F.concat(*before) == F.col(text)
-        cases = F.when(hit, F.lit(n)) if cases is None else cases.when(hit, F.lit(n))
-    return rows.withColumn("parts", cases.cast("long")).where(F.col("parts").isNotNull() & (F.length(text) > 0))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length(text)
+    # Such a row ends with the one before it.
+    ends = F.coalesce((F.lag(text).over(w) != "") & F.col(text).endswith(F.lag(text).over(w)) & (n > F.length(F.lag(text).over(w))), F.lit(False))
+    placed = rows.select(key, order, text, F.sum(n).over(so_far).alias("_end"), F.row_number().over(w).alias("_i"), F.sum((n == 0).cast("int")).over(so_far).alias("_blanks"), ends.alias("_ends"))
+    a = placed.where(F.col("_ends") & (F.col("_i") > 2)).withColumn("_from", F.col("_end") - 2 * n)
+    b = placed.where(n > 0).select(key, (F.col("_end") - n).alias("_from"), F.col("_i").alias("_j"), F.col("_blanks").alias("_before"))
+    hits = a.join(b, [key, "_from"]).where((F.col("_j") <= F.col("_i") - 2) & (F.col("_before") == F.col("_blanks")))
+    whole = rows.join(hits.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct(order, text)))[text], "").alias("_whole"))
+    sound = hits.join(whole, key).where(F.substring(F.col("_whole"), (F.col("_from") + 1).cast("int"), n) == F.col(text))
+    return sound.select(key, order, text, (F.col("_i") - F.col("_j")).cast("long").alias("parts"))

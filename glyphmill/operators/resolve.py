@@ -102,14 +102,14 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def greedy_sentences(rows: DataFrame, most: int = 400, ends: str = ".!?。", key: str = "doc_id") -> DataFrame:
+def greedy_sentences(rows: DataFrame, most: int = 400, ends: str = "。．.!?！？」』）)】", key: str = "doc_id") -> DataFrame:
     """key, line_no, line: lines joined until one ends a sentence or the joined text reaches `most` characters."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         out, held, at = [], "", None
         for n, line in own.sort_values("line_no")[["line_no", "line"]].itertuples(index=False):
             at, held = (n if at is None else at), held + line
-            if held[-1:] in tuple(ends) or len(held) >= most:
+            if held.rstrip()[-1:] in tuple(ends) or len(held) >= most:
                 out.append((at, held))
                 held, at = "", None
         if held:

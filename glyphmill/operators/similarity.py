@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from glyphmill.session import durable
+
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -40,10 +42,36 @@ def overlap_of_bits(a: Column, b: Column) -> Column:
     return F.when(any_ > 0, both / any_).otherwise(F.lit(1.0))
 
 
+#: Numbers of all means that are broadcast at once.
+MEANS_AT_ONCE = 2_000_000
+
+
+def best_mean(vectors: DataFrame, means: DataFrame, score, key: str, vector: str) -> DataFrame:
+    """key, best, score: of means(l, mean) the label whose mean scores highest with a vector, the smallest of equals.
+
+    score(vector, mean) is a column. The means are counted, and broadcast in blocks of bounded size, one after the other; the best of
+    all blocks is kept for each vector.
+    """
+    means = durable(means)
+    numbers = means.agg(F.sum(F.size("mean"))).first()[0] or 0
+    blocks, parts = max(1, -(-numbers // MEANS_AT_ONCE)), []
+    for b in range(blocks):
+        own = means.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == b) if blocks > 1 else means
+        listed = own.agg(F.collect_list(F.struct("l", "mean")).alias("means"))
+        scored = vectors.join(F.broadcast(listed)).select(key, F.transform("means", lambda m: F.struct(F.round(score(F.col(vector), m["mean"]), 9).alias("score"), (-m["l"]).alias("l"))).alias("s"))
+        part = scored.select(key, F.array_max("s").alias("s"))
+        parts.append(durable(part) if blocks > 1 else part)
+    best = parts[0]
+    for part in parts[1:]:
+        best = best.unionByName(part)
+    if blocks > 1:
+        best = best.groupBy(key).agg(F.max("s").alias("s"))
+    return best.select(key, (-F.col("s.l")).alias("best"), F.col("s.score").alias("score"))
+
+
 def nearest_centroid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """key, label, best, score: the label whose mean vector is most similar. One row per label is broadcast if few."""
+    """key, label, best, score: the label whose mean vector is most similar."""
     parts = vectors.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = parts.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
-    every = means.agg(F.collect_list(F.struct(F.col(label).alias("l"), "mean")).alias("means"))
-    scored = vectors.crossJoin(F.broadcast(every)).select(key, label, F.transform("means", lambda m: F.struct(F.round(cosine(F.col(vector), m["mean"]), 9).alias("score"), (-m["l"]).alias("l"))).alias("s"))
-    return scored.select(key, label, (-F.array_max("s")["l"]).alias("best"), F.array_max("s")["score"].alias("score"))
+    means = parts.groupBy(F.col(label).alias("l")).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
+    named = vectors.select(F.struct(key, label).alias("k"), vector)
+    return best_mean(named, means, cosine, "k", vector).select("k.*", "best", "score")

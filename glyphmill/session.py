@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def build_session(app: str = "glyphmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Tables of known size are broadcast up to this number of rows, and joined by shuffle beyond; the results agree.
+BROADCAST_ROWS = 500_000
+
+
+def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if a count of its rows allows it. For narrow tables that are written already."""
+    return broadcast(df) if df.count() <= rows else df
