@@ -63,7 +63,11 @@ def lookahead_name(spark, d):
     return lines.look_ahead(rows, F.when(F.col("role") != "system", F.col("role")), "next_speaker", 4, "conv_id", "turn")
 
 
-@query(f"WITH {_DUAL}, w AS (SELECT *, " + ", ".join(f"lag(text, {k}) OVER o AS b{k}" for k in range(1, 7)) + " FROM dual WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, line_no, CAST(CASE " + " ".join(f"WHEN text = {' || '.join(f'b{k}' for k in range(n, 0, -1))} THEN {n}" for n in range(2, 7)) + " END AS BIGINT) AS parts FROM w WHERE parts IS NOT NULL AND text <> ''")
+@query(
+    f"""WITH RECURSIVE {_DUAL}, b(doc_id, line_no, place, rest, parts) AS (SELECT doc_id, line_no, line_no, text, 0 FROM dual WHERE text <> '' UNION ALL
+SELECT b.doc_id, b.line_no, p.line_no, left(b.rest, length(b.rest) - length(p.text)), b.parts + 1 FROM b JOIN dual p ON p.doc_id = b.doc_id AND p.line_no = b.place - 1 AND p.text <> '' AND b.rest <> '' AND ends_with(b.rest, p.text))
+SELECT doc_id, line_no, CAST(parts AS BIGINT) AS parts FROM b WHERE rest = '' AND parts >= 2"""
+)
 def concat_candidates(spark, d):
     rows = dual_layout(spark, d)
     return lines.concatenations(rows, "doc_id", "line_no", "text").select("doc_id", "line_no", "parts")

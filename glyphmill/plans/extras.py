@@ -25,12 +25,25 @@ def common_shingles(spark, d):
     return dedupe.common_blocks(doc_lines(spark, d), 3, 2)
 
 
-@query()
+_LISTS = "d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    f"""WITH RECURSIVE {_LISTS}, g AS (SELECT doc_id, l, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS i FROM d),
+k AS (SELECT doc_id, i, l[i] AS line, list_max(list_filter(range(1, least(120, (len(l) - i + 1) // 2) + 1), lambda k: l[i] = l[i + k] AND l[i:i + k - 1] = l[i + k:i + 2 * k - 1])) AS k FROM g),
+r AS (SELECT doc_id, i, k FROM k WHERE i = 1 UNION ALL SELECT k.doc_id, k.i, k.k FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + coalesce(2 * r.k, 1)),
+kept AS (SELECT doc_id, unnest(range(i, i + coalesce(k, 1))) AS i FROM r) SELECT doc_id, CAST(i AS BIGINT) AS line_no, line FROM kept JOIN k USING (doc_id, i)"""
+)
 def folded_blocks(spark, d):
-    return dedupe.by_document(doc_lines(spark, d), dedupe.fold_blocks)
+    return dedupe.folded(doc_lines(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(l) AS line, CAST(generate_subscripts(l, 1) AS BIGINT) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT a.doc_id, a.i AS j, b.i AS i, b.i - a.i AS d FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.line = b.line AND a.i < b.i), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS run FROM p),
+e AS (SELECT doc_id, i, d, max(i) OVER (PARTITION BY doc_id, d, run) - i + 1 AS n FROM g), k AS (SELECT doc_id, i, max(least(n, d)) AS k FROM e WHERE least(n, d) >= 5 GROUP BY doc_id, i), m AS (SELECT l.*, k FROM l LEFT JOIN k USING (doc_id, i)),
+r AS (SELECT doc_id, i, k FROM m WHERE i = 1 UNION ALL SELECT m.doc_id, m.i, m.k FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + coalesce(r.k, 1)) SELECT doc_id, i AS line_no, line FROM r JOIN l USING (doc_id, i) WHERE k IS NULL"""
+)
 def earlier_repeats(spark, d):
     return dedupe.by_document(doc_lines(spark, d), dedupe.drop_earlier_repeats)
 
@@ -56,8 +69,8 @@ def split_boundaries(spark, d):
     f"""WITH {LINES}, d AS (SELECT *, sum(length(replace(line, '.', '')) - length(replace(line, ',', ''))) OVER (PARTITION BY doc_id ORDER BY line_no) AS depth FROM l),
 s AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY doc_id ORDER BY line_no) <= 0, true) AS starts FROM d), g AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM s),
 a AS (SELECT doc_id, grp, count(*) AS n, arg_max(depth, line_no) AS last, min(line_no) AS first_no, string_agg(line, '' ORDER BY line_no) AS joined FROM g GROUP BY ALL)
-SELECT doc_id, first_no AS line_no, joined AS line, CAST(n AS INTEGER) AS parts FROM a WHERE n BETWEEN 2 AND 4 AND last <= 0
-UNION ALL SELECT doc_id, line_no, line, 1 FROM g JOIN a USING (doc_id, grp) WHERE NOT (n BETWEEN 2 AND 4 AND last <= 0)"""
+SELECT doc_id, first_no AS line_no, joined AS line, CAST(n AS INTEGER) AS parts FROM a WHERE n >= 2 AND last <= 0
+UNION ALL SELECT doc_id, line_no, line, 1 FROM g JOIN a USING (doc_id, grp) WHERE NOT (n >= 2 AND last <= 0)"""
 )
 def wrapped_rows(spark, d):
     return repair.join_wrapped(doc_lines(spark, d), ",", ".")
@@ -95,13 +108,16 @@ def blocks_last(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '\\b([a-z]{5,6})ing\\b', 1))) AS name FROM conversations), v AS (SELECT DISTINCT lower(p_brand) AS x FROM part)
-SELECT conv_id, turn, list_sort(list(name)) AS unresolved FROM r GROUP BY ALL""".replace("\\\\", "\\")
+    r"""WITH t AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(text, '\b([a-z]{5,6})ing\b', 1)) AS names FROM conversations), v AS (SELECT DISTINCT regexp_extract(text, '([a-z]{5,6})', 1) AS name FROM benchmark),
+r AS (SELECT conv_id, turn, unnest(names) AS name FROM t), u AS (SELECT conv_id, turn, list_sort(list(name)) AS unresolved FROM r ANTI JOIN v USING (name) GROUP BY ALL), k AS (SELECT conv_id, turn, count(*) AS n FROM r SEMI JOIN v USING (name) GROUP BY ALL)
+SELECT conv_id, turn, coalesce(unresolved, []) AS unresolved, coalesce(n, 0) > 0 AS filled FROM t LEFT JOIN u USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn)"""
 )
 def unresolved_references(spark, d):
-    values = table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit("x").alias("value"))
-    rows = resolve.fill_references(table(spark, d, "conversations").select("conv_id", "turn", "text"), values, ["conv_id", "turn"], "text", r"\b([a-z]{5,6})ing\b", "%sing")
-    return rows.where(F.size("unresolved") > 0).select("conv_id", "turn", "unresolved")
+    """Stems before -ing as references; values are there for those that a benchmark text begins with."""
+    values = table(spark, d, "benchmark").select(F.regexp_extract("text", "([a-z]{5,6})", 1).alias("name")).distinct().withColumn("value", F.lit("<>"))
+    own = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    rows = resolve.fill_references(own, values, ["conv_id", "turn"], "text", r"\b([a-z]{5,6})ing\b", "%sing")
+    return rows.select("conv_id", "turn", "unresolved", F.col("text").contains("<>").alias("filled"))
 
 
 @query(

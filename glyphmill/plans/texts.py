@@ -95,7 +95,13 @@ def bracket_balance(spark, d):
     return table(spark, d, "documents").select("doc_id", T.pair_difference(c, "(", ")").alias("round"), T.pair_difference(c, "[", "]").alias("square"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT page_id, unnest(s) AS ch, generate_subscripts(s, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '[<>]') AS s FROM pages)),
+s AS (SELECT *, sum(CASE ch WHEN '<' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM c), m AS (SELECT *, least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS m FROM s),
+d AS (SELECT *, s - m AS depth, coalesce(lag(s - m) OVER (PARTITION BY page_id ORDER BY i), 0) AS before FROM m)
+SELECT page_id, CAST(coalesce(arg_max(depth, i), 0) AS INTEGER) AS depth, CAST(coalesce(max(depth), 0) AS INTEGER) AS deepest, CAST(count(*) FILTER (ch = '>' AND before = 1) AS INTEGER) AS top, CAST(count(*) FILTER (ch = '>' AND before = 0) AS INTEGER) AS stray
+FROM pages LEFT JOIN d USING (page_id) GROUP BY page_id"""
+)
 def bracket_depths(spark, d):
     return table(spark, d, "pages").select("page_id", T.bracket_depth(F.col("html"), "<", ">").alias("b")).select("page_id", "b.*")
 
@@ -125,9 +131,20 @@ def width_stats(spark, d):
 
 @query("SELECT source, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.95), 6) AS p95, max(length(text))::BIGINT AS longest FROM documents GROUP BY source")
 def len_percentiles(spark, d):
-    p = F.percentile(F.length("text"), F.array(F.lit(0.5), F.lit(0.95)))
-    rows = table(spark, d, "documents").groupBy("source").agg(p.alias("p"), F.max(F.length("text")).cast("long").alias("longest"))
-    return rows.select("source", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "longest")
+    # Lengths are counted first, so no task holds every length of a source.
+    counts = table(spark, d, "documents").where("text is not null").groupBy("source", F.length("text").cast("long").alias("n")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("source").orderBy("n"))
+    rows = counts.withColumn("upto", upto).withColumn("every", F.sum("k").over(Window.partitionBy("source")))
+
+    def quantile(p):
+        at = p * (F.col("every") - 1)
+        value = lambda k: F.min(F.when(F.col("upto") > k, F.col("n")))
+        return value(F.floor(at)), value(F.ceil(at)), F.first(at - F.floor(at))
+
+    made = {name: quantile(p) for name, p in (("p50", 0.5), ("p95", 0.95))}
+    sums = rows.groupBy("source").agg(*(c.alias(f"{name}_{k}") for name, own in made.items() for k, c in enumerate(own)), F.max("n").alias("longest"))
+    between = lambda name: F.round(F.col(f"{name}_0") + F.col(f"{name}_2") * (F.col(f"{name}_1") - F.col(f"{name}_0")), 6).alias(name)
+    return sums.select("source", between("p50"), between("p95"), "longest")
 
 
 @query(
@@ -222,7 +239,7 @@ def anchors(spark, d):
 
 @query(
     """WITH b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark), d AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents)
-SELECT w, 'documents' AS missing_from FROM b WHERE w NOT IN (SELECT w FROM d) UNION ALL SELECT w, 'benchmark' FROM d WHERE w NOT IN (SELECT w FROM b)"""
+SELECT w, 'documents' AS missing_from FROM b ANTI JOIN d USING (w) UNION ALL SELECT w, 'benchmark' FROM d ANTI JOIN b USING (w)"""
 )
 def vocabulary_coverage(spark, d):
     words = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w")).select(F.lower("w").alias("w")).distinct()

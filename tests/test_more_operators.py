@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import dedupe, lines, repair, reports, resolve
+from glyphmill.functions import text as T
+from glyphmill.operators import dedupe, graph, lines, repair, reports, resolve, similarity
 from glyphmill.sources import readers
 
 
@@ -9,19 +13,54 @@ def rows_of(spark, docs):
     return lines.lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
 
 
-@pytest.mark.parametrize("text, want", [("ababc", [0, 1, 4]), ("aaab", [0, 3]), ("abcabcabc", [0, 1, 2]), ("abc", [0, 1, 2]), ("", [])])
-def test_fold_blocks(text, want):
-    assert dedupe.fold_blocks(list(text)) == want
+def plain_fold(text, most=120):
+    keep, at = [], 0
+    while at < len(text):
+        sizes = [k for k in range(1, most + 1) if at + 2 * k <= len(text) and text[at : at + k] == text[at + k : at + 2 * k]]
+        keep += range(at, at + max(sizes, default=1))
+        at += 2 * max(sizes) if sizes else 1
+    return keep
+
+
+def test_folded_blocks(spark):
+    rng = random.Random(4)
+    texts = ["ababc", "aaab", "abcabcabc", "abc", "a"] + ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(40)] + ["".join(rng.choice("abc") for _ in range(30)) * 3]
+    for most in (120, 4):
+        got = {k: [] for k in range(len(texts))}
+        for r in dedupe.folded(rows_of(spark, ["\n".join(t) for t in texts]), most).collect():
+            got[r["doc_id"]].append(r["line_no"] - 1)
+        assert {k: sorted(v) for k, v in got.items()} == {k: plain_fold(t, most) for k, t in enumerate(texts)}
+
+
+def plain_drop(lines, least):
+    keep, i = [], 0
+    while i < len(lines):
+        best = 0
+        for j in range(i):
+            k = 0
+            while i + k < len(lines) and j + k < i and lines[i + k] == lines[j + k]:
+                k += 1
+            best = max(best, k)
+        if best >= least:
+            i += best
+        else:
+            keep.append(i)
+            i += 1
+    return keep
 
 
 def test_earlier_repeats():
     assert dedupe.drop_earlier_repeats(list("abcdexabcdey"), 5) == [0, 1, 2, 3, 4, 5, 11]
     assert dedupe.drop_earlier_repeats(list("abcdxabcdy"), 5) == list(range(10))
+    rng = random.Random(5)
+    for _ in range(200):
+        text = [rng.choice("ab") for _ in range(rng.randint(0, 60))]
+        assert dedupe.drop_earlier_repeats(text, 3) == plain_drop(text, 3)
 
 
 def test_blocks_by_document_and_common_blocks(spark):
-    rows = rows_of(spark, ["a\na\nb", "x\ny\nz\nq", "x\ny\nz", "p\nx\ny\nz"])
-    assert sorted((r["doc_id"], r["line_no"]) for r in dedupe.by_document(rows, dedupe.fold_blocks).where("doc_id = 0").collect()) == [(0, 1), (0, 3)]
+    rows = rows_of(spark, ["a\nb\nc\na\nb\nc\nd", "x\ny\nz\nq", "x\ny\nz", "p\nx\ny\nz"])
+    assert sorted(r["line_no"] for r in dedupe.by_document(rows, lambda x: dedupe.drop_earlier_repeats(x, 3)).where("doc_id = 0").collect()) == [1, 2, 3, 7]
     assert sorted(tuple(r) for r in dedupe.common_blocks(rows, 3, 3).collect()) == [(2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (3, 4)]
     assert dedupe.common_blocks(rows, 3, 4).count() == 0
 
@@ -46,14 +85,42 @@ def test_splits(spark):
 def test_join_wrapped_keeps_characters(spark):
     rows = rows_of(spark, ["「a\nb」\nc\n「d\ne\nf\ng\nh」\n「open"])
     got = repair.join_wrapped(rows)
-    assert [(r["line"], r["parts"]) for r in got.orderBy("line_no").collect()] == [("「ab」", 2), ("c", 1), ("「d", 1), ("e", 1), ("f", 1), ("g", 1), ("h」", 1), ("「open", 1)]
+    assert [(r["line"], r["parts"]) for r in got.orderBy("line_no").collect()] == [("「ab」", 2), ("c", 1), ("「defgh」", 5), ("「open", 1)]
     assert repair.kept_characters(rows, got).count() == 0
     assert repair.kept_characters(rows, got.where("line_no > 1")).count() == 1
 
 
 def test_near_same(spark):
-    df = spark.createDataFrame([("the quick brown fox", "the quick brown fax"), ("abc", "xyz"), (None, "a")], "a string, b string")
-    assert [tuple(r) for r in df.select(repair.near_same("a", "b"), repair.affix_cover("a", "b")).collect()] == [(True, True), (False, False), (None, None)]
+    cases = [("the quick brown fox", "the quick brown fax"), ("abc", "xyz"), (None, "a"), ("same text", "same text"), ("abcde", "abcdf"), ("aaaa" * 3, "aaaa" * 3 + "a very long rest")]
+    df = spark.createDataFrame(cases, "a string, b string")
+    assert [tuple(r) for r in df.select(repair.near_same("a", "b"), repair.affix_cover("a", "b")).collect()] == [(True, True), (False, False), (None, None), (True, False), (False, True), (False, False)]
+
+
+def plain_clicks(s, clicks):
+    out, held, i = [], "", 0
+    while i < len(s):
+        if s[i] == "_" and s[i + 1 : i + 2] and s[i + 1] in clicks:
+            held, i = held + s[i + 1], i + 2
+            continue
+        held, last, i = held + s[i], s[i], i + 1
+        if last in clicks:
+            while i < len(s) and s[i] in clicks:
+                held, i = held + s[i], i + 1
+            out, held = [*out, held], ""
+    return [*out, held] if held else out or [s]
+
+
+def test_rows_are_balanced_and_cut(spark):
+    rows = ["「a", "a」", "「a」」", "x。y。zz」", "a」b", "「「a", "「a」", "", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, c string").orderBy("i").select(repair.balanced(F.col("c"))).collect()]
+    assert got == [["「a」"], ["a"], ["「a」"], ["x。y。", "「zz」"], ["ab"], ["「「a"], ["「a」"], [""], ["plain"]]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab_。！」") for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, c string").orderBy("i").select(repair.split_clicks(F.col("c"), "。！」")).collect()]
+    assert got == [plain_clicks(x, "。！」") for x in texts]
+    quotes = ["「abcdef」「abcdeg」", "「abc」「xyz」", "「a」x「b」", "x「a」「b」", "「one」"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(quotes)], "i int, c string").orderBy("i").select(repair.adjacent_quotes(F.col("c"))).collect()]
+    assert got == [["「abcdef」"], ["「abc」", "「xyz」"], ["「a」x「b」"], ["x「a」「b」"], ["「one」"]]
 
 
 def test_references_and_macros(spark):
@@ -120,3 +187,58 @@ def test_readers(spark, tmp_path):
     assert [r["line"] for r in readers.glossary(rows).collect()] == ["【t】d"]
     cells = spark.createDataFrame([("s", 0, ["Cmd", "Text"]), ("s", 1, ["", "a"]), ("s", 2, ["//", "b"])], "sheet string, idx int, cells array<string>")
     assert [r["value"] for r in readers.sheet_column(cells, "Text").collect()] == ["a"]
+
+
+def test_numbers_through_ranges(spark):
+    rng = random.Random(2)
+    names = [f"{rng.choice('ab')}{'0' * rng.randint(0, 2)}{rng.choice([rng.randint(0, 30), rng.randint(10**13, 10**16)])}{rng.choice(['', 'x'])}" for _ in range(300)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").repartition(5)
+    got = {r["i"]: r["number"] for r in resolve.numbered(df, [T.natural_key(F.col("n")), F.col("i")]).collect()}
+    key = lambda i: ([(int(x), "") if x.isdigit() else (-1, x) for x in re.findall("[0-9]+|[^0-9]+", names[i])], len(names[i]), i)
+    assert sorted(got.values()) == list(range(1, 301))
+    assert sorted(got, key=got.get) == sorted(range(300), key=key)
+
+
+def test_long_texts_have_the_same_grams(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc\n😀") for _ in range(k)) for k in (0, 3, 12, 511, 512, 513, 524, 600, 768, 2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.gram_list(F.col("t"), 12).alias("g")).collect()
+    for r in rows:
+        t = r["t"]
+        assert r["g"] == ([t[i : i + 12] for i in range(len(t) - 11)] if len(t) >= 12 else [t] if t else [])
+
+
+def test_eighteen_segments_and_deep_calls(spark):
+    segs = [f"part {k}." for k in range(18)]
+    rows = rows_of(spark, ["\n".join([*segs, "".join(segs), "", "x", "x", "xx", "ab", "", "b", "abb"])])
+    got = sorted((r["line_no"], r["parts"]) for r in lines.concatenations(rows, "doc_id", "line_no", "line").collect())
+    assert got == [(19, 18), (23, 2)]
+    events = spark.createDataFrame([(str(k), p, f"{k}.{p}", str(k + 1) if p == 1 and k < 40 else None) for k in range(41) for p in (1, 12)], "node string, pos int, text string, callee string")
+    order = [r["text"] for r in graph.expand_calls(events, "0").orderBy("path").collect()]
+    assert order == [f"{k}.1" for k in range(41)] + [f"{k}.12" for k in range(40, -1, -1)]
+
+
+def test_depth_first_order_of_crossing_paths(spark):
+    rng = random.Random(6)
+    for n in (8, 14):
+        edges = [(s, p, rng.randrange(n)) for s in range(n) for p in rng.sample(range(0, 120, 9), 3) if s % 5]
+        out, seen = [], set()
+
+        def visit(x):
+            if x not in seen:
+                seen.add(x)
+                out.append(x)
+                for _, _, y in sorted(e for e in edges if e[0] == x):
+                    visit(y)
+
+        visit(1)
+        got = graph.depth_first_order(spark.createDataFrame(edges, "src int, pos int, dst int"), spark.createDataFrame([(1,)], "node int"), spark.range(n).select(F.col("id").cast("int").alias("node")))
+        assert [r["node"] for r in got.orderBy("path").collect()] == out + [x for x in range(n) if x not in seen]
+
+
+def test_means_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)], i % 7) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    whole = sorted(map(tuple, similarity.nearest_centroid(rows).collect()))
+    monkeypatch.setattr(similarity, "MEANS_AT_ONCE", 8)
+    assert sorted(map(tuple, similarity.nearest_centroid(rows).collect())) == whole
