@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BLANKS, ascii_lower, checkpointed
+from glyphmill.llm.common import BLANKS, Scratch, ascii_lower, checkpointed
 
 #: A null doc_id.
 LAST = 2**63 - 1
@@ -47,7 +47,7 @@ class LineRuns:
     """The runs of one store; each is a table of the session's warehouse until close()."""
 
     def __init__(self, spark: SparkSession, least: int = 10, fanout: int = 2):
-        self.spark, self.least, self.fanout = spark, least, fanout
+        self.spark, self.least, self.fanout, self.scratch = spark, least, fanout, Scratch(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.made: set[str] = set()
@@ -99,7 +99,10 @@ class LineRuns:
             told = told.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("known", F.coalesce("known", f"known{k}")).drop(f"known{k}")
         run = self._store(told.where("known is null").select("h1", "h2", "first"), True)
         rule = told.where("known is not null or last > first").select("h1", "h2", F.least("known", "first").alias("keeper"))
+        # Out of its buckets, so that Spark may split the rows of a line that very many documents share.
+        rule = self.scratch.table(rule)
         lost = checkpointed(keys.join(rule, ["h1", "h2"]).where("d > keeper").select("d", "h1"))
+        self.scratch.drop(rule)
         self._drop(name)
         self._add(run)
         return lost
