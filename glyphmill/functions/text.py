@@ -182,3 +182,39 @@ def first_fitting(c: Column, cases: Iterable[tuple[Column, str]], otherwise: str
     for when, label in cases:
         out = F.when(when, F.lit(label)) if out is None else out.when(when, F.lit(label))
     return out.otherwise(F.lit(otherwise))
+
+
+# Half-width kana and punctuation, and their full-width forms in the same order.
+HALF_WIDTH = "｡｢｣､･ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
+FULL_WIDTH = "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン゛゜"
+
+
+def full_width_kana(c: Column) -> Column:
+    return F.translate(c, HALF_WIDTH, FULL_WIDTH)
+
+
+def looks_like_name(c: Column, pattern: str = r"^[ぁ-んァ-ヶ一-龯々・ー？?]+$", most: int = 10) -> Column:
+    """Whether a text is short and made of name characters only."""
+    return F.coalesce((F.length(c) > 0) & (F.length(c) <= most) & c.rlike(pattern), F.lit(False))
+
+
+def unescape(c: Column, table: Mapping[str, str], mark: str = "\\") -> Column:
+    """Escapes (a mark and one character) to what the table says, in one pass from the left; unknown ones stay."""
+    parts = F.regexp_extract_all(c, F.lit(rf"(?s)(\{mark}.|[^\{mark}]+|\{mark})"), 1)
+    known = F.create_map(*[F.lit(x) for k, v in table.items() for x in (mark + k, v)])
+    return F.when(F.length(c) > 0, F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")).otherwise(c)
+
+
+def split_name(c: Column, opening: str = "「", closing: str = "」", most: int = 12) -> Column:
+    """struct(name, text): a short head before a quote that closes the row is its speaker's name, else null."""
+    head = F.substring_index(c, opening, 1)
+    fits = c.contains(opening) & c.endswith(closing) & (F.length(head) > 0) & (F.length(head) <= most)
+    return F.struct(F.when(fits, head).alias("name"), F.when(fits, F.substring(c, F.length(head) + 1, F.length(c))).otherwise(c).alias("text"))
+
+
+def quoted(c: Column, channel: Column, marks: Mapping[str, tuple[str, str]]) -> Column:
+    """The text in the quotes of its channel; a text that has them already, or whose channel has none, stays."""
+    out = c
+    for name, (a, b) in marks.items():
+        out = F.when((channel == name) & ~(c.startswith(a) & c.endswith(b)), F.concat(F.lit(a), c, F.lit(b))).otherwise(out)
+    return out

@@ -22,3 +22,20 @@ def conservation(before: DataFrame, after: DataFrame, value: str = "line") -> Da
     """value, want, got of values that occur less often afterwards."""
     want, got = before.groupBy(value).agg(F.count("*").alias("want")), after.groupBy(value).agg(F.count("*").alias("got"))
     return want.join(got, value, "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < want")
+
+
+def byte_histogram(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, byte, n of a binary column; counted from each row's own bytes first."""
+    pairs = files.select(key, F.explode(F.regexp_extract_all(F.hex(content), F.lit("(..)"), 1)).alias("h"))
+    return pairs.groupBy(key, "h").agg(F.count("*").alias("n")).select(key, F.conv("h", 16, 10).cast("int").alias("byte"), "n")
+
+
+def row_closure(segments: DataFrame, rows: DataFrame, extras: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, want, got of documents whose rows aren't their segments, pages of several segments, and extras together. segments: key, page."""
+    pages = segments.groupBy(key, "page").agg(F.count("*").alias("k")).groupBy(key).agg((F.sum("k") + F.count_if(F.col("k") > 1)).alias("want"))
+    if extras is not None:
+        more = extras.groupBy(key).agg(F.count("*").alias("more"))
+        pages = pages.join(more, key, "full").select(key, (F.coalesce("want", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("want"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    both = pages.join(rows.groupBy(key).agg(F.count("*").alias("got")), key, "full").select(key, zero("want"), zero("got"))
+    return both.where("want <> got")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,18 +20,32 @@ def fill_references(rows: DataFrame, values: DataFrame, key: list[str], text: st
     return rows.join(found, key, "left").withColumn(text, filled).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>"))).drop("pairs")
 
 
-def expand_macros(macros: Mapping[str, str], opening: str = "[", closing: str = "]") -> dict[str, str]:
-    """Macro bodies with the macros in them expanded; a macro that comes back to itself stays a call."""
-
-    def body(name: str, on_way: tuple[str, ...]) -> str:
-        out = macros[name]
-        for inner in sorted(macros, key=lambda k: (-len(k), k)):
-            call = f"{opening}{inner}{closing}"
-            if inner not in on_way and call in out:
-                out = out.replace(call, body(inner, (*on_way, inner)))
-        return out
+def expand_macros(macros: DataFrame, pattern: str = r"\[(\w+)\]", form: str = "[%s]") -> DataFrame:
+    """name, body of macros(name, body) with the macros in the bodies expanded; calls that lead back to themselves, and unknown ones, stay.
 
-    return {name: body(name, (name,)) for name in macros}
+    Each round fills in the macros whose own bodies call no other, so there are as many rounds as levels.
+    """
+    left, done = durable(macros.select("name", "body")), []
+    while True:
+        calls = left.select("name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), 1))).alias("call"))
+        # A call counts while its macro isn't done.
+        waiting = calls.join(left.select(F.col("name").alias("call")), "call", "left_semi").select("name").distinct()
+        leaves = durable(left.join(waiting, "name", "left_anti"))
+        if leaves.isEmpty():
+            break
+        done.append(leaves)
+        rest = left.join(leaves.select("name"), "name", "left_anti")
+        rest = rest.withColumnRenamed("name", "_own")
+        left = durable(fill_references(rest, leaves.select("name", F.col("body").alias("value")), ["_own"], "body", pattern, form).select(F.col("_own").alias("name"), "body"))
+    out = left
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def variant_union(rows: DataFrame, key: list[str], variant: str, text: str) -> DataFrame:
+    """key, text, variants: each different text of a key once, with the sorted variants that have it."""
+    return rows.groupBy(*key, text).agg(F.sort_array(F.collect_set(variant)).alias("variants"))
 
 
 def slot_values(events: DataFrame, key: str, order: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators import dedupe, lines, repair, reports, resolve, similarity
+from glyphmill.operators import dedupe, ledger, lines, repair, reports, resolve, similarity
 from glyphmill.plans.registry import LINES, query, table
+from glyphmill.sources import identify
 
 
 def doc_lines(spark, d):
@@ -177,3 +178,69 @@ def slot_state(spark, d):
 @query()
 def greedy_sentences(spark, d):
     return resolve.greedy_sentences(doc_lines(spark, d))
+
+
+@query(
+    """WITH RECURSIVE r(k, node, path) AS (SELECT n_nationkey, n_nationkey, '' FROM nation UNION ALL SELECT k, node * 2 + c, path || c FROM r, (VALUES (1), (2)) v(c) WHERE node * 2 + c < 25)
+SELECT k, string_agg(node || '.', '' ORDER BY path) AS body FROM r GROUP BY k"""
+)
+def macro_expansion(spark, d):
+    """A tree of macros: each calls two others, the last ones none."""
+    k = F.col("n_nationkey")
+    call = lambda c: F.when(k * 2 + c < 25, F.concat(F.lit("[m"), (k * 2 + c).cast("string"), F.lit("]"))).otherwise("")
+    macros = table(spark, d, "nation").select(F.concat(F.lit("m"), k.cast("string")).alias("name"), F.concat(k.cast("string"), F.lit("."), call(1), call(2)).alias("body"))
+    return resolve.expand_macros(macros).select(F.substring("name", 2, 9).cast("int").alias("k"), "body")
+
+
+@query(
+    """WITH c AS (SELECT item_id, text, ord(ch) AS o FROM (SELECT item_id, text, unnest(string_split(text, '')) AS ch FROM benchmark)) SELECT item_id, CAST(o AS INTEGER) AS byte, count(*) AS n FROM c WHERE o < 128 GROUP BY ALL"""
+)
+def byte_counts(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
+    return ledger.byte_histogram(rows, "item_id").where("byte < 128")
+
+
+@query(
+    """WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark)) SELECT item_id, CAST(i - 1 AS BIGINT) AS "offset" FROM p WHERE substr(text, i, 2) = 'ee' OR substr(text, i, 2) = 'th'"""
+)
+def byte_places(spark, d):
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    rows = table(spark, d, "benchmark").select("item_id", F.encode(ascii_only, "UTF-8").alias("content"))
+    return identify.find_all(rows, "6565", "item_id").unionByName(identify.find_all(rows, "7468", "item_id"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn // 3 AS page, count(*) AS k FROM conversations GROUP BY ALL), w AS (SELECT conv_id, CAST(sum(k) + count(*) FILTER (k > 1) AS BIGINT) AS want FROM s GROUP BY conv_id), g AS (SELECT conv_id, count(*) + count(*) // 4 AS got FROM conversations GROUP BY conv_id) SELECT conv_id, want, got FROM w JOIN g USING (conv_id) WHERE want <> got"""
+)
+def row_closure(spark, d):
+    """Conversations whose rows (a row more for every four turns) aren't what their pages of three turns ask for."""
+    turns = table(spark, d, "conversations").select("conv_id", F.floor(F.col("turn") / 3).alias("page"))
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    rows = n.select("conv_id", F.explode(F.sequence(F.lit(1), (F.col("n") + F.floor(F.col("n") / 4)).cast("int"))).alias("k"))
+    return ledger.row_closure(turns, rows, key="conv_id")
+
+
+@query("SELECT text, list_sort(list(DISTINCT lang)) AS variants, conv_lang FROM (SELECT line AS text, lang, substr(line, 1, 1) AS conv_lang FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY ALL")
+def variant_lines(spark, d):
+    rows = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("conv_lang", F.substring("text", 1, 1))
+    return resolve.variant_union(rows, ["conv_lang"], "lang", "text")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(s) AS line, CAST(generate_subscripts(s, 1) AS BIGINT) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), p AS (SELECT *, regexp_extract_all(line, '[^.,]*[.,]+|[^.,]+$') AS p FROM l)
+SELECT doc_id, line_no, unnest(CASE WHEN line = '' THEN [''] ELSE p END) AS piece, CAST(generate_subscripts(CASE WHEN line = '' THEN [''] ELSE p END, 1) - 1 AS INTEGER) AS k FROM p"""
+)
+def click_pieces(spark, d):
+    """Lines cut after stops and commas, as clicks would."""
+    return doc_lines(spark, d).select("doc_id", "line_no", F.posexplode(repair.split_clicks(F.replace("line", F.lit("_"), F.lit("_")), ".,")).alias("k", "piece"))
+
+
+@query(
+    rf"""WITH {LINES}, n AS (SELECT *, length(replace(line, '.', '')) - length(replace(line, ',', '')) AS more FROM l)
+SELECT doc_id, line_no, CASE WHEN more = 1 AND starts_with(line, ',') THEN line || '.' WHEN more = -1 AND ends_with(line, '.') AND line[1] IN (',', '(') THEN line[:-2]
+WHEN more = -1 AND ends_with(line, '.') AND NOT contains(line, ',') THEN line[:-2] WHEN more = -1 THEN regexp_replace(line, '\.([^.]*)$', '\1') ELSE line END AS line FROM n"""
+)
+def balanced_rows(spark, d):
+    """Commas as openings and stops as closings; no character cuts a row."""
+    rows = doc_lines(spark, d).select("doc_id", "line_no", repair.balanced(F.col("line"), ",", ".", "\u0001", ",(").alias("p"))
+    return rows.select("doc_id", "line_no", F.array_join("p", "\n").alias("line"))

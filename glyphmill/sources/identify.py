@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a file that are looked at.
@@ -96,3 +96,30 @@ def sniff_text(c: Column, table, otherwise: str) -> Column:
             fits = one if fits is None else fits | one
         out = F.when(fits, kind) if out is None else out.when(fits, kind)
     return out.otherwise(otherwise)
+
+
+def modified_since(files: DataFrame, since: str) -> DataFrame:
+    """Files of a scan that changed at or after a date; only their metadata is looked at."""
+    return files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+
+
+def without_names(rows: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """rows whose name isn't in names(name), case aside."""
+    return rows.join(names.select(F.lower("name").alias("_skip")).distinct(), F.lower(F.col(name)) == F.col("_skip"), "left_anti")
+
+
+def find_all(files: DataFrame, needle: str, key: str = "path", content: str = "content") -> DataFrame:
+    """key, offset of every place of a hex string in a binary column, overlapping ones too."""
+    if len(needle) % 2 or not needle:
+        raise ValueError("whole bytes in hex, please")
+    needle = needle.upper()
+    # Looking ahead consumes one byte at a time; what was passed over is kept to add up the places.
+    pieces = F.regexp_extract_all(F.hex(content), F.lit(f"((?:(?!{needle})..)*+)(?={needle}).."), 1)
+    rows = files.select(key, F.posexplode(pieces).alias("k", "piece"))
+    place = F.sum(F.length("piece") / 2 + 1).over(Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return rows.select(key, place.cast("long").alias("offset"))
+
+
+def most_runs(runs: DataFrame, top: int = 20, key: str = "path") -> DataFrame:
+    """key, runs of the files with most printable runs."""
+    return runs.groupBy(key).agg(F.count("*").alias("runs")).orderBy(F.desc("runs"), key).limit(top)

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import dedupe, graph, lines, repair, reports, resolve, similarity
-from glyphmill.sources import readers
+from glyphmill.operators import dedupe, graph, ledger, lines, repair, reports, resolve, similarity
+from glyphmill.sources import identify, readers, sinks
 
 
 def rows_of(spark, docs):
@@ -128,7 +128,44 @@ def test_references_and_macros(spark):
     values = spark.createDataFrame([("a", "X")], "name string, value string")
     got = {r["k"]: (r["text"], r["unresolved"]) for r in resolve.fill_references(rows, values, ["k"], "text").collect()}
     assert got == {1: ("hi X and {b} X", ["b"]), 2: ("none", []), 3: (None, [])}
-    assert resolve.expand_macros({"p": "[w][c]", "w": "wait", "c": "clear [p]"})["p"] == "waitclear [p]"
+    macros = spark.createDataFrame([("p", "[w]-[x]-[w]"), ("w", "wait [t]"), ("t", "tick"), ("x", "[none]"), ("a", "[b]"), ("b", "[a][t]")], "name string, body string")
+    assert {r["name"]: r["body"] for r in resolve.expand_macros(macros).collect()} == {"p": "wait tick-[none]-wait tick", "w": "wait tick", "t": "tick", "x": "[none]", "a": "[b]", "b": "[a]tick"}
+
+
+def test_small_text_operators(spark):
+    one = spark.createDataFrame([("a\\nb\\\\nc\\q\\", "春「あ」", "あ「い」う", "ﾊﾟｯ｡")], "e string, n string, m string, k string")
+    row = one.select(
+        T.unescape(F.col("e"), {"n": "\n", "\\": "\\"}), T.split_name(F.col("n")), T.split_name(F.col("m")), T.full_width_kana(F.col("k")), T.looks_like_name(F.lit("春子")), T.looks_like_name(F.lit("a")), T.looks_like_name(F.lit("")),
+        T.quoted(F.lit("x"), F.lit("voice"), {"voice": ("「", "」"), "mind": ("（", "）")}), T.quoted(F.lit("「x」"), F.lit("voice"), {"voice": ("「", "」")}), T.quoted(F.lit("x"), F.lit("other"), {"voice": ("「", "」")}),
+    ).first()
+    assert row[0] == "a\nb\\nc\\q\\" and tuple(row[1]) == ("春", "「あ」") and tuple(row[2]) == (None, "あ「い」う") and row[3] == "ハ゜ッ。"
+    assert list(row[4:]) == [True, False, False, "「x」", "「x」", "x"]
+
+
+def test_bytes_and_files(spark):
+    files = spark.createDataFrame([("p", bytearray(b"abab\xffabab"), "2024-01-02"), ("q", bytearray(b""), "2023-01-01")], "path string, content binary, modificationTime string").withColumn("modificationTime", F.col("modificationTime").cast("timestamp"))
+    assert sorted((r["byte"], r["n"]) for r in ledger.byte_histogram(files, "path").collect()) == [(97, 4), (98, 4), (255, 1)]
+    assert sorted(tuple(r) for r in identify.find_all(files, "6162").collect()) == [("p", 0), ("p", 2), ("p", 5), ("p", 7)]
+    assert [r["offset"] for r in identify.find_all(files.where("path = 'p'"), "616261").orderBy("offset").collect()] == [0, 5]
+    assert [r["path"] for r in identify.modified_since(files, "2024-01-01").collect()] == ["p"]
+    assert [r["path"] for r in identify.without_names(files, spark.createDataFrame([("P",)], "name string"), "path").collect()] == ["q"]
+    runs = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
+    assert [tuple(r) for r in identify.most_runs(runs, 1).collect()] == [("b", 2)]
+    segs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1)], "doc_id long, page long")
+    rows = spark.createDataFrame([(1,)] * 4 + [(2,)] * 2 + [(3,)], "doc_id long")
+    assert sorted(tuple(r) for r in ledger.row_closure(segs, rows).collect()) == [(2, 1, 2), (3, 0, 1)]
+    assert sorted(tuple(r) for r in ledger.row_closure(segs, rows, spark.createDataFrame([(2,), (3,)], "doc_id long")).collect()) == []
+
+
+def test_marked_text_keeps_rows_and_a_backup(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "b")], "n int, line string")
+    path = str(tmp_path / "out.txt")
+    assert sinks.write_marked_text(rows, path, ["n"]) == 4
+    assert sinks.write_marked_text(rows, path, ["n"], blanks=False) == 2
+    assert (tmp_path / "out.txt").read_bytes() == b"\xef\xbb\xbfa\nb\n" and (tmp_path / "out.txt.bak").read_bytes() == b"\xef\xbb\xbfa\n\n\nb\n"
+    members = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 1, "c")], "name string, line_no int, line string")
+    sinks.write_members(members, str(tmp_path / "members"))
+    assert spark.read.text(str(tmp_path / "members/name=x")).count() == 2
 
 
 def test_slots(spark):
