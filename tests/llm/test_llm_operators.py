@@ -209,7 +209,7 @@ def test_ngram_join(docs, none):
     assert ngram_join.link(none).count() == 0
 
 
-@pytest.mark.parametrize("block, group", [(4096, 8192), (8, 8192), (8, 10)])
+@pytest.mark.parametrize("block, group", [(1024, 1024), (8, 10)])
 def test_ngram_join_on_a_large_group(spark, monkeypatch, block, group):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "GROUP_SETS", group)
