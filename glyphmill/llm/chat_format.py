@@ -6,8 +6,8 @@ order.  The parser is deterministic: it splits at ``</s>``, takes the part befor
 escaped control string.  Each turn is first rendered as it is and parsed back; if
 the parser doesn't recover the same role and text, it is rendered again with one
 backslash put into every control string (and one more into those that look
-escaped already), and parsed once more.  Rows that still differ would raise an
-error; `round_trip` reports the check.
+escaped already), and parsed once more.  A row that still differed would raise an
+error; `round_trip` reports the check of the whole conversation.
 
 Defined results: null roles and texts count as empty; rows are ordered by turn
 (null first), then role, then text; repeated rows are kept; a null conv_id is a
@@ -71,11 +71,14 @@ def render_turns(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = rows.withColumn("plain", render(F.col("role"), F.col("text")))
-    same = parse(F.col("plain")).eqNullSafe(F.array(F.struct("role", "text")))
-    return rows.withColumn("escaped", ~same).select(
+    same = lambda rendered: parse(F.col(rendered)).eqNullSafe(F.array(F.struct("role", "text")))
+    rows = rows.withColumn("escaped", ~same("plain"))
+    rows = rows.withColumn("careful", F.when(F.col("escaped"), render(escape(F.col("role")), escape(F.col("text")))))
+    sure = F.when(same("careful"), F.col("careful")).otherwise(F.raise_error(F.lit("a turn isn't read back as it was")).cast("string"))
+    return rows.select(
         "conv_id", "turn", "role", "text", "escaped",
         F.when(F.col("escaped"), escape(F.col("text"))).otherwise(F.col("text")).alias("body"),
-        F.when(F.col("escaped"), render(escape(F.col("role")), escape(F.col("text")))).otherwise(F.col("plain")).alias("piece"),
+        F.when(F.col("escaped"), sure).otherwise(F.col("plain")).alias("piece"),
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import ascii_lower
 
 TOKEN_BREAK = r"[^0-9a-z]+"
-#: Rule sets up to this many rows are broadcast; larger ones are joined by shuffle.
+#: Rule sets are counted; those up to this many rows are broadcast, larger ones are joined by shuffle, and the results agree.
 BROADCAST_RULES = 50_000
 
 
@@ -83,41 +83,39 @@ def _rest(url: Column) -> Column:
     return F.expr("substring(url, instr(url, '://') + 3)")
 
 
-def index_rules(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
-    """rules with `token`, the rarest of its tokens in url_tokens(url, token)."""
+def index_rules(rules: DataFrame, url_tokens: DataFrame, small: bool = False) -> DataFrame:
+    """rules with `token`, the rarest of its tokens in url_tokens(url, token). small: whether the rules may be broadcast."""
     wanted = rules.select("rule_id", F.explode("tokens").alias("token"))
-    seen = url_tokens.join(_sized(wanted.select("token").distinct(), rules), "token", "left_semi").groupBy("token").count()
+    seen = url_tokens.join(_sized(wanted.select("token").distinct(), small), "token", "left_semi").groupBy("token").count()
     rarest = wanted.join(seen, "token", "left").groupBy("rule_id").agg(
         F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), -F.length("token"), "token")).alias("token")
     )
     return rules.join(rarest, "rule_id", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
 
-def _sized(small: DataFrame, rules: DataFrame) -> DataFrame:
-    return F.broadcast(small) if getattr(rules, "_rows", BROADCAST_RULES + 1) <= BROADCAST_RULES else small
+def _sized(rules: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rules) if small else rules
 
 
 def rule_table(spark, rules) -> DataFrame:
-    """The rules as a table; the number of rows is known here, which decides about broadcasts."""
+    """The rules as a table."""
     rows = [(i, r.kind, r.label, r.verdict, r.regex, list(r.tokens)) for i, r in enumerate(rules)]
-    df = spark.createDataFrame(rows, "rule_id int, kind string, label string, verdict string, regex string, tokens array<string>")
-    df._rows = len(rows)
-    return df
+    return spark.createDataFrame(rows, "rule_id int, kind string, label string, verdict string, regex string, tokens array<string>")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per row of `pages`: page_id, url, host, path, rule, verdict, pattern."""
     pages = pages.select("page_id", "url")
-    urls = pages.where(F.col("url").isNotNull()).distinct()
-    urls = urls.select("url").distinct()
+    urls = pages.where(F.col("url").isNotNull()).select("url").distinct()
+    small = rules.count() <= BROADCAST_RULES
     parts = urls.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("place"), F.instr("url", "://").alias("at"))
     tokens = parts.select(
         "url", "place", "at",
         F.explode(F.array_union(F.split(ascii_lower(F.col("url")), TOKEN_BREAK), F.array(F.lit("")))).alias("token"),
     )
-    index = index_rules(rules, tokens.select("url", "token"))
+    index = index_rules(rules, tokens.select("url", "token"), small)
     index = index.select("token", "rule_id", "kind", "label", F.col("verdict").alias("said"), "regex")
-    found = tokens.join(_sized(index, rules), "token").where(
+    found = tokens.join(_sized(index, small), "token").where(
         F.when(F.col("kind") == "site", (F.col("at") > 0) & F.regexp_like("place", F.col("regex"))).otherwise(F.regexp_like("url", F.col("regex")))
     )
     rank = lambda kind, *by: F.min_by(F.struct("label", "said"), F.when(F.col("kind") == kind, F.struct(*by)))
