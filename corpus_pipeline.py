@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the columns
 of `documents`.  SQL can't express the first stage (a trained classifier chain), so
-there is no ORACLE_SQL; tests/llm hold the operators, and the near copies that run() drops, against plain versions.
+there is no ORACLE_SQL; tests/llm run the stages on a small table and hold what each of them keeps,
+takes or deals out against a plain version.
+
+Defined results: a null or empty text is scored as one without words, is a near copy of nothing, is
+never contaminated and has no size; rows with a null doc_id are no one's copies and stay; of equal
+doc_ids all rows of the smallest one in a group stay; extra columns are handed on, but `shard` is the last stage's.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ SHARDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain rejects go."""
+    """Documents that the chain rejects go; those that stand exactly at the threshold do too."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,12 +37,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out until each source is near its target."""
+    """Documents are repeated or left out until each source is near its target; equal rows are taken alike."""
     return source_mix.mixed(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard."""
+    """Documents with their shard, by stored slots of nearly equal bytes."""
     return slot_shards.assign(docs, SHARDS)
 
 
