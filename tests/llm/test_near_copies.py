@@ -1,6 +1,8 @@
 """The stage of the pipeline that drops near copies: five words a shingle, similarity four fifths."""
 
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -81,27 +83,63 @@ def test_linked_sets_share_a_tile(rule):
             assert np.intersect1d(ngram_join.tiles(s, rule), ngram_join.tiles(t, rule)).size
 
 
+def plain_contaminated(text, item):
+    """Whether windows of 13 words of one item cover a twentieth of a text's words."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    w, b = split(text), split(item)
+    windows, hit = {tuple(b[k : k + 13]) for k in range(len(b) - 12)}, set()
+    for k in range(len(w) - 12):
+        if tuple(w[k : k + 13]) in windows:
+            hit |= set(range(k, k + 13))
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
 def test_run_drops_what_the_plain_version_drops(spark, tmp_path, monkeypatch):
-    rows = near_copies()
+    rng, rows = random.Random(5), near_copies(n=45)
+    item = " ".join(f"item{k}" for k in range(30))
+    fill = lambda n: " ".join(f"z{rng.randrange(10**6)}" for _ in range(n))
+    rows += [(len(rows) + k, t, "en", "a", 1) for k, t in enumerate([fill(40) + " " + item + " " + fill(40), fill(800) + " " + item, item])]
+    # One very long text and a near copy of it among the short ones.
+    huge = fill(30_000)
+    rows += [(len(rows), huge, "en", "b", 1), (len(rows) + 1, huge + " " + fill(50), "en", "b", 1), (None, "no id " * 5, "en", "b", 1), (None, "no id " * 5, "en", None, 1)]
     docs = spark.createDataFrame(rows, DOCS)
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, "not in any of the documents " * 5)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     seen = {}
 
     def watched(name, stage):
         def call(spark, docs, sf_dir):
-            seen[name] = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+            seen[name] = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
             return stage(spark, docs, sf_dir)
 
         return call
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(n, s)) for n, s in corpus_pipeline.STAGES])
     out = corpus_pipeline.run(spark, str(tmp_path))
-    before, after = seen["n-gram Jaccard join"], seen["benchmark decontamination"]
-    assert len(before) > 100
-    assert sorted(i for i, _ in after) == plain_kept(before)
-    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= {i for i, _ in after}
+    before, after, clean, mixed = (seen[n] for n in ("n-gram Jaccard join", "benchmark decontamination", "mixing sources", "sharding"))
+    assert len(before) == len(rows)  # no label says that anything is toxic
+    named = [r for r in before if r[0] is not None]
+    assert sorted(r[0] for r in after if r[0] is not None) == plain_kept(named) and sum(r[0] is None for r in after) == 2
+    assert Counter(clean) == Counter(r for r in after if not plain_contaminated(r[1], item)) and 2 <= len(after) - len(clean) <= 3
+    # Each source's words come near its target: two sources and null weigh 1, 2 and 3, none more than thrice its size.
+    size, taken = Counter(), Counter()
+    for table, sums in ((clean, size), (mixed, taken)):
+        for _, t, s in table:
+            sums[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, capped = {s: k % 3 + 1 for k, s in enumerate(order)}, set()
+    while True:
+        rest, w = sum(size.values()) - sum(3 * size[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * size[s] if s in capped else rest * weight[s] / w for s in order}
+        if not (more := {s for s in order if target[s] > 3 * size[s]}):
+            break
+        capped |= more
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(len((t or "").split()) for _, t, x in clean if x == s)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(mixed) and {r["shard"] for r in got} <= set(range(40))
+    assert out.columns == [*docs.columns, "shard"]
 
 
 def test_every_link_is_counted(spark, monkeypatch):
