@@ -203,11 +203,13 @@ def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[byt
     expected = n * (total["pos"] / total["n"])
     chi = (pos - expected) * (pos - expected) / (expected * (1 - n / (total["n"] + 1)))
     best = sums.where((F.octet_length("word") > 0) & (n >= 3) & (pos > expected) & (chi >= least)).orderBy(chi.desc(), F.length("word").desc(), "word").limit(8 * n_words)
-    chosen: dict[bytes, None] = {}
-    for form in (bytes(r["word"]) for r in best.collect()):
-        # A form adds nothing where a beginning of it has been chosen already.
-        if not any(form[:k] + b"*" in chosen for k in (4, 5, 6) if k <= len(form.rstrip(b"*"))):
-            chosen[form] = None
+    chosen: dict[bytes, float] = {}
+    for form, found in ((bytes(r["word"]), r["n"]) for r in best.select("word", "n").collect()):
+        stem = form.rstrip(b"*")
+        # A form adds nothing where a beginning of it has been chosen already, or, as a beginning, where it stands in hardly more documents than one that goes on.
+        known = any(stem[:k] + b"*" in chosen for k in (4, 5, 6) if k <= len(stem))
+        if not known and not (form != stem and any(g.startswith(stem) and found <= 1.05 * n for g, n in chosen.items())):
+            chosen[form] = found
     return list(chosen)[:n_words]
 
 
