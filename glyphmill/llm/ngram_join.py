@@ -272,15 +272,17 @@ def _led(every: DataFrame) -> DataFrame:
     return every.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(run, "tile long, lead long, cls long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """x, y, overlap of the linked ones of pairs(x, y); classes are compared by their exact arrays in sets(cls, n, s).
+def verified(pairs: DataFrame, classes: Classes) -> DataFrame:
+    """x, y, overlap of the linked ones of pairs(x, y); classes are compared by their exact arrays.
 
     Pairs are dealt by x, and those of an x with many partners over several tasks; a task reads the array of x and then its partners'.
     """
+    sets, rule, keep = classes.sets, classes.rule, classes.scratch.table
     sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("deals"))
-    dealt = pairs.join(sizes, "x").withColumn("deal", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int")).drop("deals")
-    partners = dealt.join(sets, F.col("y") == F.col("cls")).select("x", "deal", F.lit(1).alias("role"), "y", "n", "s")
-    leaders = dealt.select("x", "deal").distinct().join(sets, F.col("x") == F.col("cls")).select("x", "deal", F.lit(0).alias("role"), F.col("x").alias("y"), "n", "s")
+    dealt = keep(pairs.join(sizes, "x").withColumn("deal", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int")).drop("deals"))
+    partners = sets.join(_hint(dealt), F.col("y") == F.col("cls")).select("x", "deal", F.lit(1).alias("role"), "y", "n", "s")
+    leads = keep(dealt.select("x", "deal").distinct())
+    leaders = sets.join(_hint(leads), F.col("x") == F.col("cls")).select("x", "deal", F.lit(0).alias("role"), F.col("x").alias("y"), "n", "s")
 
     def run(batches):
         at, lead = None, None
@@ -558,14 +560,14 @@ def components(classes: Classes) -> DataFrame:
     """cls, comp of the classes that are linked with another; comp names a connected component."""
     keep, rule = classes.scratch.table, classes.rule
     pairs = keep(classes.shared.where("lead <> cls").select(F.col("lead").alias("x"), F.col("cls").alias("y")).distinct())
-    links = keep(verified(pairs, classes.sets, rule).select("x", "y"))
+    links = keep(verified(pairs, classes).select("x", "y"))
     labels = merged(links, classes.scratch)
     left = keep(_open_tiles(classes.shared, labels, 0))
     for turn in range(1, ROUNDS):
         if left.isEmpty():
             break
         pairs = keep(left.where("comp <> led").select(F.col("lead").alias("x"), F.col("cls").alias("y")).distinct())
-        more = keep(verified(pairs, classes.sets, rule).select("x", "y"))
+        more = keep(verified(pairs, classes).select("x", "y"))
         links = links.union(more)
         if not more.isEmpty():
             labels = merged(links, classes.scratch)
