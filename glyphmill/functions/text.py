@@ -45,7 +45,8 @@ RESIDUE = {
     "upper code": r"^[A-Z][A-Z0-9]*_[A-Z0-9_]+$",
 }
 MARKUP = r"</?[A-Za-z][^>]{0,24}>"
-#: Shapes of macros that nothing has filled in.
+#: Shapes of macros that nothing has filled in, and the characters of which each has one.
+MACRO_MARKS = r"[@%\\＆&*#$<{]"
 MACRO = "|".join(
     (
         r"@[A-Za-z_]\w*", r"%[-0-9.$*]*[A-Za-z]", r"\\[A-Za-z]+", r"＆{2,}", r"&&", r"\*\*[A-Z]{2,}",
@@ -60,7 +61,7 @@ def strip_blanks(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip_blanks(c) == ""
+    return ~c.rlike(rf"[^\s{IDEOGRAPHIC_SPACE}]")
 
 
 def has_japanese(c: Column) -> Column:

@@ -71,13 +71,13 @@ class LineRule:
 
 
 def line_rules(p: Profile) -> list[LineRule]:
-    """Conditions on `line`, `before` (the line before), `plates` and `heads` (of the whole document)."""
+    """Conditions on `line`, `before` (the line before), `plates` and `heads` (those that the document has twice or more)."""
     c = F.col("line")
     head = F.regexp_extract(c, p.head, 0)
-    plate = c.rlike(p.plate) & (F.size(F.filter("plates", lambda x: x == c)) >= 2) & ~c.rlike(p.no_name)
+    plate = c.rlike(p.plate) & F.array_contains("plates", c) & ~c.rlike(p.no_name)
     only_symbols = F.regexp_replace(F.regexp_extract(c, p.plate, 1), p.symbols, "") == ""
     rest = F.substring(c, F.length(head) + 1, F.length(c))
-    named = c.rlike(p.head) & ~c.rlike(p.plate) & ~c.rlike(p.no_head) & ~head.rlike(p.no_name) & (F.size(F.filter("heads", lambda x: x == head)) >= 2) & rest.rlike(p.body)
+    named = c.rlike(p.head) & ~c.rlike(p.plate) & ~c.rlike(p.no_head) & ~head.rlike(p.no_name) & F.array_contains("heads", head) & rest.rlike(p.body)
     label = F.regexp_extract(c, p.colon, 0)
     colon = c.rlike(p.colon) & label.rlike(p.colon_holds) & ~c.rlike(p.colon_time)
     for other in p.colon_not:
@@ -90,7 +90,7 @@ def line_rules(p: Profile) -> list[LineRule]:
         LineRule("Q7_half_width_punctuation", "W", c.rlike(T.HALF_PUNCTUATION), False),
         LineRule("Q8_private_use", "E", c.rlike(T.PRIVATE_USE), False),
         LineRule("Q10_unbalanced_quote", "W", c.startswith("「") & (T.pair_difference(c, "「", "」") > 0)),
-        *(LineRule(f"Q11_{k.replace(' ', '_')}", "E", c.rlike(r)) for k, r in T.RESIDUE.items()),
+        *(LineRule(f"Q11_{k.replace(' ', '_')}", "E", (c.contains("/") & c.rlike(r)) if "/" in r else c.rlike(r)) for k, r in T.RESIDUE.items()),
         LineRule("Q12_inline_markup", "E", c.rlike(T.MARKUP)),
         LineRule("Q13_latin_letters", "W", c.rlike("[A-Za-z]")),
         LineRule("Q14_double_quote", "W", c.contains('"'), False),
@@ -100,20 +100,35 @@ def line_rules(p: Profile) -> list[LineRule]:
         LineRule("Q22_plate_and_body", "E", named),
         LineRule("Q23_name_prefix", "E", colon),
         LineRule("Q29_blank_line", "W", T.is_blank(c), False),
-        LineRule("Q30_wide_line", "W", T.display_width(c) > p.widest, False),
+        # No character is wider than one, none narrower than half: only lines between the two are measured.
+        LineRule("Q30_wide_line", "W", (F.length(c) > p.widest) & ((F.length(c) > 2 * p.widest) | (T.display_width(c) > p.widest)), False),
         LineRule("Q31_adjacent_duplicate", "W", F.coalesce(c == F.col("before"), F.lit(False)) & (c != ""), False),
-        LineRule("Q32_unresolved_macro", "E", c.rlike(T.MACRO)),
+        LineRule("Q32_unresolved_macro", "E", c.rlike(T.MACRO_MARKS) & c.rlike(T.MACRO)),
     ]
 
 
+def _with_repeated(docs: DataFrame, name: str, items: Column) -> DataFrame:
+    """docs with what an array holds twice or more, once each: equal neighbours in sorted order.
+
+    The sorted array is a column of its own, since a function over it would sort it anew for every item.
+    """
+    docs = docs.withColumn("_sorted", F.array_sort(items))
+    return docs.withColumn(name, F.array_distinct(F.filter("_sorted", lambda x, i: (i > 0) & (x == F.get("_sorted", i - 1))))).drop("_sorted")
+
+
 def annotated(docs: DataFrame, p: Profile) -> DataFrame:
-    """doc_id, line_no, line, before, plates, heads: the lines of docs(doc_id, text), without the empty one after a last line end."""
+    """doc_id, line_no, line, before, plates, heads, script: the lines of docs(doc_id, text), without the empty one after a last line end.
+
+    script: characters of the script in the document, counted where it has lines enough for its periods to be judged.
+    """
     every = F.split("text", "\n", -1)
     own = F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
-    docs = docs.where("text is not null").select("doc_id", own.alias("own"))
-    docs = docs.withColumn("plates", F.filter("own", lambda x: x.rlike(p.plate))).withColumn("heads", F.transform(F.filter("own", lambda x: x.rlike(p.head)), lambda x: F.regexp_extract(x, p.head, 0)))
+    docs = docs.where("text is not null").select("doc_id", "text", own.alias("own"))
+    docs = docs.withColumn("script", F.when(F.size("own") >= p.least_lines, F.regexp_count("text", F.lit(p.script))).otherwise(0))
+    heads = F.transform(F.filter("own", lambda x: x.rlike(p.head)), lambda x: F.regexp_extract(x, p.head, 0))
+    docs = _with_repeated(_with_repeated(docs, "plates", F.filter("own", lambda x: x.rlike(p.plate))), "heads", heads)
     rows = F.transform("own", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.get("own", i - 1).alias("before")))
-    return docs.select("doc_id", "plates", "heads", F.explode(rows).alias("r")).select("doc_id", "r.*", "plates", "heads")
+    return docs.select("doc_id", "plates", "heads", "script", F.explode(rows).alias("r")).select("doc_id", "r.*", "plates", "heads", "script")
 
 
 def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -144,11 +159,11 @@ def document_findings(rows: DataFrame, p: Profile) -> DataFrame:
     """Findings on sums over annotated rows with `excused`: pairs (lines with faces and allowed lines don't count), periods, foreign characters' kinds."""
     c = F.col("line")
     n = lambda ch, on=None: F.sum(F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))) if on is None else F.sum(F.when(on, F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).otherwise(0))
-    counts = ~F.col("excused") & ~c.rlike(T.FACES)
+    rows, counts = rows.withColumn("counts", ~F.col("excused") & ~c.rlike(T.FACES)), F.col("counts")
     pairs = [(n(a, counts).alias(f"o{k}"), n(b, counts).alias(f"c{k}")) for k, (a, b) in enumerate(p.pairs)]
     sums = rows.groupBy("doc_id").agg(
         F.count("*").alias("n"), n(p.period).alias("periods"), F.sum(c.endswith(p.period).cast("long")).alias("ends"), n(p.comma).alias("commas"),
-        F.sum(F.regexp_count(c, F.lit(p.script))).alias("script"), (F.sum(F.length(c)) + F.count("*")).alias("chars"), *(x for pair in pairs for x in pair),
+        F.sum(F.when(F.col("line_no") == 1, F.col("script"))).alias("script"), (F.sum(F.length(c)) + F.count("*")).alias("chars"), *(x for pair in pairs for x in pair),
     )
     judged = (F.col("n") >= p.least_lines) & (F.col("script") >= p.least_share * F.col("chars"))
     told = "_declared" if p.no_final_period else ""
@@ -182,8 +197,9 @@ def character_findings(rows: DataFrame, p: Profile, ledger: DataFrame | None = N
 def _with_joined_rows(docs: DataFrame) -> DataFrame:
     """Documents of which a line ends with the one before it; in others no line is the concatenation of those before."""
     own = F.split("text", "\n", -1)
-    before = lambda i: F.get(own, i - 1)
-    ends = F.transform(own, lambda x, i: F.coalesce((before(i) != "") & x.endswith(before(i)) & (F.length(x) > F.length(before(i))), F.lit(False)))
+    # Beside the line before it: an array of its own, for a function that looked back would take the text apart for each line.
+    before = F.concat(F.array(F.lit("")), F.slice(own, 1, F.size(own) - 1))
+    ends = F.zip_with(own, before, lambda x, b: (b != "") & x.endswith(b) & (F.length(x) > F.length(b)))
     return docs.where(F.exists(ends, lambda x: x))
 
 

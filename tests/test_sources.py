@@ -124,7 +124,7 @@ def test_identify(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, " "), (4, "c")], "line_no int, line string")
-    assert sinks.write_marked_text(rows, str(tmp_path / "x.txt"), ["line_no"]) == 3
+    assert sinks.write_marked_text(rows, str(tmp_path / "x.txt"), ["line_no"], blanks=False) == 3
     assert (tmp_path / "x.txt").read_bytes() == b"\xef\xbb\xbfa\nb\nc\n"
     sinks.write_lines(rows, str(tmp_path / "lines"), ["line_no"])
     assert [x for p in sorted((tmp_path / "lines").glob("part-*")) for x in p.read_text().splitlines()] == ["a", "b", " ", "c"]
