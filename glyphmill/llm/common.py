@@ -43,7 +43,7 @@ class Scratch:
     """Tables that one operator writes on its way, in a folder of the shared one; drop() deletes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.made, self.stand = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0, set()
 
     def table(self, df: DataFrame) -> DataFrame:
         """df, written as Parquet and read again: no lineage, and its true size."""
@@ -52,12 +52,24 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.parquet(path)
         out._scratch = path
+        self.stand.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        self._delete([t._scratch for t in tables])
+
+    def _delete(self, paths: list[str]) -> None:
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.stand.discard(p)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df, written as a table; all other tables made here go, so the result is all that stays."""
+        before = list(self.stand)
+        out = self.table(df)
+        self._delete(before)
+        return out
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

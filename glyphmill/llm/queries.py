@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat_format, decontaminate, line_dedup, ngram_join, quality, slot_shards, source_mix, toxicity, url_filter, vector_topk
+from glyphmill.llm import chat_format, decontaminate, divergence, line_dedup, ngram_join, quality, simhash, slot_shards, source_mix, token_align, toxicity, url_filter, vector_topk
 from glyphmill.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -206,3 +206,47 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(root) FROM r WHERE r.doc_id = d.doc_id), d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS (SELECT id, lang, source, unnest(w) AS term FROM d
+), kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY lang, source, term) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), p AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g)::HUGEINT AS p FROM c WINDOW g AS (PARTITION BY lang, source)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)::HUGEINT) // (sum(sum(n)) OVER g + 2 * count(*) OVER g)::HUGEINT AS q FROM c GROUP BY lang, term WINDOW g AS (PARTITION BY lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM (SELECT DISTINCT lang, source FROM d) a
+  JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM k WHERE part = 'pair' OR k <= 10
+"""
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
