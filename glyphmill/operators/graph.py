@@ -6,11 +6,11 @@ the number of edges; results stay distributed, and each round is written as a ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.session import durable
+from glyphmill.session import durable, hinted
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -25,6 +25,57 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def told(nodes: DataFrame, constants: DataFrame) -> DataFrame:
+    """nodes with `holds`: whether the condition (lhs, op, rhs) is known to hold, known not to, or null.
+
+    An operand is a whole number or the name of one in constants(name, value); what is neither is unknown.  Without an operator the left
+    operand itself is the condition (0 doesn't hold); without operands nothing is asked, and it holds.  Unknown operators tell nothing.
+    """
+    known = hinted(durable(constants.groupBy("name").agg(F.when(F.count_distinct("value") == 1, F.max("value").cast("long")).alias("value"))))
+    for side in ("lhs", "rhs"):
+        own = known.select(F.col("name").alias(f"_{side}_name"), F.col("value").alias(f"_{side}_value"))
+        number = F.when(F.col(side).rlike("^[+-]?[0-9]{1,18}$"), F.expr(f"try_cast({side} AS BIGINT)"))
+        nodes = nodes.join(own, F.col(side) == F.col(f"_{side}_name"), "left").withColumn(f"_{side}", F.coalesce(number, f"_{side}_value")).drop(f"_{side}_name", f"_{side}_value")
+    a, b = F.col("_lhs"), F.col("_rhs")
+    compared = F.when(F.col("op") == "==", a == b).when(F.col("op") == "!=", a != b).when(F.col("op") == "<", a < b).when(F.col("op") == "<=", a <= b).when(F.col("op") == ">", a > b).when(F.col("op") == ">=", a >= b)
+    return nodes.withColumn("holds", F.when(F.col("op").isNotNull(), compared).when(F.col("lhs").isNull(), True).otherwise(a != 0)).drop("_lhs", "_rhs")
+
+
+def reachable_if(nodes: DataFrame, constants: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What roots(script, pos) reach in scripts whose jumps have conditions: (script, pos), and the (script, pos, target) among them whose label isn't there.
+
+    nodes(script, pos, kind, label, target, lhs, op, rhs) run in the order of pos; kind `jump` goes to the node of its script with the
+    label `target`, `choose` may go there and goes on in any case, `stop` ends, anything else goes on.  A jump or stop goes on
+    where its condition isn't known to hold, and a target counts where it isn't known not to, so what can't be told counts both
+    ways.  Of labels that stand at several nodes the first is meant; a root that is no node reaches what follows it.
+
+    Nodes that go on reach all that follows up to the next known end, so a stretch between ends is reached from its smallest entry on.  A
+    round follows only the jumps of what was newly reached: rounds are as many as jumps in a row, however long the scripts.
+    """
+    leaves = F.col("kind").isin("jump", "stop") & F.coalesce("holds", F.lit(False))
+    before = Window.partitionBy("script").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    asked = durable(told(nodes, constants).withColumn("stretch", F.coalesce(F.sum(leaves.cast("long")).over(before), F.lit(0))))
+    labels = asked.where("label is not null").groupBy("script", F.col("label").alias("target")).agg(F.min_by(F.struct("stretch", "pos"), "pos").alias("aim"))
+    jumps = asked.where(F.col("kind").isin("jump", "choose") & F.coalesce("holds", F.lit(True))).select("script", "stretch", "pos", "target")
+    jumps = durable(jumps.join(labels, ["script", "target"], "left"))
+    #: script, stretch, pos: the first position of each stretch that is reached; `past` is the one known before.
+    ends = asked.groupBy("script", "stretch").agg(F.max("pos").alias("end"))
+    entered = ends.join(roots.select("script", F.col("pos").alias("root")), "script").where("root <= end").groupBy("script", "root").agg(F.min_by("stretch", "end").alias("stretch"))
+    best = durable(entered.groupBy("script", "stretch").agg(F.min("root").alias("pos")))
+    new = best.withColumn("past", F.lit(None).cast(best.schema["pos"].dataType))
+    while not new.isEmpty():
+        fresh = new.select("script", "stretch", F.col("pos").alias("lo"), "past")
+        step = jumps.where("aim is not null").join(fresh, ["script", "stretch"]).where("pos >= lo AND (past IS NULL OR pos < past)")
+        step = step.groupBy("script", F.col("aim.stretch").alias("stretch")).agg(F.min("aim.pos").alias("pos"))
+        known = best.select("script", "stretch", F.col("pos").alias("past"))
+        new = durable(step.join(known, ["script", "stretch"], "left").where("past IS NULL OR pos < past").select("script", "stretch", "pos", "past"))
+        best = durable(best.unionByName(new.drop("past")).groupBy("script", "stretch").agg(F.min("pos").alias("pos")))
+    from_ = best.withColumnRenamed("pos", "lo")
+    reached = asked.select("script", "stretch", "pos").join(from_, ["script", "stretch"]).where("pos >= lo").select("script", "pos")
+    missing = jumps.where("aim is null").join(from_, ["script", "stretch"]).where("pos >= lo").select("script", "pos", "target")
+    return reached, missing
+
+
 def depth_first_order(edges: DataFrame, roots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, path: the least path of edge positions to a node; sort by path for the pre-order of a depth-first visit.
 

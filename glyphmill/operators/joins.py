@@ -32,12 +32,14 @@ def range_lookup(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str
 
 
 def overlapping(a: DataFrame, b: DataFrame, start: str, length: str, width: int) -> DataFrame:
-    """Rows of a whose interval [start, start + length) meets one of b (start, length), by cells of `width`."""
+    """Rows of a whose interval [start, start + length) meets one of b (start, length), by cells of `width`; equal rows all stay."""
     cells = lambda s, n: F.sequence(F.floor(s / width).cast("long"), F.floor((s + n - 1) / width).cast("long"))
     s, n = F.col(start), F.col(length)
-    left = a.where(n > 0).withColumn("_row", F.struct(*a.columns)).withColumn("_cell", F.explode(cells(s, n)))
+    rows = durable(a.where(n > 0).withColumn("_id", F.monotonically_increasing_id()))
+    left = rows.select("_id", s.alias("_a"), n.alias("_m"), F.explode(cells(s, n)).alias("_cell"))
     right = b.where(n > 0).select(s.alias("_s"), n.alias("_n")).withColumn("_cell", F.explode(cells(F.col("_s"), F.col("_n"))))
-    return left.join(right, (left["_cell"] == right["_cell"]) & (s < F.col("_s") + F.col("_n")) & (F.col("_s") < s + n), "left_semi").select("_row.*").distinct()
+    meets = left.join(right, (left["_cell"] == right["_cell"]) & (F.col("_a") < F.col("_s") + F.col("_n")) & (F.col("_s") < F.col("_a") + F.col("_m")), "left_semi")
+    return rows.join(meets.select("_id").distinct(), "_id", "left_semi").drop("_id")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
