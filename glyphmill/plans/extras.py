@@ -80,7 +80,7 @@ def wrapped_rows(spark, d):
 @query()
 def near_same_neighbours(spark, d):
     near = similarity.similar_neighbours(doc_lines(spark, d), "doc_id", "line_no", "line", 0.6)
-    return near.select("doc_id", "line_no", repair.near_same("line", "next").alias("near"), repair.affix_cover("line", "next").alias("cover"))
+    return near.select("doc_id", "line_no", repair.near_same(F.col("line"), F.col("next")).alias("near"), repair.affix_cover(F.col("line"), F.col("next")).alias("cover"))
 
 
 @query(

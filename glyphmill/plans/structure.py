@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import blocks, graph, intervals
+from glyphmill.operators import anchors, blocks, graph, intervals, lines
 from glyphmill.plans.registry import query, table
 from glyphmill.sources import records
 
@@ -100,3 +100,13 @@ def conditional_reach(spark, d):
 @query(f"WITH RECURSIVE {_SCRIPTS} SELECT j.script, j.pos, j.target FROM j JOIN r ON r.script = j.script AND r.pos = j.pos WHERE aim IS NULL")
 def missing_labels(spark, d):
     return _scripts(spark, d)[1]
+
+
+@query()
+def anchored_blocks(spark, d):
+    """Each document beside the smallest one that holds one of its lines of ten characters or more: the blocks of lines that both have."""
+    rows = lines.lines(table(spark, d, "documents").where("doc_id IS NOT NULL"))
+    known = rows.where(F.length("line") >= 10).groupBy(F.md5("line").alias("h"), "doc_id").agg(F.count("*").alias("k"))
+    first = known.groupBy("h").agg(F.min("doc_id").alias("first"))
+    pairs = known.join(first, "h").where("first < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a"))
+    return anchors.matching_blocks(rows, pairs)

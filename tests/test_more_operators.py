@@ -93,7 +93,7 @@ def test_join_wrapped_keeps_characters(spark):
 def test_near_same(spark):
     cases = [("the quick brown fox", "the quick brown fax"), ("abc", "xyz"), (None, "a"), ("same text", "same text"), ("abcde", "abcdf"), ("aaaa" * 3, "aaaa" * 3 + "a very long rest")]
     df = spark.createDataFrame(cases, "a string, b string")
-    assert [tuple(r) for r in df.select(repair.near_same("a", "b"), repair.affix_cover("a", "b")).collect()] == [(True, True), (False, False), (None, None), (True, False), (False, True), (False, False)]
+    assert [tuple(r) for r in df.select(repair.near_same(F.col("a"), F.col("b")), repair.affix_cover(F.col("a"), F.col("b"))).collect()] == [(True, True), (False, False), (None, None), (True, False), (False, True), (False, False)]
 
 
 def plain_clicks(s, clicks):
