@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.plans.registry import query, table
+from glyphmill.streaming import ordered
 from glyphmill.streaming import sampler as streams
 
 
@@ -74,3 +75,18 @@ def stream_candidates(spark, d):
     """A stream joined with a table that each batch reads anew."""
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     return streams.run_now(streams.event_stream(spark, d).where("event_type = 'purchase'").join(people, "user_id").select("event_id", "n_name"), "append").select("event_id", "n_name")
+
+
+@query(
+    """WITH s AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), w AS (SELECT (hi // 1000 - 1000 * (2 * ((hi - lo) // 5 + 1) // 1000000 + 1)) * 1000 AS passed FROM s)
+SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events, w WHERE epoch_us(ts) <= passed"""
+)
+def stream_ordered_deltas(spark, d):
+    """Files that overlap in time, in any order within: rows wait for the watermark, and those it hasn't passed at the end still do."""
+    return ordered.deltas(spark, d)
+
+
+@query("""SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAY WHERE a.event_type = 'signup' AND b.event_type = 'purchase'""")
+def stream_pairs(spark, d):
+    """Two streams of files that overlap in time, joined within two days."""
+    return ordered.pairs(spark, d)

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import anchors, blocks, graph, intervals, lines
+from glyphmill.operators import anchors, blocks, graph, intervals, lines, names
 from glyphmill.plans.registry import query, table
 from glyphmill.sources import records
 
@@ -110,3 +110,19 @@ def anchored_blocks(spark, d):
     first = known.groupBy("h").agg(F.min("doc_id").alias("first"))
     pairs = known.join(first, "h").where("first < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a"))
     return anchors.matching_blocks(rows, pairs)
+
+
+#: Literal, name and tail: none of the names holds another rule's literal.
+_NAMES = [("ka", "kaleto", None), ("mi", "MI-", "ra"), ("mira", "Mira", ""), ("zo", "zo", None), ("q", "", None)]
+
+
+@query(
+    """WITH x AS (SELECT doc_id, text, replace(replace(replace(text, 'kaleto', chr(1)), 'ka', 'kaleto'), chr(1), 'kaleto') AS a FROM documents),
+y AS (SELECT *, replace(replace(replace(replace(a, 'mira', chr(1)), 'mi', 'MI-'), chr(1), 'Mira'), 'q', '') AS b FROM x)
+SELECT doc_id, md5(b) AS names, CAST((length(replace(text, 'kaleto', chr(1))) - length(replace(replace(text, 'kaleto', chr(1)), 'ka', ''))) / 2 + (length(text) - length(replace(text, 'mi', ''))) / 2 + length(text) - length(replace(text, 'q', '')) AS BIGINT) AS changed FROM y"""
+)
+def full_names(spark, d):
+    """Some beginnings of words as names to be written out, in one pass over each text."""
+    rules = spark.createDataFrame(_NAMES, "literal string, name string, tail string")
+    rows = names.full_names(table(spark, d, "documents").select("doc_id", "text"), rules)
+    return rows.select("doc_id", F.md5("text").alias("names"), "changed")
