@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +45,52 @@ def site_rule(verdict: str, host: str, path: str = "/") -> Rule:
     return Rule("site", text, verdict, r"^(?:[^/]*\.)?" + _quote(host) + _quote(path), tuple(dict.fromkeys(t for t in tokens[:-1] if t)))
 
 
-def pattern_rule(verdict: str, label: str, regex: str, *tokens: str) -> Rule:
-    """`tokens`: whole alphanumeric runs that every fitting URL contains, in lower case."""
-    return Rule("pattern", label, verdict, regex, tuple(tokens))
+def pattern_rule(verdict: str, label: str, regex: str) -> Rule:
+    """Its tokens come from the expression, so no URL that fits can lack one."""
+    return Rule("pattern", label, verdict, regex, tuple(whole_tokens(regex)))
+
+
+def whole_tokens(regex: str) -> list[str]:
+    """Runs of letters and digits, in lower case, that stand in every text the expression fits, and there as a whole: fenced on both sides by something else.
+
+    An expression that Python can't read has none, and is tried on every URL.
+    """
+    try:
+        parts = list(_parser.parse(regex))
+    except re.error:
+        return []
+    plain = [op is _parser.LITERAL and chr(x).isascii() and chr(x).isalnum() for op, x in parts]
+    out, at = [], 0
+    while at < len(parts):
+        end = at
+        while end < len(parts) and plain[end]:
+            end += 1
+        if end > at and _fenced(parts[:at], -1) and _fenced(parts[end:], 0):
+            out.append("".join(chr(x) for _, x in parts[at:end]).lower())
+        at = max(end, at + 1)
+    return list(dict.fromkeys(out))
+
+
+def _fenced(parts: list, side: int) -> bool:
+    """Whether a text that the parts fit has, at that side (0: its start, -1: its end), a character that no token holds, or the text's own end."""
+    if not parts:
+        return False
+    op, x = parts[side]
+    outside = lambda c: c < 128 and not chr(c).isalnum()
+    rest = parts[1:] if side == 0 else parts[:-1]
+    if op is _parser.LITERAL:
+        return outside(x)
+    if op is _parser.IN:
+        return all(kind is _parser.LITERAL and outside(c) for kind, c in x)
+    if op is _parser.AT:
+        return x is (_parser.AT_END if side == 0 else _parser.AT_BEGINNING)
+    if op is _parser.SUBPATTERN:
+        return _fenced(list(x[-1]), side)
+    if op is _parser.BRANCH:
+        return all(_fenced(list(p), side) for p in x[1])
+    if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+        return _fenced(list(x[2]), side) and (x[0] > 0 or _fenced(rest, side))
+    return False
 
 
 def _quote(text: str) -> str:
@@ -63,11 +107,11 @@ SITE_RULES = (
 )
 #: What holds where no site rule fits: pages that carry no running text, and sessions.
 PATTERN_RULES = (
-    *(pattern_rule("block", f"file .{x}", rf"(?i)^[^?#]*\.{x}(?:[?#]|$)", x) for x in ("zip", "exe", "iso", "dmg", "apk", "mp3", "mp4")),
-    *(pattern_rule("block", f"session {x}", rf"(?i)[?&;]{x}=", x) for x in ("phpsessid", "jsessionid", "sessionid")),
-    pattern_rule("block", "login page", r"(?i)^[^?#]*/wp-login\.php", "wp", "login", "php"),
-    pattern_rule("block", "checkout", r"(?i)^[^?#]*/cart/checkout(?:[/?#]|$)", "cart", "checkout"),
-    pattern_rule("block", "tracking host", r"(?i)://(?:[^/?#]*\.)?doubleclick\.net(?:[:/?#]|$)", "doubleclick", "net"),
+    *(pattern_rule("block", f"file .{x}", rf"(?i)^[^?#]*\.{x}(?:[?#]|$)") for x in ("zip", "exe", "iso", "dmg", "apk", "mp3", "mp4")),
+    *(pattern_rule("block", f"session {x}", rf"(?i)[?&;]{x}=") for x in ("phpsessid", "jsessionid", "sessionid")),
+    pattern_rule("block", "login page", r"(?i)^[^?#]*/wp-login\.php"),
+    pattern_rule("block", "checkout", r"(?i)^[^?#]*/cart/checkout(?:[/?#]|$)"),
+    pattern_rule("block", "tracking host", r"(?i)://(?:[^/?#]*\.)?doubleclick\.net(?:[:/?#]|$)"),
 )
 
 
