@@ -56,19 +56,23 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        self._delete([t._scratch for t in tables])
+        self.delete(*(t._scratch for t in tables))
 
-    def _delete(self, paths: list[str]) -> None:
+    def delete(self, *paths: str) -> None:
         for p in paths:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
             self.stand.discard(p)
 
+    def close(self) -> None:
+        """All tables made here go."""
+        self.delete(*self.stand)
+
     def last(self, df: DataFrame) -> DataFrame:
         """df, written as a table; all other tables made here go, so the result is all that stays."""
         before = list(self.stand)
         out = self.table(df)
-        self._delete(before)
+        self.delete(*before)
         return out
 
 

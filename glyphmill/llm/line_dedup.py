@@ -44,7 +44,7 @@ def _key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The runs of one store; each is a table of the session's warehouse until close()."""
+    """The runs of one store; each is a table whose files stand in the shared folder, until close()."""
 
     def __init__(self, spark: SparkSession, least: int = 10, fanout: int = 2):
         self.spark, self.least, self.fanout, self.scratch = spark, least, fanout, Scratch(spark)
@@ -60,11 +60,15 @@ class LineRuns:
         self.count += 1
         self.made.add(name)
         rows = rows if dealt else rows.repartition(self.buckets, "h1", "h2")
-        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name, path=self._path(name))
         return name
 
+    def _path(self, name: str) -> str:
+        return f"{self.scratch.folder}/{name}"
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.delete(self._path(name))  # the files aren't the catalogue's
         self.made.discard(name)
 
     def _add(self, table: str, level: int = 0) -> None:
@@ -132,8 +136,15 @@ def dedup_lines(documents: DataFrame, least: int = 10, n_batches: int = 3, fanou
         lost = reduce(DataFrame.unionByName, [runs.add(b) for b in batches(documents, n_batches)])
     finally:
         runs.close()
-    gone = lost.groupBy("d").agg(F.collect_set("h1").alias("gone"))
-    docs = documents.select("doc_id", "text", _id().alias("d")).join(gone, "d", "left")
+    gone = lost.where(F.col("d") < LAST).groupBy("d").agg(F.collect_set("h1").alias("gone"))
+    docs = documents.where(_id() < LAST).select("doc_id", "text", _id().alias("d")).join(gone, "d", "left").drop("d")
+    unnamed = documents.where(_id() == LAST)
+    if not unnamed.isEmpty():
+        # Rows without doc_id are one document, but each is told its own lost keys only.
+        unnamed = runs.scratch.table(unnamed.withColumn("d", F.monotonically_increasing_id()))
+        keys = runs.keys(unnamed.select(F.col("d").alias("doc_id"), "text")).select("d", "h1")
+        own = keys.join(lost.where(F.col("d") == LAST).select("h1").distinct(), "h1").groupBy("d").agg(F.collect_set("h1").alias("gone"))
+        docs = docs.unionByName(unnamed.join(own, "d", "left").drop("d"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
     def stays(line: Column) -> Column:
