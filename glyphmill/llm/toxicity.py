@@ -161,8 +161,12 @@ class Chain:
         return out
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, categories, train_rows: int) -> DataFrame:
-    """id, text, y, fold of the labelled rows that are used. Their ids and labels, at most `train_rows` rows, are broadcast."""
+def training_rows(documents: DataFrame, labels: DataFrame, categories, train_rows: int, scratch: Scratch) -> DataFrame:
+    """id, text, y, fold of the labelled rows that are used. Their ids and labels, at most `train_rows` rows, are broadcast.
+
+    Rows that are repeated count as often.  Where the ids stand in more rows than `train_rows`, a share of the different
+    rows is chosen by hash, and repeats count by that share, but once at least: about twice `train_rows` rows at most, however hot an id is.
+    """
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     told = told.select("id", "toxic", "quality", h.alias("h"), (h % FOLDS).cast("int").alias("fold"))
@@ -171,11 +175,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, categories, train_row
     told = told.where(F.col("h") < int(share * (1 << 30))).orderBy("h", "id").limit(train_rows)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").join(F.broadcast(told), "id")
     y = F.array(*[F.coalesce(F.expr(e).cast("double"), F.lit(0.0)) for _, e in categories])
-    return rows.select("id", "text", y.alias("y"), "fold")
+    rows = scratch.table(rows.select("id", "text", y.alias("y"), "fold").groupBy("id", "text", "y", "fold").agg(F.count("*").alias("k")))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
+    if total > train_rows:
+        own = F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, train_rows / n) * (1 << 30))
+        rows = rows.where(own).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("k") * F.lit(train_rows / total))))
+    return rows.select("id", "text", "y", "fold", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k").cast("long")))).drop("col")
 
 
 def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[bytes]:
-    """The forms whose presence speaks most for the last category, by chi-squared."""
+    """The forms whose presence speaks most for the last category, by chi-squared: at most `n_words` of the 8 * n_words that speak most."""
 
     def run(batches):
         every, toxic, docs = Counter(), Counter(), np.zeros(2)
@@ -216,7 +225,7 @@ def choose_words(rows: DataFrame, n_words: int, least: float = 20.0) -> list[byt
 def train(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, train_rows: int = TRAIN_ROWS, n_words: int = N_WORDS) -> Chain:
     scratch = Scratch(documents.sparkSession)
     # The documents are read once for the bounded sample, which is then read twice.
-    rows = scratch.table(training_rows(documents, labels, categories, train_rows))
+    rows = training_rows(documents, labels, categories, train_rows, scratch)
     chain = Chain({w: k for k, w in enumerate(choose_words(rows, n_words))}, [c for c, _ in categories])
 
     def run(batches):
@@ -227,7 +236,7 @@ def train(documents: DataFrame, labels: DataFrame, categories=CATEGORIES, train_
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), some.column("y"), some.column("fold")], names=["id", "x", "y", "fold"])
 
     got = rows.mapInArrow(run, "id long, x binary, y array<double>, fold int").toArrow()
-    scratch.drop(rows)
+    scratch.close()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, chain.width)
     y = np.array(got.column("y").to_pylist(), np.float64).reshape(-1, len(categories))
     order = np.lexsort((*x.T[:3], got.column("id").to_numpy()))
