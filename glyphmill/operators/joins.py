@@ -9,16 +9,19 @@ from glyphmill.functions import text as T
 from glyphmill.session import durable, hinted
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, order: str, value: str, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, order: str, value: str, strict: bool = False, within: str | None = None) -> DataFrame:
     """left with the `value` of the latest right row of the same key at or before its `order` (before, if strict).
 
+    within: how far back that row may lie, as SQL (`50`, `INTERVAL 1 HOUR`); a farther one gives null, and no earlier one is looked for.
     One shuffle: both sides are united, sorted by key and order, and the last value is carried on.
     """
     a = left.withColumn("_side", F.lit(0 if strict else 1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
     b = right.select(key, order, F.col(value).alias("_value")).withColumn("_side", F.lit(1 if strict else 0)).withColumn("_right", F.lit(True))
     both = a.withColumn("_right", F.lit(False)).unionByName(b, allowMissingColumns=True)
-    seen = F.last(F.when(F.col("_right"), F.struct("_value"))  , ignorenulls=True).over(Window.partitionBy(key).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(value, seen["_value"]).where(~F.col("_right")).drop("_side", "_value", "_right")
+    seen = F.last(F.when(F.col("_right"), F.struct("_value", F.col(order).alias("_at"))), ignorenulls=True).over(Window.partitionBy(key).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_seen", seen)
+    near = F.col("_seen._value") if within is None else F.when(F.expr(f"_seen._at + {within}") >= F.col(order), F.col("_seen._value"))
+    return found.withColumn(value, near).where(~F.col("_right")).drop("_side", "_value", "_right", "_seen")
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,3 +131,24 @@ def greedy_sentences(rows: DataFrame, most: int = 400, ends: str = "。．.!?！
         return pd.DataFrame([(own[key].iloc[0], a, t) for a, t in out], columns=[key, "line_no", "line"])
 
     return rows.select(key, "line_no", "line").groupBy(key).applyInPandas(run, rows.select(key, "line_no", "line").schema)
+
+
+def transcribed(rows: DataFrame, transcripts: DataFrame, by: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """rows with the `text` of transcripts(by, text) and `missing`, and a report (by, n) of ids that have no text.
+
+    A row without one keeps its place, with a mark that names the id; blank texts count as none. Of several texts of one id the smallest counts.
+    Rows without an id have nothing to look up: null, not missing.
+    """
+    own = transcripts.where(F.trim(text) != "").groupBy(by).agg(F.min(text).alias("_text"))
+    found = rows.join(own, by, "left").withColumn("missing", F.col(by).isNotNull() & F.col("_text").isNull())
+    found = found.withColumn(text, F.when(F.col("missing"), F.concat(F.lit("[missing "), F.col(by).cast("string"), F.lit("]"))).otherwise(F.col("_text"))).drop("_text")
+    return found, found.where("missing").groupBy(by).agg(F.count("*").alias("n"))
+
+
+def excluded(rows: DataFrame, rules: Sequence[tuple[str, str, str]], keep: str | None = None) -> DataFrame:
+    """rows with `reason`: that of the first of rules(column, pattern, reason) that fits, unless the expression `keep` holds; null stays.
+
+    A null column fits no pattern.
+    """
+    first = F.coalesce(*(F.when(F.col(column).rlike(pattern), F.lit(reason)) for column, pattern, reason in rules), F.lit(None).cast("string"))
+    return rows.withColumn("reason", first if keep is None else F.when(~F.coalesce(F.expr(keep), F.lit(False)), first))

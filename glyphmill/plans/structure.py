@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import anchors, blocks, graph, intervals, lines, names
+from glyphmill.operators import anchors, blocks, graph, intervals, joins, layouts, lines, names, resolve, variants
 from glyphmill.plans.registry import query, table
 from glyphmill.sources import records
 
@@ -126,3 +126,56 @@ def full_names(spark, d):
     rules = spark.createDataFrame(_NAMES, "literal string, name string, tail string")
     rows = names.full_names(table(spark, d, "documents").select("doc_id", "text"), rules)
     return rows.select("doc_id", F.md5("text").alias("names"), "changed")
+
+
+@query()
+def variant_rows(spark, d):
+    """Every third line as it might come out of two versions in one row; the rest as it is."""
+    rows = lines.lines(table(spark, d, "documents"))
+    twice = F.concat(F.lit("「"), "line", F.lit("「"), F.regexp_replace("line", "(?<=.{20})[aeiou]", ""), F.lit("」"))
+    rows = rows.withColumn("line", F.when((F.col("line_no") % 3 == 0) & (F.length("line") >= 12), twice).otherwise(F.col("line")))
+    return variants.repaired(rows, ["mi", "zo"], "mira")
+
+
+@query()
+def layout_cover(spark, d):
+    """Orders as pages of parts: orders that share no part and leave none out that fits, and orders that others make up."""
+    return layouts.cover(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("atom"))).withColumn("parts", F.array_join("parts", ","))
+
+
+@query(
+    """WITH m AS (SELECT user_id, ts, event_type AS kind FROM events WHERE event_type IN ('signup', 'purchase')), e AS (SELECT event_id, user_id, ts FROM events WHERE event_type NOT IN ('signup', 'purchase'))
+SELECT e.event_id, e.user_id, CASE WHEN m.ts + INTERVAL 12 HOUR >= e.ts THEN m.kind END AS state FROM e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts"""
+)
+def asof_within(spark, d):
+    events = table(spark, d, "events")
+    sets = F.col("event_type").isin("signup", "purchase")
+    right = events.where(sets).select("user_id", "ts", F.col("event_type").alias("state"))
+    left = events.where(~sets).select("event_id", "user_id", "ts")
+    return joins.asof(left, right, "user_id", "ts", "state", within="INTERVAL 12 HOUR").select("event_id", "user_id", "state")
+
+
+def _transcribed(spark, d):
+    people = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("text"))
+    return resolve.transcribed(table(spark, d, "orders").select("o_orderkey", "o_custkey"), people, "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey, coalesce(c_name, '[missing ' || o_custkey || ']') AS text, c_name IS NULL AS missing FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 1000")
+def transcribed_orders(spark, d):
+    """Orders with the names of their customers, of whom only some are known."""
+    return _transcribed(spark, d)[0]
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 1000 WHERE c_name IS NULL GROUP BY o_custkey")
+def transcript_misses(spark, d):
+    return _transcribed(spark, d)[1]
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_totalprice >= 400000 THEN NULL WHEN regexp_matches(o_orderpriority, '^[45]-') THEN 'system' WHEN regexp_matches(o_orderstatus, 'P') THEN 'debug'
+WHEN regexp_matches(o_orderpriority, 'MED') THEN 'menu' END AS reason FROM orders"""
+)
+def excluded_options(spark, d):
+    """Orders as options that are left out by pattern, each with the first reason; dear ones stay in any case."""
+    rules = [("o_orderpriority", "^[45]-", "system"), ("o_orderstatus", "P", "debug"), ("o_orderpriority", "MED", "menu")]
+    return resolve.excluded(table(spark, d, "orders"), rules, "o_totalprice >= 400000").select("o_orderkey", "reason")
