@@ -8,18 +8,16 @@ heaviest and the lightest shard.  Records find their shard through the last vers
 stored.  The law that holds is `bytes`: shards have nearly equal sizes.  Only the slots' sums,
 a fixed number of rows, reach the driver.
 
-Rows of the same doc_id and text have one hash.  Where such a group holds more than a
-slot's fair share of all bytes (there can be no more such groups than slots), its rows
-are salted by a running number and so spread over several slots.
+The hash is that of the text, so records of equal text share a slot and a shard.  Groups of copies may
+hold a third of all rows, which no shard of forty could take whole without breaking the law: a group of more
+than `WHOLE` of a shard's fair share (there are shards / WHOLE such groups at most) is salted by a running number
+and so spread over several slots.
 
-Positions in a shard come from counts of smaller groups (slot and further bits of
-the hash), so no task sorts a whole shard.  The number of these cuts follows the largest slot; it decides
-which position a row gets, and nothing else.
+Positions in a shard come from counts of smaller groups (slot and a cut by doc_id and running
+number), so no task sorts a whole shard or a group of copies.  The number of these cuts follows the largest slot; it
+decides which position a row gets, and nothing else.
 
-Equal texts: `bytes` keeps records of equal text apart unless their doc_id is equal too.  Groups of
-copies may hold a third of all rows, which no shard of forty could take whole without breaking the law.
-
-Defined results: a null text has no bytes and the checksum of an empty one; null
+Defined results: a null text has no bytes and the checksum of an empty one, with which it is equal; null
 and repeated doc_ids are spread by their text, and by the salt; repeated rows each get a position.
 """
 
@@ -35,6 +33,8 @@ from glyphmill.llm.common import Scratch
 SLOTS = 4096
 #: Rows of one slot that one sort handles; larger slots are cut by further bits of the hash.
 ROWS_A_CUT = 50_000
+#: The part of a shard's fair share up to which rows of equal text stay together.
+WHOLE = 0.25
 MAP_SCHEMA = "version int, slot int, shard int"
 
 
@@ -45,19 +45,19 @@ def _bytes_of(text: Column) -> Column:
 def hashed(documents: DataFrame, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, h, rid (a number of the row, for the salt)."""
     text = _bytes_of(F.col("text"))
-    rows = documents.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("h", F.xxhash64("doc_id", "text_crc32")).withColumn("rid", F.monotonically_increasing_id())
+    rows = documents.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
-def heavy_hashes(rows: DataFrame) -> DataFrame:
-    """heavy, salts of the hashes that hold more than a slot's fair share of bytes: SLOTS rows at most."""
+def heavy_hashes(rows: DataFrame, shards: int) -> DataFrame:
+    """heavy, salts of the hashes that hold more than WHOLE of a shard's fair share of bytes: shards / WHOLE rows at most. Each salt takes a quarter of a slot's share."""
     total = rows.agg(F.sum("size")).first()[0] or 1
-    by = rows.groupBy(F.col("h").alias("heavy")).agg(F.sum("size").alias("own"), F.count("*").alias("k")).where((F.col("own") * SLOTS > total) & (F.col("k") > 1))
+    by = rows.groupBy(F.col("h").alias("heavy")).agg(F.sum("size").alias("own"), F.count("*").alias("k")).where((F.col("own") * shards > total * WHOLE) & (F.col("k") > 1))
     return by.select("heavy", F.least(F.col("k"), F.ceil(F.col("own") * (4.0 * SLOTS / total))).cast("long").alias("salts"))
 
 
 def with_slots(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """rows(h, rid, ...) with salted `h` and virtual_slot. What is heavy has SLOTS rows at most and is broadcast."""
+    """rows(h, rid, ...) with salted `h` and virtual_slot. What is heavy has shards / WHOLE rows at most and is broadcast."""
     rows = rows.join(F.broadcast(heavy), F.col("h") == F.col("heavy"), "left")
     salted = F.when(F.col("salts").isNotNull(), F.xxhash64("h", F.pmod(F.xxhash64("rid"), F.col("salts")))).otherwise(F.col("h"))
     return rows.withColumn("h", salted).drop("heavy", "salts").withColumn("virtual_slot", F.pmod("h", F.lit(SLOTS)).cast("int"))
@@ -154,12 +154,12 @@ def assign(documents: DataFrame, shards: int = 40, path: str | None = None) -> D
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     documents = documents.drop("shard")
     rows = hashed(documents)
-    heavy = scratch.table(heavy_hashes(rows))
+    heavy = scratch.table(heavy_hashes(rows, shards))
     totals = slot_sizes(with_slots(rows, heavy)).collect()  # SLOTS rows at most
     version, slots = edited_map(spark, path or f"{scratch.folder}/maps", {r["virtual_slot"]: r["bytes"] for r in totals}, shards)
     where = F.broadcast(map_table(spark, version, slots).select(F.col("slot").alias("virtual_slot"), "shard"))
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    own = documents.select(row, F.xxhash64("doc_id", F.crc32(_bytes_of(F.col("text")))).alias("h"), F.monotonically_increasing_id().alias("rid"))
+    own = documents.select(row, F.xxhash64(_bytes_of(F.col("text"))).alias("h"), F.monotonically_increasing_id().alias("rid"))
     return with_slots(own, heavy).join(where, "virtual_slot").select("row.*", "shard")
 
 
@@ -167,13 +167,13 @@ def shard(documents: DataFrame, shards: int = 40, path: str | None = None) -> Da
     """doc_id, size, text_crc32, law, shard, slot (position in the shard), virtual_slot, map_version: a row per row. path: where the maps are stored."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     raw = scratch.table(hashed(documents))
-    rows = scratch.table(with_slots(raw, heavy_hashes(raw)))
+    rows = scratch.table(with_slots(raw, heavy_hashes(raw, shards)))
     scratch.drop(raw)
     totals = slot_sizes(rows).collect()  # SLOTS rows at most
     version, slots = edited_map(spark, path or f"{scratch.folder}/maps", {r["virtual_slot"]: r["bytes"] for r in totals}, shards)
     cuts = -(-max([1, *(r["rows"] for r in totals)]) // ROWS_A_CUT)
     where = F.broadcast(map_table(spark, version, slots).select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version")))
-    rows = rows.join(where, "virtual_slot").withColumn("cut", F.pmod(F.shiftright("h", 20), F.lit(cuts)))
+    rows = rows.join(where, "virtual_slot").withColumn("cut", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(cuts)))
     group = ["shard", "virtual_slot", "cut"]
     counts = rows.groupBy(*group).count()
     before = Window.partitionBy("shard").orderBy("virtual_slot", "cut").rowsBetween(Window.unboundedPreceding, -1)
