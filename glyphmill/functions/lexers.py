@@ -125,24 +125,36 @@ class PrintableRuns:
                     yield m.start(), encoding, text
 
 
-@udtf(returnType="name string, off long, stored long, raw long")
-class DirectoryEntries:
-    """Entries of a simple archive directory: count, then fixed-width records, by a declared layout.
+def directory_entries(data: bytes, start: int, layout: str) -> Iterator[tuple[str, int, int, int]]:
+    """(name, offset, stored size, raw size) of a directory: count, then fixed-width records, as far as they are there.
 
-    `layout`: name_bytes,field kinds in order (n: name, o: offset, s: stored size, r: raw size, u: unused 4 bytes), byte order (< or >)
+    `layout`: name_bytes,field kinds in order (n: name, o: offset, s: stored size, r: raw size, u: unused 4 bytes),byte order (< or >)
     """
+    if len(data) < start + 4:
+        return
+    width, fields, order = layout.split(",")
+    (count,) = struct.unpack_from(order + "I", data, start)
+    record = struct.Struct(order + "".join(f"{width}s" if f == "n" else "I" for f in fields))
+    there = min(count, (len(data) - start - 4) // record.size)
+    for values in record.iter_unpack(data[start + 4 : start + 4 + there * record.size]):
+        row = dict(zip(fields, values))
+        yield row["n"].split(b"\0")[0].decode("cp932", "replace"), row["o"], row["s"], row.get("r", row["s"])
+
+
+@udtf(returnType="name string, off long, stored long, raw long")
+class DirectoryEntries:
+    """Entries of a simple archive directory, by a declared layout (see directory_entries)."""
 
     def eval(self, content: bytes, start: int, layout: str):
+        yield from directory_entries(bytes(content or b""), start, layout)
+
+
+@udtf(returnType="name string, raw long, piece binary, short boolean")
+class MemberBytes:
+    """The stored bytes of every entry of a directory, whose offsets count from `base`; `short` ones reach past the end."""
+
+    def eval(self, content: bytes, start: int, layout: str, base: int):
         data = bytes(content or b"")
-        width, fields, order = layout.split(",")
-        if len(data) < start + 4:
-            return
-        (count,) = struct.unpack_from(order + "I", data, start)
-        record = struct.Struct(order + "".join(f"{width}s" if f == "n" else "I" for f in fields))
-        at = start + 4
-        for _ in range(count):
-            if at + record.size > len(data):
-                return
-            row = dict(zip(fields, record.unpack_from(data, at)))
-            at += record.size
-            yield row["n"].split(b"\0")[0].decode("cp932", "replace"), row["o"], row["s"], row.get("r", row["s"])
+        for name, off, stored, raw in directory_entries(data, start, layout):
+            piece = data[off + base : off + base + stored]
+            yield name, raw, piece, len(piece) < stored

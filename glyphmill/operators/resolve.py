@@ -53,13 +53,20 @@ def variant_union(rows: DataFrame, key: list[str], variant: str, text: str) -> D
 def slot_values(events: DataFrame, key: str, order: str) -> DataFrame:
     """events(key, order, op, slot, text) of op `print` with `value`: what set and append left in the slot before, or null.
 
-    A slot's value is the texts since its last set, put together in order.
+    A slot's value is the texts since its last set, put together in order. They are put together once for each set; a print takes
+    as much from the front as stood there by then.
     """
     w = Window.partitionBy(key, "slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("_age", F.sum((F.col("op") == "set").cast("long")).over(w))
     own = Window.partitionBy(key, "slot", "_age").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    said = F.collect_list(F.when(F.col("op") != "print", F.col("text"))).over(own)
-    return rows.withColumn("value", F.when(F.size(said) > 0, F.array_join(said, ""))).where("op = 'print'").drop("_age")
+    said = F.when(F.col("op") != "print", F.col("text"))
+    rows = rows.withColumn("_upto", F.sum(F.length(said)).over(own))
+    whole = rows.where(said.isNotNull()).groupBy(F.col(key).alias("_key"), F.col("slot").alias("_slot"), F.col("_age").alias("_set")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))["t"], "").alias("_whole")
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("slot").eqNullSafe(F.col("_slot")) & F.col("_age").eqNullSafe(F.col("_set"))
+    prints = rows.where("op = 'print'").join(whole, same, "left")
+    return prints.withColumn("value", F.expr("substring(_whole, 1, cast(_upto as int))")).select(*events.columns, "value")
 
 
 def in_listed_order(rows: DataFrame, order: DataFrame, name: str) -> DataFrame:
@@ -68,12 +75,8 @@ def in_listed_order(rows: DataFrame, order: DataFrame, name: str) -> DataFrame:
 
 
 def running_numbers(rows: DataFrame, file: str, order: str, name: str = "number") -> DataFrame:
-    """rows numbered from 1 through all files in order: per-file numbers and the files' running totals, so no task sorts all rows."""
-    counts = rows.groupBy(file).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
-    starts = counts.select(file, before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy(file).orderBy(order))
-    return rows.withColumn("_own", own).join(starts, file).withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start")
+    """rows numbered from 1 through all files in order; no task sees all rows, nor a row of every file."""
+    return numbered(rows, [F.col(file), F.col(order)], name)
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
@@ -86,6 +89,25 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> Data
     return parts.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start", "_range")
 
 
+def numbered_within(rows: DataFrame, key: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """rows numbered from 1 within each key in order; nulls are a key of their own. No task sorts a whole key.
+
+    They are dealt by ranges into a written table, numbered in each range, and moved by what the ranges before hold of the key. Only a
+    key that goes on from one range to the next is moved: a row for each range at most.
+    """
+    by = [F.col(k) for k in key]
+    parts = durable(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = parts.groupBy("_range", *key).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("_range").alias("_at"), *(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), before.alias("_start")).where("_start IS NOT NULL")
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    own = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
+    moved = parts.withColumn("_own", own).join(F.broadcast(starts), same, "left")
+    return moved.withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_own")).cast("long")).select(*(F.col(f"`{c}`") for c in rows.columns if c != name), name)
+
+
 def insert_options(lines: DataFrame, options: DataFrame, key: str) -> DataFrame:
     """key, line_no, kind, text: options(key, page, idx, text) before the lines(key, page, idx, text) of their page."""
     both = options.select(key, "page", F.lit(0).alias("r"), "idx", "text").unionByName(lines.select(key, "page", F.lit(1).alias("r"), "idx", "text"))

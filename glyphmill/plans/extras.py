@@ -193,19 +193,19 @@ def macro_expansion(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT item_id, text, ord(ch) AS o FROM (SELECT item_id, text, unnest(string_split(text, '')) AS ch FROM benchmark)) SELECT item_id, CAST(o AS INTEGER) AS byte, count(*) AS n FROM c WHERE o < 128 GROUP BY ALL"""
+    """WITH h AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) SELECT doc_id, CAST('0x' || h AS INTEGER) AS byte, count(*) AS n FROM h GROUP BY ALL"""
 )
 def byte_counts(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
-    return ledger.byte_histogram(rows, "item_id").where("byte < 128")
+    """How often each byte stands in a document's text in UTF-8."""
+    return ledger.byte_histogram(table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
 
 
 @query(
-    """WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark)) SELECT item_id, CAST(i - 1 AS BIGINT) AS "offset" FROM p WHERE substr(text, i, 2) = 'ee' OR substr(text, i, 2) = 'th'"""
+    """WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark) SELECT item_id, CAST(strlen(substr(text, 1, i - 1)) AS BIGINT) AS "offset" FROM p WHERE substr(text, i, 2) = 'ee' OR substr(text, i, 2) = 'th'"""
 )
 def byte_places(spark, d):
-    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    rows = table(spark, d, "benchmark").select("item_id", F.encode(ascii_only, "UTF-8").alias("content"))
+    """Where two pairs of bytes stand in an item's text in UTF-8."""
+    rows = table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
     return identify.find_all(rows, "6565", "item_id").unionByName(identify.find_all(rows, "7468", "item_id"))
 
 

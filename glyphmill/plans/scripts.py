@@ -77,11 +77,11 @@ _AT_START = [s for s in identify.SIGNATURES if s.offset == 0]
 _KINDS = ", ".join(f"({k}, '{s.label}')" for k, s in enumerate(_AT_START))
 
 
-@query(f"SELECT doc_id, kind FROM documents LEFT JOIN (VALUES {_KINDS}) v(k, kind) ON k = doc_id % {len(_AT_START) + 1}")
+@query(f"SELECT doc_id, kind FROM documents LEFT JOIN (VALUES {_KINDS}) v(k, kind) ON k = doc_id % {len(_AT_START) + 1} AND text IS NOT NULL")
 def byte_signatures(spark, d):
-    """Every text behind the bytes of a signature in turn, and one in so many behind none."""
+    """What each text is told to be behind the bytes of a signature in turn; one in so many stands behind a blank only. Signatures without a fixed place are sought in the texts, too."""
     magic = F.element_at(F.array(*[F.unhex(F.lit(s.magic)) for s in _AT_START], F.unhex(F.lit("20"))), (F.col("doc_id") % (len(_AT_START) + 1) + 1).cast("int"))
-    files = table(spark, d, "documents").select("doc_id", F.concat(magic, F.encode(F.lit(" a text"), "UTF-8")).alias("content"))
+    files = table(spark, d, "documents").select("doc_id", F.concat(magic, F.encode("text", "UTF-8")).alias("content"))
     return identify.identify(files).select("doc_id", "kind")
 
 

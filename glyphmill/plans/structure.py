@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import anchors, blocks, graph, intervals, joins, layouts, lines, names, resolve, variants
 from glyphmill.plans.registry import query, table
-from glyphmill.sources import records
+from glyphmill.sources import archives, nested, records, streams
 
 
 @query(
@@ -179,3 +179,50 @@ def excluded_options(spark, d):
     """Orders as options that are left out by pattern, each with the first reason; dear ones stay in any case."""
     rules = [("o_orderpriority", "^[45]-", "system"), ("o_orderstatus", "P", "debug"), ("o_orderpriority", "MED", "menu")]
     return resolve.excluded(table(spark, d, "orders"), rules, "o_totalprice >= 400000").select("o_orderkey", "reason")
+
+
+_UTF8 = streams.Widths(leads=((0xC2, 0xDF, 2), (0xE0, 0xEF, 3), (0xF0, 0xF4, 4)), dropped={ord("."): 1}, controls={ord("\n"): 0, ord(","): 1})
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(s) AS tok, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[^.,\n]|\..|\n|,.|[.,]$') AS s FROM documents)),
+k AS (SELECT *, tok[1] IN (',', chr(10)) OR tok = '.' AS ctl, starts_with(tok, '.') AS gone FROM t), g AS (SELECT *, coalesce(sum(ctl::INTEGER) OVER w, 0) AS seq, coalesce(sum(strlen(tok)) OVER w, 0) AS o FROM k
+WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, CAST(min(o) AS BIGINT) AS place, md5(coalesce(string_agg(tok, '' ORDER BY i) FILTER (NOT ctl AND NOT gone), '')) AS text, hex(encode(max(tok[1]) FILTER (ctl))) AS control,
+hex(encode(max(tok[2:]) FILTER (ctl))) AS operands, coalesce(bool_or(ctl AND tok IN ('.', ',')), false) AS cut FROM g GROUP BY doc_id, seq"""
+)
+def mixed_streams(spark, d):
+    """Texts in UTF-8 as streams: a stop takes the next byte away, a comma has one byte of operands, and both it and a line's end close a run."""
+    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    runs = streams.mixed_width(rows, _UTF8, "doc_id")
+    return runs.select("doc_id", "seq", "place", F.md5("text").alias("text"), F.hex("control").alias("control"), F.hex("operands").alias("operands"), F.col("error").isNotNull().alias("cut"))
+
+
+_MAGIC = "41524330"
+
+
+def _archive(names, datas):
+    """Hex of an archive: signature, count, then names of 32 bytes with places and sizes, then the members. From arrays of names and of hex digits."""
+    little = lambda n: F.concat(*(F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)))
+    zero = F.struct(F.lit("").alias("head"), (8 + 40 * F.size(names)).cast("long").alias("at"))
+    entry = lambda a, m: F.concat(a["head"], F.rpad(F.hex(F.encode(m["n"], "UTF-8")), 64, "0"), little(a["at"]), little(F.length(m["d"]) / 2))
+    step = lambda a, m: F.struct(entry(a, m).alias("head"), (a["at"] + F.length(m["d"]) / 2).cast("long").alias("at"))
+    members = F.zip_with(names, datas, lambda n, d: F.struct(n.alias("n"), d.alias("d")))
+    return F.concat(F.lit(_MAGIC), little(F.size(names)), F.aggregate(members, zero, step)["head"], F.array_join(datas, ""))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, doc_id % 3 AS d, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
+SELECT doc_id || repeat('!inner', d) AS path, CAST(i AS VARCHAR) AS name, CAST(d + 1 AS INTEGER) AS depth, md5(line) AS data FROM l
+UNION ALL SELECT doc_id || repeat('!inner', k), 'note', CAST(k + 1 AS INTEGER), md5(coalesce(source, '')) FROM (SELECT doc_id, source, unnest(range(0, doc_id % 3)) AS k FROM documents WHERE text IS NOT NULL)"""
+)
+def nested_members(spark, d):
+    """Each document's lines as members of an archive, which lies in up to two others beside a note: all that comes out again."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.split("text", "\n", -1).alias("s"))
+    hexed = lambda c: F.hex(F.encode(c, "UTF-8"))
+    docs = docs.withColumn("h", _archive(F.transform("s", lambda x, i: (i + 1).cast("string")), F.transform("s", hexed)))
+    for level in (1, 2):
+        outer = _archive(F.array(F.lit("note"), F.lit("inner")), F.array(hexed(F.col("source")), F.col("h")))
+        docs = docs.withColumn("h", F.when(F.col("doc_id") % 3 >= level, outer).otherwise(F.col("h")))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.unhex("h").alias("content"))
+    return nested.descend(files, [(_MAGIC, archives.LAYOUTS["name-offset-size"])]).select("path", "name", "depth", F.md5("data").alias("data"))

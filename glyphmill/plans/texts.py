@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import joins, ledger, lines
+from glyphmill.operators import joins, ledger, lines, resolve
 from glyphmill.plans.registry import LINES, query, table
 from glyphmill.session import durable
 
@@ -233,8 +233,7 @@ SELECT doc_id, replace(s, ' ', '-') || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE
 def anchors(spark, d):
     head = F.trim(F.regexp_replace(F.lower(F.split("text", "\n")[0]), r"[^\p{L}\p{N}\s_-]", ""))
     rows = table(spark, d, "documents").select("doc_id", head.alias("s"))
-    n = F.row_number().over(Window.partitionBy("s").orderBy("doc_id"))
-    return rows.withColumn("n", n).select("doc_id", F.concat(F.replace("s", F.lit(" "), F.lit("-")), F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n") - 1)).otherwise("")).alias("anchor"))
+    return resolve.numbered_within(rows, ["s"], [F.col("doc_id")], "n").select("doc_id", F.concat(F.replace("s", F.lit(" "), F.lit("-")), F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n") - 1)).otherwise("")).alias("anchor"))
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.codecs import decompress
-from glyphmill.functions.lexers import DirectoryEntries
+from glyphmill.functions.lexers import DirectoryEntries, MemberBytes
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,14 @@ def members(files: DataFrame, layout: ArchiveLayout) -> DataFrame:
 
 
 def extract(files: DataFrame, layout: ArchiveLayout) -> DataFrame:
-    """path, name, data, error: every member's bytes, decoded."""
-    rows = files.lateralJoin(DirectoryEntries(F.col("content").outer(), F.lit(layout.start), F.lit(layout.declared)))
-    piece = F.expr(f"substring(content, cast(off + {layout.base + 1} as int), cast(stored as int))")
-    short = F.octet_length(piece) < F.col("stored")
-    rows = rows.select("path", "name", "raw", piece.alias("piece"), short.alias("short")).withColumn("d", decompress(F.col("piece"), F.lit(layout.codec)))
+    """The columns of files(path, content, ...) but the content, and name, data, error: every member's bytes, decoded.
+
+    The bytes go to Python once a file, and only those of its members come back.
+    """
+    rows = files.lateralJoin(MemberBytes(F.col("content").outer(), F.lit(layout.start), F.lit(layout.declared), F.lit(layout.base)))
+    rows = rows.drop("content").withColumn("d", decompress(F.col("piece"), F.lit(layout.codec)))
     error = F.when(F.col("short"), "member reaches past the end").otherwise(F.coalesce("d.error", F.when(F.octet_length("d.data") != F.col("raw"), "size differs")))
-    return rows.select("path", "name", "d.data", error.alias("error"))
+    return rows.select(*(c for c in files.columns if c != "content"), "name", "d.data", error.alias("error"))
 
 
 def aligned_offsets(entries: DataFrame, align: int, key: str = "path", order: str = "id", size: str = "stored") -> DataFrame:
