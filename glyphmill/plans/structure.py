@@ -4,9 +4,9 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import anchors, blocks, graph, intervals, joins, layouts, lines, names, resolve, variants
+from glyphmill.operators import anchors, blocks, graph, inline, intervals, joins, layouts, lines, names, resolve, variants
 from glyphmill.plans.registry import query, table
-from glyphmill.sources import archives, nested, records, streams
+from glyphmill.sources import archives, identify, nested, records, streams
 
 
 @query(
@@ -226,3 +226,66 @@ def nested_members(spark, d):
         docs = docs.withColumn("h", F.when(F.col("doc_id") % 3 >= level, outer).otherwise(F.col("h")))
     files = docs.select(F.col("doc_id").cast("string").alias("path"), F.unhex("h").alias("content"))
     return nested.descend(files, [(_MAGIC, archives.LAYOUTS["name-offset-size"])]).select("path", "name", "depth", F.md5("data").alias("data"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+x AS (SELECT doc_id, n, n % 4 = 0 AS ends, CASE WHEN n % 6 = 1 THEN 'to ' || n END AS choice, CASE WHEN n % 5 = 2 THEN '' ELSE trim(split_part(regexp_replace(line, '<[^>]*(>|$)', '', 'g'), '//', 1), ' ' || chr(9) || chr(13)) END AS t FROM l
+  WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13)), '//')),
+g AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM x),
+m AS (SELECT doc_id, max(n) AS n, 1 AS r, 'message' AS kind, trim(string_agg(t, '' ORDER BY n), ' ' || chr(9) || chr(13)) AS text FROM g GROUP BY doc_id, part), b AS (SELECT * FROM m WHERE text <> '' UNION ALL SELECT doc_id, n, 0, 'choice', choice FROM g WHERE choice IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, r) AS seq, kind, text FROM b"""
+)
+def inline_messages(spark, d):
+    """Lines between tags, some of which hold brackets in quotes; some lines pause, some offer a choice, some name a speaker."""
+    quiet = lambda x: F.regexp_replace(x, r"^[\\s\u3000]+", "")
+
+    def tagged(x, i):
+        n = i + 1
+        line = F.concat(F.when(n % 5 == 2, "<b>＠").otherwise('<t if="a > b">'), x, F.when(n % 4 == 0, "<PB>").otherwise(""))
+        line = F.concat(F.when(n % 6 == 1, F.concat(F.lit('<case if="1 > 0" value=" to '), n.cast("string"), F.lit(' ">'))).otherwise(""), line)
+        return F.when((quiet(x) == "") | quiet(x).startswith("//"), x).otherwise(line)
+
+    return inline.messages(table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), tagged), "\n").alias("text")))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN c_name WHEN 1 THEN '【' || c_name || '】' WHEN 2 THEN c_name WHEN 3 THEN '名' || c_name END AS shown FROM customer WHERE c_custkey % 7 < 4"""
+)
+def macro_names(spark, d):
+    """Customers' names in macros of seven shapes, of which four show them and the others hold code, other tags or ASCII only."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    around = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
+    bodies = [
+        around('[hr][label][ch text="', '"][r]\r\n[playse x]'), around("[eval exp=%name|f.name='", "'] [nowait]　【[emb exp=f.name]】[endnowait]"), around("[font][nowait]", "[r] [endnowait][eval x]"), around("\n[nowait]名", "[endnowait][r]\n"),
+        around('[ch text="', '"]名'), around("名[wait]", ""), around("", "[r]"),
+    ]
+    body = F.get(F.array(*bodies), (k % 7).cast("int"))
+    name = F.when(k % 7 == 2, F.concat(F.lit("【"), k, F.lit("】"))).otherwise(F.concat(F.lit("m"), k))
+    shown = inline.name_macros(table(spark, d, "customer").select(name.alias("name"), body.alias("body")))
+    return shown.select(F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("k"), "shown")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN strlen(text) + 1000 WHEN 1 THEN 2000000 + length(text) WHEN 2 THEN length(text) + 5000 END AS rows FROM documents WHERE doc_id % 4 < 3 AND text IS NOT NULL"""
+)
+def reported_rows(spark, d):
+    """Reports of each document's size, among the document's own lines: on the line of the finished text, in bold, or first."""
+    k, long = F.col("doc_id") % 4, F.length("text")
+    comma = lambda n: F.format_number(n, 0)
+    first = F.when(k == 3, F.concat(F.lit("999 行 "), long % 1000, F.lit(" 行"))).otherwise(F.concat(F.lit("全 "), comma(long + 5000), F.lit(" 行")))
+    bold = F.when(k == 1, F.concat(F.lit("计 1234 行，**"), (long + 2000000).cast("string"), F.lit(" 行**"))).otherwise("")
+    done = F.when(k == 0, F.concat(F.lit("成品 "), comma(F.octet_length("text") + 1000), F.lit("行"))).otherwise("")
+    report = F.concat_ws("\n", first, F.when(k == 2, "").otherwise(bold), F.replace("text", F.lit("行"), F.lit("")), done)
+    return inline.declared_rows(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", report.alias("text")))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT 'x/' || (p_partkey % 50) AS folder, 'eboot.bin' AS name FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT 'x', 'sce_pfs' FROM part WHERE p_size % 5 = 1 UNION SELECT DISTINCT 'x/' || (p_partkey % 50) || '/' || p_size, 'data.rom' FROM part WHERE p_size % 5 = 2)
+SELECT folder, name, CASE name WHEN 'eboot.bin' THEN 'application' WHEN 'sce_pfs' THEN 'protected files' ELSE 'rom2 archive' END AS kind FROM p"""
+)
+def folder_hints(spark, d):
+    """Parts as paths, some of which go through names that tell what a folder holds."""
+    size, at = F.col("p_size"), (F.col("p_partkey") % 50).cast("string")
+    path = F.when(size % 5 == 0, F.concat(F.lit("x/"), at, F.lit("/eboot.bin"))).when(size % 5 == 1, F.concat(F.lit("x/sce_pfs/"), at, F.lit("/a"))).when(size % 5 == 2, F.concat(F.lit("x/"), at, F.lit("/"), size.cast("string"), F.lit("/data.rom")))
+    return identify.directory_hints(table(spark, d, "part").select(F.coalesce(path, F.lit("x/other/eboot.bin.txt")).alias("path")), identify.FOLDER_HINTS)

@@ -47,8 +47,35 @@ SIGNATURES = (
     Signature("FFFE", "utf-16 text"),
     Signature("4344303031", "iso9660", 0x8001),
     Signature("78DA", "zlib stream", codec="zlib"),
+    Signature("524F4D32", "rom2 archive"),
+    Signature("534E5220", "snr script"),
+    Signature("54584134", "txa4 texture"),
+    Signature("42555034", "bup4 sprite"),
+    Signature("706638", "pf8 archive"),
+    Signature("43444152", "cdar archive"),
+    Signature("5354434D324C", "stcm2l script"),
+    Signature("554E4932", "uni2 container"),
+    Signature("4C494250", "libp archive"),
+    Signature("41524321", "arc! archive"),
+    Signature("5061636B46696C65", "packfile archive"),
+    Signature("4E534172", "nsa archive"),
+    Signature("4E534143", "nsac archive"),
+    Signature("4D5A5830", "mzx0 data"),
+    Signature("41465300", "afs archive"),
+    Signature("6D7267643030", "mrg container"),
+    Signature("4E504101", "npa archive"),
+    Signature("616C6C736372", "allscr script"),
+    Signature("43525054", "crpt container"),
+    Signature("535054484541444552", "spt script"),
+    Signature("50465330", "pfs0 archive"),
+    Signature("4E434133", "nca3 archive"),
+    Signature("48454144", "xci image"),
+    Signature("53434500", "self image"),
     Signature("4352494C41594C41", "crilayla data", None, "crilayla"),
+    Signature("585033", "xp3 inside", None, "zlib"),
 )
+# Names that tell what a folder holds.
+FOLDER_HINTS = (("eboot.bin", "application"), ("sce_pfs", "protected files"), ("data.rom", "rom2 archive"), ("exec.dat", "malie script"), ("nscript.dat", "nscripter script"))
 TEXT_SIGNATURES = (("html", ("<!DOCTYPE", "<html"), True), ("json", ("{", "["), True), ("table", (" | ",), False), ("junk", ("%%%", "$$$"), False))
 
 
@@ -123,3 +150,13 @@ def find_all(files: DataFrame, needle: str, key: str = "path", content: str = "c
 def most_runs(runs: DataFrame, top: int = 20, key: str = "path") -> DataFrame:
     """key, runs of the files with most printable runs."""
     return runs.groupBy(key).agg(F.count("*").alias("runs")).orderBy(F.desc("runs"), key).limit(top)
+
+
+def directory_hints(files: DataFrame, hints: Sequence[tuple[str, str]]) -> DataFrame:
+    """folder, name, kind: where a file or folder of a hinted name stands, once for each folder that it stands in, of files(path)."""
+    listed = F.broadcast(files.sparkSession.createDataFrame(list(hints), "name string, kind string"))
+    parts = F.split("path", "/")
+    places = F.transform(parts, lambda p, i: F.struct(p.alias("name"), i.alias("i")))
+    wanted = F.filter(places, lambda p: p["name"].isin(*[n for n, _ in hints]))
+    hits = files.select(parts.alias("parts"), F.explode(wanted).alias("p")).select(F.array_join(F.slice("parts", 1, F.col("p.i")), "/").alias("folder"), "p.name").distinct()
+    return hits.join(listed, "name").select("folder", "name", "kind")
