@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators import rules
+from glyphmill.operators.reports import declared_layouts
 from glyphmill.plans.registry import LINES, query, table
 
 #: The rules for the driver's documents, which are not Japanese: the same rules over Latin letters and marks.
@@ -94,13 +95,15 @@ def judged(spark, d):
     """The documents, and the findings of all rules against ledgers, reports, claims and allowed lines that are derived from the documents."""
     docs = table(spark, d, "documents")
     first = F.split("text", "\n")[0]
-    allowed = docs.select("doc_id", F.explode(F.array(F.lit("Of."), F.lit("And ornd."))).alias("line"))
-    ledger = docs.where("lang <> 'fr'").select("doc_id", F.explode(F.split(first, "")).alias("ch"))
-    declared = F.when(F.col("doc_id") % 11 == 0, "Layout: dual\nLayout: single").when(F.col("lang") == "fr", "Notes\nlayout: dual").when(F.col("lang") == "es", "A dual layout.").otherwise("Layout: single")
+    allowed = F.array(F.lit("Of."), F.lit("And ornd."))
+    ledger = F.when(F.col("lang") != "fr", F.array_distinct(F.split(first, "")))
+    layout = F.when(F.col("doc_id") % 11 == 0, "Layout: dual\nLayout: single").when(F.col("lang") == "fr", "Notes\nlayout: dual").when(F.col("lang") == "es", "A dual layout.").otherwise("Layout: single")
     claimed = F.when(F.col("source") == "src1", F.upper("text")).otherwise(F.col("text"))
-    claims = docs.select("doc_id", (F.col("n_chars") % 40).alias("rows"), F.sha2(claimed, 256).alias("sha256"))
+    claims = F.array(F.struct((F.col("n_chars") % 40).alias("rows"), F.sha2(claimed, 256).alias("sha256")))
+    # One row per document, as rules.declarations() gives it for tables that stand apart.
+    declared = docs.select("doc_id", allowed.alias("allowed"), ledger.alias("ledger"), F.array(declared_layouts(layout)).alias("reports"), claims.alias("claims"))
     own = docs.select("doc_id", "text", (F.col("doc_id") % 7 != 0).alias("marked"))
-    return docs, rules.findings(own, LATIN, allowed, ledger, None, docs.select("doc_id", declared.alias("text")), claims)
+    return docs, rules.findings(own, LATIN, declared=declared)
 
 
 @query(f"WITH {_FINDINGS} SELECT * FROM findings")

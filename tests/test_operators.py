@@ -224,6 +224,34 @@ def test_what_is_declared_elsewhere(spark):
     assert (1, "Q16_no_periods_declared") in {(r["doc_id"], r["rule_id"]) for r in rules.findings(spark.createDataFrame([(1, LONG)], "doc_id long, text string"), rules.Profile(no_final_period=True)).collect()}
 
 
+def test_rules_in_one_pass(spark):
+    lines = ["a", "b", "ab", "abab", "", "ab", "x", "abx", "(", "(＾", "b"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (1, "(\n("), (2, ""), (None, "("), (5, "a\naa\naaa\naaaaaa\n")], "doc_id long, text string")
+
+    def plain(own):
+        n = 0
+        for i, x in enumerate(own):
+            rest, k, j = x, 0, i - 1
+            while rest and j >= 0 and own[j] and rest.endswith(own[j]):
+                rest, k, j = rest[: len(rest) - len(own[j])], k + 1, j - 1
+            n += bool(x) and not rest and k >= 2
+        return n
+
+    rows = rules.annotated(docs, rules.Profile()).select(rules.joined_rows("own").alias("j"), "own")
+    got = rows.collect()
+    assert [len(r["j"]) for r in got] == [plain(r["own"]) for r in got] and sum(len(r["j"]) for r in got) == 5
+    # Rows of one doc_id are judged one by one, a null id has no declarations, equal declarations count once.
+    allowed = spark.createDataFrame([(1, "("), (1, "("), (None, "(")], "doc_id long, line string")
+    claims = spark.createDataFrame([(2, 7, None), (2, 7, None), (2, 8, None)], "doc_id long, rows long, sha256 string")
+    declared = {r["doc_id"]: r for r in rules.declarations(allowed, None, None, claims).collect()}
+    assert declared[1]["allowed"] == ["("] and declared[1]["claims"] is None and len(declared[2]["claims"]) == 2 and set(declared) == {1, 2}
+    found = [(r["doc_id"], r["rule_id"], r["count"]) for r in rules.findings(docs, allowed=allowed, claims=claims).collect()]
+    assert [f for f in found if f[1].startswith("Q9")] == [(None, "Q9_pair_()", 1)]
+    assert sorted(f for f in found if f[1] == "Q35_declared_rows") == [(2, "Q35_declared_rows", 0)] * 2
+    assert sorted(f[2] for f in [(r["doc_id"], r["rule_id"], r["count"]) for r in rules.findings(docs).collect()] if f[1] == "Q9_pair_()") == [1, 1, 2]
+    assert rules.findings(docs.limit(0), allowed=allowed).count() == 0
+
+
 def test_text_functions(spark):
     one = spark.createDataFrame([("　 a<b>b</b>あ 　", "x10y2", ["A", "B"])], "t string, n string, v array<string>")
     c = F.col("t")
