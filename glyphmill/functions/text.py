@@ -86,6 +86,16 @@ def strip_markup(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]*>", "")
 
 
+def tag_names(c: Column) -> Column:
+    """Names of the tags in order, with the slash of closing ones; a `>` inside quotes ends no tag."""
+    return F.regexp_extract_all(c, F.lit(r"""<(/?[A-Za-z][A-Za-z0-9]*)(?:[^>"']|"[^"]*"|'[^']*')*+>"""), 1)
+
+
+def strip_indent(c: Column) -> Column:
+    """Without blanks, tabs and ideographic spaces at the start of the line; white space elsewhere stays."""
+    return F.regexp_replace(c, rf"^[ \t{IDEOGRAPHIC_SPACE}]+", "")
+
+
 def keep_ruby_base(c: Column) -> Column:
     """<ruby=reading>base</ruby> to base."""
     return F.regexp_replace(c, "<ruby=[^>]*>(.*?)</ruby>", "$1")

@@ -13,6 +13,19 @@ def charset(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return chars.groupBy(*by, "ch").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
+def with_context(ledger: DataFrame, rows: DataFrame, width: int = 20) -> DataFrame:
+    """ledger(ch, n, first_line) with `context`: up to `width` characters on both sides of the character in the line where it stands first (of equal line numbers the smallest line).
+
+    A ledger without groups has at most a row per code point, so it is broadcast; rows whose number is nobody's first line drop out there.
+    """
+    first = F.broadcast(ledger.select("ch", F.col("first_line").alias("line_no")))
+    lines = rows.select("line_no", "line").join(first, "line_no").where(F.col("line").contains(F.col("ch")))
+    at = F.instr("line", F.col("ch"))
+    begin = F.greatest(at - width, F.lit(1))
+    context = F.substring("line", begin, at + width - begin + 1)
+    return ledger.join(lines.groupBy("ch").agg(F.min(F.struct("line", context.alias("context")))["context"].alias("context")), "ch", "left")
+
+
 def fresh(ledger: DataFrame, approved: DataFrame) -> DataFrame:
     """The ledger's characters that `approved` (ch) doesn't have."""
     return ledger.join(approved.select("ch").distinct(), "ch", "left_anti")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators import dedupe, ledger, lines, repair, reports, resolve, similarity
+from glyphmill.operators import dedupe, ledger, lines, policies, repair, reports, resolve, similarity
 from glyphmill.plans.registry import LINES, query, table
 from glyphmill.sources import identify
 
@@ -133,18 +133,23 @@ def inferred_names(spark, d):
     f"""WITH {LINES} SELECT doc_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^[0-9 .,]+$') THEN 'numeric' WHEN regexp_matches(line, '[%$#&*]{{3}}') THEN 'junk' WHEN line IN ('And.', 'Of.', 'The.', 'As.') THEN 'listed' ELSE 'text' END AS kind, count(*) AS n FROM l GROUP BY ALL"""
 )
 def noise_flags(spark, d):
-    c = F.col("line")
-    kind = F.when(F.trim(c) == "", "blank").when(c.rlike("^[0-9 .,]+$"), "numeric").when(c.rlike("[%$#&*]{3}"), "junk").when(c.isin("And.", "Of.", "The.", "As."), "listed").otherwise("text")
+    kind = policies.noise_kind(F.col("line"), ("And.", "Of.", "The.", "As."), ("[%$#&*]{3}",))
     return doc_lines(spark, d).groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH p(source, keep) AS (VALUES ('src1', true), ('src2', false), ('src3', true)) SELECT d.source, coalesce(keep, lang = 'en') AS kept, count(*) AS n FROM documents d LEFT JOIN p ON p.source = d.source GROUP BY ALL"""
+    """WITH j AS (SELECT source, avg(quality) AS q, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source), p AS (SELECT source, q >= (SELECT avg(quality) FROM labels) AS keep FROM j WHERE source <> 'src0')
+SELECT d.source, coalesce(keep, lang = 'en', false) AS kept, CASE WHEN keep THEN 'included' WHEN NOT keep THEN 'excluded' ELSE 'default' END AS reason, count(*) AS n FROM documents d LEFT JOIN p ON p.source = d.source GROUP BY ALL"""
 )
 def policy_filter(spark, d):
-    policy = {"src1": True, "src2": False, "src3": True}
-    keep = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in policy.items()], F.col("lang") == "en")
-    return table(spark, d, "documents").groupBy("source", keep.alias("kept")).agg(F.count("*").alias("n"))
+    """Policies as JSON documents, one a source: sources of labelled quality at or above the mean are included, the others excluded, one stays by default."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    mean = labels.agg(F.avg("quality").alias("mean"))
+    good = docs.join(labels.select("doc_id", "quality"), "doc_id").where("source <> 'src0'").groupBy("source").agg(F.avg("quality").alias("q")).join(F.broadcast(mean)).select("source", (F.col("q") >= F.col("mean")).alias("keep"))
+    listed = lambda on: F.when(on, F.array("source")).otherwise(F.array().cast("array<string>"))
+    files = good.select(F.to_json(F.struct(listed(F.col("keep")).alias("include"), listed(~F.col("keep")).alias("exclude"))).alias("text"))
+    rows = policies.decided(docs.select("source", "lang"), policies.policy_table(files), "source", F.col("lang") == "en")
+    return rows.groupBy("source", "kept", "reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, list_sort(list(doc_id))[1:4] AS sample, count(*) AS n FROM documents GROUP BY source")

@@ -23,6 +23,16 @@ def charset_ledger(spark, d):
     return ledger.charset(doc_lines(spark, d))
 
 
+@query(
+    f"""WITH {LINES}, c AS (SELECT ch, count(*) AS n, min(line_no) AS first_line FROM (SELECT line_no, unnest(string_split(line, '')) AS ch FROM l) WHERE ch <> '' GROUP BY ch),
+f AS (SELECT ch, n, first_line, min(line) AS line FROM c JOIN l ON line_no = first_line AND contains(line, ch) GROUP BY ALL)
+SELECT ch, n, first_line, substr(line, greatest(strpos(line, ch) - 8, 1), strpos(line, ch) + 9 - greatest(strpos(line, ch) - 8, 1)) AS context FROM f"""
+)
+def charset_context(spark, d):
+    rows = doc_lines(spark, d)
+    return ledger.with_context(ledger.charset(rows), rows, 8)
+
+
 @query(
     f"""WITH {LINES}, c AS (SELECT line_no, unnest(string_split(line, '')) AS ch FROM l), b AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM benchmark)
 SELECT ch, count(*) AS n, min(line_no) AS first_line FROM c WHERE ch <> '' AND ch NOT IN (SELECT ch FROM b) GROUP BY ch"""
@@ -54,12 +64,11 @@ def strip_markup(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT page_id, regexp_extract_all(html, '<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>', 1) AS tags FROM pages)
+    """WITH t AS (SELECT page_id, regexp_extract_all(html, '<(/?[A-Za-z][A-Za-z0-9]*)(?:[^>"'']|"[^"]*"|''[^'']*'')*>', 1) AS tags FROM pages)
 SELECT page_id, unnest(tags) AS tag, CAST(generate_subscripts(tags, 1) AS BIGINT) AS pos FROM t"""
 )
 def page_tags(spark, d):
-    tags = F.regexp_extract_all("html", F.lit("<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>"), 1)
-    return table(spark, d, "pages").select("page_id", F.posexplode(tags).alias("at", "tag")).select("page_id", (F.col("at") + 1).cast("long").alias("pos"), "tag")
+    return table(spark, d, "pages").select("page_id", F.posexplode(T.tag_names(F.col("html"))).alias("at", "tag")).select("page_id", (F.col("at") + 1).cast("long").alias("pos"), "tag")
 
 
 @query(
