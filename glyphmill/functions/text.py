@@ -168,12 +168,10 @@ def slug(c: Column) -> Column:
     return F.replace(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}\s_-]", ""), F.lit(" "), F.lit("-"))
 
 
-def gram_list(c: Column, n: int, piece: int = 256) -> Column:
-    """Character n-grams in order; the whole text where it is shorter. Long texts are cut into overlapping pieces first, so each gram is found near the start of its piece."""
+def gram_list(c: Column, n: int) -> Column:
+    """Character n-grams in order, found in one pass; the whole text where it is shorter, none of an empty one."""
     whole = F.when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
-    own = lambda p: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{1,{piece + n - 1}}})).{{1,{piece}}}"), 1)
-    return F.when(F.length(c) < n, whole).when(F.length(c) <= 2 * piece, own(c)).otherwise(F.flatten(F.transform(pieces, own)))
+    return F.when(F.length(c) < n, whole).otherwise(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), 1))
 
 
 def grams(c: Column, n: int) -> Column:

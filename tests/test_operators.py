@@ -70,6 +70,14 @@ def test_ranges(spark):
     assert sorted(r["i"] for r in got.collect()) == [i for i, s, n in spans if any(s < t + m and t < s + n for t, m in other if m) and n]
 
 
+def test_grams_of_long_and_rare_texts(spark):
+    texts = ["", "a", "ab", "a\nb\r\nc", "𠮟a𠮟𠮟b", "é" * 5, "\x00 \u2028x", None, "".join(chr(97 + i * i % 26) + ("𠮟" if i % 7 == 0 else "") for i in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    for n in (1, 3, 12):
+        got = [r[0] for r in rows.select(T.gram_list(F.col("t"), n)).collect()]
+        assert got == [None if t is None else [t[k : k + n] for k in range(len(t) - n + 1)] if len(t) >= n else [t] if t else [] for t in texts]
+
+
 def test_containment_and_coverage(spark):
     got = joins.containment(spark.createDataFrame([(1, "abcdef"), (2, "zzzz")], "line_id int, line string"), spark.createDataFrame([(7, "xxabcdexx"), (8, "cdef"), (9, "abcdexx")], "item_id int, text string"), 3)
     assert [tuple(r) for r in got.collect()] == [(1, 7, 3, 0.75)]
