@@ -42,6 +42,37 @@ def overlap_of_bits(a: Column, b: Column) -> Column:
     return F.when(any_ > 0, both / any_).otherwise(F.lit(1.0))
 
 
+def glyph_rows(bits: Column, width: int) -> Column:
+    """A picture of 0 and 1, row after row, as one long per row (at most 62 columns); its first column is the highest bit. A rest shorter than a row is left out."""
+    row = lambda y: F.aggregate(F.slice(bits, y * width + 1, F.lit(width)), F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))
+    rows = F.transform(F.sequence(F.lit(1), F.floor(F.size(bits) / width).cast("int")), lambda n: row(n - 1))
+    return F.when(F.size(bits) >= width, rows).when(bits.isNotNull(), F.array().cast("array<bigint>"))
+
+
+def shifted_glyphs(rows: Column, width: int, reach: int = 2) -> Column:
+    """An array of a picture moved by up to `reach` rows and columns each way; what is moved in is 0."""
+    mask = F.lit((1 << width) - 1).cast("long")
+
+    def row(down: int):
+        return lambda _, y: F.coalesce(F.get(rows, y + down), F.lit(0).cast("long"))
+
+    def across(k: int):
+        return lambda r: F.shiftleft(r, k).bitwiseAND(mask) if k > 0 else F.shiftright(r, -k) if k < 0 else r
+
+    moves = range(-reach, reach + 1)
+    out = [F.transform(F.transform(rows, row(down)), across(k)) for down in moves for k in moves]
+    return F.array(*out)
+
+
+def glyph_overlap(rows: Column, shifted: Column, width: int) -> Column:
+    """The greatest share of common dots in all dots of a picture, or of its inversion, and the moved pictures; null where none has a dot."""
+    mask = F.lit((1 << width) - 1).cast("long")
+    dots = lambda a, b, of: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(of(x, y))), F.lit(0), lambda n, k: n + k)
+    share = lambda a, b: F.try_divide(dots(a, b, Column.bitwiseAND), dots(a, b, Column.bitwiseOR))
+    best = lambda a: F.array_max(F.transform(shifted, lambda s: share(a, s)))
+    return F.greatest(best(rows), best(F.transform(rows, lambda r: r.bitwiseXOR(mask))))
+
+
 #: Numbers of all means that are broadcast at once.
 MEANS_AT_ONCE = 2_000_000
 

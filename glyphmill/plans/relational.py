@@ -174,3 +174,21 @@ def glyph_rank(spark, d):
     means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
     bits = rows.select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("v"))
     return similarity.best_mean(bits, means.withColumnRenamed("label", "l"), similarity.overlap_of_bits, "vec_id", "v")
+
+
+@query(
+    """WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS v FROM embeddings), m AS (SELECT label, i, CAST(avg(x) > 0 AS INTEGER) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+c AS (SELECT label AS l, list(x ORDER BY i) AS mean FROM m GROUP BY label), t AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
+g AS (SELECT l, list_transform(range(len(mean)), lambda i: CASE WHEN i // 8 + dy BETWEEN 0 AND len(mean) // 8 - 1 AND i % 8 + dx BETWEEN 0 AND 7 THEN mean[i + 8 * dy + dx + 1] ELSE 0 END) AS s FROM c, t),
+a AS (SELECT vec_id, v FROM b UNION ALL SELECT vec_id, list_transform(v, lambda x: 1 - x) FROM b),
+r AS (SELECT vec_id, l, round(max(list_sum(list_transform(list_zip(v, s), lambda z: least(z[1], z[2]))) / nullif(list_sum(list_transform(list_zip(v, s), lambda z: greatest(z[1], z[2]))), 0)), 9) AS score FROM a, g GROUP BY ALL)
+SELECT vec_id, arg_min(l, (-score, l)) AS best, max(score) AS score FROM r GROUP BY vec_id"""
+)
+def glyph_shift_rank(spark, d):
+    """Vectors as pictures of eight columns against the labels' mean pictures, moved by up to two rows and columns and inverted."""
+    rows = table(spark, d, "embeddings")
+    parts = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg((F.avg(F.col("x").cast("double")) > 0).cast("int").alias("x"))
+    means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("mean"))
+    moved = means.select(F.col("label").alias("l"), similarity.glyph_rows(F.col("mean"), 8).alias("r")).select("l", similarity.shifted_glyphs(F.col("r"), 8).alias("mean"))
+    drawn = rows.select("vec_id", similarity.glyph_rows(F.transform("embedding", lambda x: (x > 0).cast("int")), 8).alias("v"))
+    return similarity.best_mean(drawn, moved, lambda v, m: similarity.glyph_overlap(v, m, 8), "vec_id", "v")
