@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,10 +12,82 @@ from pyspark.sql.types import DoubleType
 from glyphmill.session import durable
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all characters; null where a side is."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+#: Pieces of one length are held as texts up to this number of characters, and as their hashes beyond.
+HELD = 1 << 22
+
+
+def longest_common(a: str, b: str) -> tuple[int, int, int]:
+    """Where the longest text that both hold stands in a and in b, and its length: of equal ones the first in a, and there the first in b.
+
+    All pieces of one length of b are a set, in which those of a are looked up. A hit is followed as far as it goes, and a greater length tried.
+    """
+    at, size, step = 0, 0, 1
+    while step:
+        k = size + step
+        if k <= min(len(a), len(b)):
+            held = k * len(b) <= HELD
+            pieces = {b[j : j + k] for j in range(len(b) - k + 1)} if held else {hash(b[j : j + k]) for j in range(len(b) - k + 1)}
+            for i in range(len(a) - k + 1):
+                piece = a[i : i + k]
+                # Hashes of different texts may agree.
+                if (piece in pieces) if held else (hash(piece) in pieces and piece in b):
+                    j = b.index(piece)
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    break
+            else:
+                k = 0
+            if k:
+                at, size, step = i, k, 2 * step
+                continue
+        step //= 2
+    return at, b.find(a[at : at + size]), size
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of a longest common subsequence: a row of its table is one number, whose zero bits are where the row rises."""
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for c in a:
+        if both := row & places.get(c, 0):
+            row = (row + both | row - both) & full
+    return len(b) - row.bit_count()
+
+
+def matched_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """SequenceMatcher's ratio without its junk: the longest common text, then the same on both sides of it. A ratio below `least` may come out as 0.
+
+    What matches is a common subsequence, so it has no more characters than both texts share in any order, or than the longest ones of all parts that are still open.
+    """
+    total = len(a) + len(b)
+    if a == b:
+        return 1.0
+    under = lambda n: 2.0 * n / total < least
+    if least and (under(min(len(a), len(b))) or under((Counter(a) & Counter(b)).total())):
+        return 0.0
+    most = common_length if least else lambda x, y: min(len(x), len(y))
+    may = most(a, b)
+    same, open_ = 0, [(may, a, b)]
+    while open_ and not under(may):
+        bound, a, b = open_.pop()
+        i, j, k = longest_common(a, b)
+        sides = [(most(x, y), x, y) for x, y in ((a[:i], b[:j]), (a[i + k :], b[j + k :])) if k and x and y]
+        same, may = same + k, may + k + sum(x[0] for x in sides) - bound
+        # The larger part comes first.
+        open_ += sorted(sides, key=lambda x: x[0])
+    return 0.0 if under(may) else 2.0 * same / total
+
+
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Twice the matched characters over all characters; null where a side is. Ratios below `least` may come out as 0."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else matched_ratio(x, y, least) for x, y in zip(a, b)], dtype="float64")
+
+    return run(a, b)
 
 
 def ratio_at_most(a: Column, b: Column) -> Column:
@@ -27,7 +99,7 @@ def similar_neighbours(rows: DataFrame, key: str, order: str, text: str, least:
     """key, order, text, next, ratio of neighbours as similar as `least`; the bound by lengths comes before the UDF."""
     rows = rows.withColumn("next", F.lead(text).over(Window.partitionBy(key).orderBy(order)))
     rows = rows.where((F.length(text) > 0) & (F.length("next") > 0) & (ratio_at_most(F.col(text), F.col("next")) >= least))
-    return rows.select(key, order, text, "next", ratio(F.col(text), F.col("next")).alias("ratio")).where(F.col("ratio") >= least)
+    return rows.select(key, order, text, "next", ratio(F.col(text), F.col("next"), least).alias("ratio")).where(F.col("ratio") >= least)
 
 
 def cosine(a: Column, b: Column) -> Column:

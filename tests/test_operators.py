@@ -1,4 +1,5 @@
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -134,6 +135,29 @@ def test_graphs(spark):
     assert [r["node"] for r in graph.orphans(spark.createDataFrame([(0,), (9,)], "node int"), reached).collect()] == [9]
 
 
+def test_ratio_is_that_of_plain_matching(monkeypatch):
+    rng = random.Random(11)
+    for held in (similarity.HELD, 0):
+        monkeypatch.setattr(similarity, "HELD", held)
+        for _ in range(400):
+            signs = rng.choice(["ab", "abc ", "abcdefghij"])
+            a = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
+            b = "".join(rng.choice(signs) if rng.random() < 0.2 else c for c in a) if rng.random() < 0.5 else "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
+            want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+            assert similarity.matched_ratio(a, b) == want
+            for least in (0.3, 0.6, 0.82):
+                got = similarity.matched_ratio(a, b, least)
+                assert got == want or max(got, want) < least
+
+
+def test_long_lines_are_compared_in_time():
+    rng = random.Random(12)
+    a, b = ("".join(rng.choice("ab") for _ in range(8000)) for _ in range(2))
+    begun = time.process_time()
+    assert similarity.matched_ratio(a, a[:4000] + "!" + a[4001:], 0.6) == 2 * 7999 / 16000
+    assert similarity.matched_ratio(a, b, 0.95) == 0 and time.process_time() - begun < 5
+
+
 def test_similar_neighbours(spark):
     texts = ["hello there", "hello thera", "something else", ""]
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k int, pos int, text string")
