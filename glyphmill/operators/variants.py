@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,26 +22,51 @@ BLANK = " 　\t"
 LEAST_SIDE, LEAST_COMMON, COMMON_SHARE = 4, 6, 0.35
 WHOLE_SHARE, WHOLE_BONUS, LOST_RUN = 0.8, 6, 8
 LEAST_ONE, LEAST_MERGED, LEAST_LINE = 0.45, 0.75, 0.4
+#: Rows of the table of common subsequences that are held at once.
+ROWS = 4096
+
+
+def _rows(x: str, signs: dict[str, int], row: int, full: int) -> list[int]:
+    """A row of the table for each character of x, from the row before on."""
+    out = []
+    for c in x:
+        if both := row & signs.get(c, 0):
+            row = (row + both | row - both) & full
+        out.append(row)
+    return out
 
 
 def common_places(a: str, b: str) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence. What both begin and end with is in one; between, a row of the table is one sweep: the best with this character or without, then the running maximum."""
+    """Places of a longest common subsequence. What both begin and end with is in one; between, a row of the table is one number, whose zero bits are where it rises.
+
+    Rows are held in blocks of `ROWS`: the way back makes each block again from the row before it.
+    """
     short = min(len(a), len(b))
     head = next((k for k in range(short) if a[k] != b[k]), short)
     tail = next((k for k in range(short - head) if a[-1 - k] != b[-1 - k]), short - head)
-    x, y = (np.frombuffer(t[head : len(t) - tail].encode("utf-32-le"), np.uint32) for t in (a, b))
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, c in enumerate(x):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (y == c)))
+    x, y = (t[head : len(t) - tail] for t in (a, b))
+    signs: dict[str, int] = {}
+    for j, c in enumerate(y):
+        signs[c] = signs.get(c, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    before = [full]
+    for k in range(0, len(x) - ROWS, ROWS):
+        before.append(_rows(x[k : k + ROWS], signs, before[-1], full)[-1])
     out, i, j = [], len(x), len(y)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((head + i, head + j))
+    while before and j:
+        first = len(before) * ROWS - ROWS
+        rows = [before[-1], *_rows(x[first:i], signs, before.pop(), full)]
+        value = j - (rows[i - first] & ((1 << j) - 1)).bit_count()
+        while value and i > first:
+            if (rows[i - first - 1] & ((1 << j) - 1)).bit_count() == j - value:
+                i -= 1
+            elif rows[i - first] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i, j, value = i - 1, j - 1, value - 1
+                out.append((head + i, head + j))
+        if not value:
+            break
     return [*((k, k) for k in range(head)), *out[::-1], *((len(a) - k, len(b) - k) for k in range(tail, 0, -1))]
 
 
@@ -61,36 +85,36 @@ def aligned(a: str, b: str) -> tuple[str, int, int]:
     return "".join(out), len(places), lost
 
 
-class Plain(NamedTuple):
-    """A row's characters with each name as one sign and no blanks, and where each stands in the row."""
-
-    text: str
-    places: list[int]
-
-
 class Repair:
     """One round of repair for rows with these names. `full` is the name that stays."""
 
     def __init__(self, names: Iterable[str], full: str, least: int):
         names = sorted({full, *names} - {""}, key=len, reverse=True)
         self.least, self.sign = least, re.compile("|".join(map(re.escape, names)) + r"|[\s\S]" if names else r"[\s\S]")
+        self.known = re.compile("|".join(map(re.escape, names))) if names else None
         self.names = set(names)
         self.full = Names([(x, full, full[len(x) :] if full.startswith(x) else "") for x in names if full])
 
-    def plain(self, line: str) -> Plain:
-        found = [(m.start(), "@" if m[0] in self.names else m[0]) for m in self.sign.finditer(line)]
-        found = [(at, x) for at, x in found if not x.isspace()]
-        return Plain("".join(x for _, x in found), [at for at, _ in found])
+    def plain(self, line: str) -> str:
+        """A row's characters with each name as one sign and no blanks."""
+        return "".join((self.known.sub("@", line) if self.known else line).split())
+
+    def place(self, line: str, k: int) -> int:
+        """Where the k-th sign of the plain row stands in the row."""
+        signs = (m.start() for m in self.sign.finditer(line) if m[0] in self.names or not m[0].isspace())
+        return next(islice(signs, k, None))
 
     def repeat(self, line: str) -> int | None:
         """Where the first run of `least` signs that stood before begins."""
-        text, places = self.plain(line)
+        text, least = self.plain(line), self.least
+        runs = [text[k : k + least] for k in range(len(text) - least + 1)]
+        if len(set(runs)) == len(runs):
+            return None
         seen = set()
-        for k in range(len(text) - self.least + 1):
-            own = text[k : k + self.least]
+        for k, own in enumerate(runs):
             if own in seen:
                 # Its first appearance comes first in the order of appearances; the earliest second one is this.
-                return places[k]
+                return self.place(line, k)
             seen.add(own)
         return None
 
@@ -151,6 +175,9 @@ def repaired(rows: DataFrame, names: Iterable[str], full: str, least: int = 10,
         for some in lines:
             yield pd.DataFrame([repair.once(x) for x in some], columns=["line", "how"])
 
+    # A filter on what it gives would run it once more for the rows that stay.
+    run = run.asNondeterministic()
+
     @F.pandas_udf("boolean")
     def repeats(lines: pd.Series) -> pd.Series:
         return lines.map(lambda x: repair.repeat(x) is not None)

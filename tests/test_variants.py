@@ -1,6 +1,9 @@
 """Aligned merging and repair to a fixpoint, against plain versions."""
 
 import random
+import tracemalloc
+
+import pytest
 
 from glyphmill.operators import variants
 
@@ -31,6 +34,45 @@ def test_alignment():
     assert variants.aligned("abc", "abc") == ("abc", 3, 0) and variants.aligned("", "x") == ("x", 0, 0) and variants.aligned("xyz", "") == ("xyz", 0, 3)
 
 
+def walked_back(a, b):
+    """The way back through the whole table: up where that loses nothing, else left, else both."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (x == y))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("held", [1, 3, 4096])
+def test_rows_in_blocks_keep_the_way(monkeypatch, held):
+    monkeypatch.setattr(variants, "ROWS", held)
+    rng = random.Random(21)
+    for _ in range(300):
+        # Different ends, so nothing is set aside before the table.
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        assert variants.common_places("x" + a + "x", "y" + b + "y") == [(i, j) for i, j in walked_back("x" + a + "x", "y" + b + "y")]
+
+
+def test_long_rows_need_no_whole_table():
+    rng = random.Random(22)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(9000)) for _ in range(2))
+    tracemalloc.start()
+    places = variants.common_places(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole table takes 324 MB.
+    assert len(places) > 4000 and all(a[i] == b[j] for i, j in places) and peak < 40e6
+
+
 def test_repair(spark):
     long = "そなたは誰に仕えるつもりなのか聞かせてもらおう。"
     cases = {
