@@ -61,7 +61,7 @@ def record_chains(spark, d):
     record = lambda x, i: F.concat(little(size(x)), F.hex(F.encode(x, "UTF-8")), F.when(i % 7 == 3, _DAMAGE.hex()).otherwise(""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
     files = table(spark, d, "documents").select("doc_id", F.unhex(F.array_join(F.transform(lines, record), "")).alias("content"))
-    found = records.record_chains(files, records.Prefix(high=1 << 24), key="doc_id")
+    found = records.record_chains(files, records.Prefix(high=1 << 24), key="doc_id", inner=True)
     return found.withColumn("payload", F.md5("payload"))
 
 

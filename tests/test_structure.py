@@ -173,6 +173,22 @@ def test_damage_costs_only_what_it_hit(spark):
     assert next(r for r in rows if r[0] == "skipped")[1:3] == (sum(map(len, parts[:7])), len(parts[7]))
 
 
+def test_a_place_beside_a_record_hides_none():
+    one = lambda n: struct.pack("<I", n) + b"x" * n
+    # Behind the damage, the last foreign byte and a length of 1 read as 511: that lands on the longer chain behind the next damage.
+    parts = [one(9), b"\xff" * 5, one(1), one(20), one(480), b"\xff" * 5, one(7), one(7), one(7), one(7)]
+    assert len(b"".join(parts[2:5])) + len(parts[5]) <= 518
+    parts[4] = one(514 - len(parts[2]) - len(parts[3]) - 5 - 4)
+    want, here = [], 0
+    for x in parts:
+        want.append(("skipped" if x[0] == 255 else "record", here, len(x)))
+        here += len(x)
+    content = b"".join(parts)
+    prefix = records.Prefix(high=1 << 24)
+    assert [x[:3] for x in records.chains(content, prefix, 1, inner=True)] == want
+    assert [x[:3] for x in records.chains(content, prefix, 1)] != want
+
+
 # Conditions
 
 
