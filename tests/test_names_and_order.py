@@ -79,3 +79,17 @@ def test_streams_out_of_order(spark):
     # What waits is later than everything that went out.
     at = {r["event_id"]: r["ts"] for r in events}
     assert max(at[k] for k in got) < min(at[k] for k in want if k not in got)
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        written = ordered.spans(spark, str(tmp_path))
+        folder = sampler.run_now(ordered.folders(spark, str(tmp_path), written).select("event_id"), "append")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert written[1] == 3 and len(list(Path(written[0].removeprefix("file:")).glob("file=*/*.parquet"))) == 3 * ordered.FILES
+    assert folder.select("batch").distinct().count() == ordered.FILES and folder.count() == events.count()
