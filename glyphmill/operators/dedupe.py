@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.lines import each_document
+
 
 def common_blocks(rows: DataFrame, width: int = 12, least_docs: int = 4, key: str = "doc_id") -> DataFrame:
     """key, line_no of lines in `width`-line shingles that `least_docs` documents or more hold, except in the smallest of them."""
@@ -53,6 +54,9 @@ def folded(rows: DataFrame, most: int = 120, key: str = "doc_id") -> DataFrame:
 def drop_earlier_repeats(lines: list[str], least: int = 5) -> list[int]:
     """Places that stay when every longest run of `least` lines or more goes that stood before as a whole, and apart from it."""
     number = {x: k for k, x in enumerate(dict.fromkeys(lines))}
+    if len(lines) - len(number) < least:
+        # A run of `least` lines that stood before would repeat as many.
+        return list(range(len(lines)))
     own = np.array([number[x] for x in lines], np.int64)
     starts: dict[bytes, list[int]] = {}
     keep, i, known = [], 0, 0
@@ -78,13 +82,12 @@ def drop_earlier_repeats(lines: list[str], least: int = 5) -> list[int]:
 
 
 def by_document(rows: DataFrame, keep, key: str = "doc_id") -> DataFrame:
-    """rows(key, line_no, line) that `keep` (lines to places) leaves in each document. A document is one group."""
+    """rows(key, line_no, line) that `keep` (lines to places) leaves in each document."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("line_no")
-        return own.iloc[keep(own["line"].tolist())]
+    def run(numbers: list[int], lines: list[str]) -> list[tuple[int, str]]:
+        return [(numbers[k], lines[k]) for k in keep(lines)]
 
-    return rows.select(key, "line_no", "line").groupBy(key).applyInPandas(run, rows.select(key, "line_no", "line").schema)
+    return each_document(rows, run, key)
 
 
 def smallest_period(items: Column) -> Column:

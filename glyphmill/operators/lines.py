@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,22 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: s
     return docs.select(key, F.posexplode(F.split(text, separator)).alias("at", "line")).select(key, (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
+def each_document(rows: DataFrame, run, key: str = "doc_id") -> DataFrame:
+    """key, line_no, line: what `run` (line numbers and lines of a document, in order, to pairs of both) makes of each document of rows(key, line_no, line).
+
+    Many documents go to Python at once, each as a row of arrays.
+    """
+
+    @F.pandas_udf("array<struct<line_no: bigint, line: string>>")
+    def each(numbers: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([[{"line_no": n, "line": x} for n, x in run(list(a), list(b))] for a, b in zip(numbers, own)], dtype="object")
+
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_own"))
+    out = whole.select(key, F.explode(each(F.col("_own.line_no"), F.col("_own.line"))).alias("_r"))
+    kind = rows.schema["line_no"].dataType
+    return out.select(key, F.col("_r.line_no").cast(kind).alias("line_no"), F.col("_r.line").alias("line"))
+
+
 def filled(rows: DataFrame) -> DataFrame:
     return rows.where(~T.is_blank(F.col("line")))
 

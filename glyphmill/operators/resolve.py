@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.lines import each_document
 from glyphmill.session import durable
 
 
@@ -141,18 +141,22 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 def greedy_sentences(rows: DataFrame, most: int = 400, ends: str = "。．.!?！？」』）)】", key: str = "doc_id") -> DataFrame:
     """key, line_no, line: lines joined until one ends a sentence or the joined text reaches `most` characters."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        out, held, at = [], "", None
-        for n, line in own.sort_values("line_no")[["line_no", "line"]].itertuples(index=False):
-            at, held = (n if at is None else at), held + line
-            if held.rstrip()[-1:] in tuple(ends) or len(held) >= most:
-                out.append((at, held))
-                held, at = "", None
-        if held:
-            out.append((at, held))
-        return pd.DataFrame([(own[key].iloc[0], a, t) for a, t in out], columns=[key, "line_no", "line"])
-
-    return rows.select(key, "line_no", "line").groupBy(key).applyInPandas(run, rows.select(key, "line_no", "line").schema)
+    def run(numbers: list[int], lines: list[str]) -> list[tuple[int, str]]:
+        out, held, size, at = [], [], 0, None
+        for n, line in zip(numbers, lines):
+            at = n if at is None else at
+            held.append(line)
+            size += len(line)
+            # The last character that isn't blank, in this line or in one before.
+            last = next((x[-1:] for y in reversed(held) if (x := y.rstrip())), "")
+            if last in tuple(ends) or size >= most:
+                out.append((at, "".join(held)))
+                held, size, at = [], 0, None
+        if size:
+            out.append((at, "".join(held)))
+        return out
+
+    return each_document(rows, run, key)
 
 
 def transcribed(rows: DataFrame, transcripts: DataFrame, by: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
