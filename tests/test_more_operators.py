@@ -279,3 +279,11 @@ def test_means_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, similarity.nearest_centroid(rows).collect()))
     monkeypatch.setattr(similarity, "MEANS_AT_ONCE", 8)
     assert sorted(map(tuple, similarity.nearest_centroid(rows).collect())) == whole
+
+
+def test_folds_of_documents_make_no_group_each(spark):
+    """Groups of pandas cost a call a document; rows of arrays go to Python in batches."""
+    rows = rows_of(spark, ["a.\nb", "c"])
+    for own in (resolve.greedy_sentences(rows), dedupe.by_document(rows, dedupe.drop_earlier_repeats)):
+        plan = own._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
