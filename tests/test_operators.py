@@ -301,3 +301,11 @@ def test_components_and_calls(spark):
     assert got == {9: 2, 8: 2, 7: 2, 2: 2, 5: 4, 4: 4, 3: 3, **dict.fromkeys(range(20, 41), 20)}
     events = spark.createDataFrame([("a", 1, "x", None), ("a", 2, "call", "b"), ("a", 3, "y", None), ("b", 1, "in b", None), ("b", 2, "back", "a")], "node string, pos int, text string, callee string")
     assert [r["text"] for r in graph.expand_calls(events, "a").orderBy("path").collect()] == ["x", "call", "in b", "back", "y"]
+
+
+def test_low_bounds_are_kept_by_neighbours(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcde ") for _ in range(60)) for _ in range(8)]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "k int, pos int, text string")
+    want = {i: r for i, (a, b) in enumerate(zip(texts, texts[1:])) if (r := SequenceMatcher(None, a, b, autojunk=False).ratio()) >= 0.3}
+    assert {r["pos"]: r["ratio"] for r in similarity.similar_neighbours(rows, "k", "pos", "text", 0.3).collect()} == want and want
