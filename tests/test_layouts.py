@@ -42,6 +42,16 @@ def test_cover(spark):
     assert layouts.cover(df.limit(0)).count() == 0
 
 
+def test_cover_is_dealt_by_rows(spark, monkeypatch):
+    # However many rows there are, a task holds about as many; atoms that no page keeps aren't one task's.
+    monkeypatch.setattr(layouts, "ROWS_A_TASK", 25, raising=False)
+    pages = {3 * k: {k, 5000 + k} for k in range(100)} | {3 * k + 1: {k, 5000 + k, 7000 + k} for k in range(100)} | {3 * k + 2: {7000 + k, k, 5000 + k, 7001 + k} for k in range(99)}
+    out = layouts.cover(spark.createDataFrame([(p, a) for p, own in pages.items() for a in own], "page long, atom long"))
+    assert {r["page"]: (r["status"], r["parts"]) for r in out.collect()} == plain_cover(pages)
+    assert {r["size"] == len(pages[r["page"]]) for r in out.collect()} == {True}
+    assert out.rdd.getNumPartitions() >= 36
+
+
 def test_asof_within(spark):
     rng = random.Random(5)
     left = [(i, rng.randrange(3), rng.randrange(60)) for i in range(80)]
