@@ -1,18 +1,18 @@
 """Byte streams whose units have different widths: characters of several bytes, escapes that are dropped, controls with operands.
 
-The walk from unit to unit is one regular expression over the bytes read as Latin-1: an alternation that
-always fits takes exactly one unit a step, so a byte inside a unit is never taken for a control.
+The walk is one regular expression over the bytes: an alternation takes whole units a step and gives none back, so a byte
+inside a unit is never taken for a control.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-# Marks around what isn't text; none is a Latin-1 character.
-_DROP, _DROPPED, _CONTROL, _END = "Ā", "ā", "Ă", "ă"
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 
 @dataclass(frozen=True)
@@ -28,19 +28,18 @@ class Widths:
     controls: dict[int, int] = field(default_factory=lambda: {0x00: 0})
 
     @property
-    def pattern(self) -> str:
-        """Three groups: a character; an escape; a control with its operands, or the rest of a stream that ends inside a unit."""
+    def patterns(self) -> tuple[bytes, bytes]:
+        """Of a run (its units in a first group; then a control with its operands, or the rest of a stream that ends inside a unit), and of its units (characters in a group)."""
         one = lambda b: rf"\x{b:02X}"
         wide = [(f"[{one(a)}-{one(z)}]", n) for a, z, n in self.leads]
         special = "".join(c[1:-1] for c, _ in wide) + "".join(map(one, [*self.dropped, *self.controls]))
-        chars = [f"{c}.{{{n - 1}}}" for c, n in wide] + [f"[^{special}]" if special else "."]
-        drops = [f"{one(b)}.{{{n}}}" for b, n in self.dropped.items()] or ["(?!)"]
-        controls = [f"{one(b)}.{{{n}}}" for b, n in self.controls.items()]
-        return f"(?s)({'|'.join(chars)})|({'|'.join(drops)})|({'|'.join([*controls, '.+'])})"
+        chars = "|".join([f"{c}.{{{n - 1}}}" for c, n in wide] + [f"[^{special}]++" if special else "."])
+        drops = "|".join([f"{one(b)}.{{{n}}}" for b, n in self.dropped.items()] or ["(?!)"])
+        controls = "|".join([f"{one(b)}.{{{n}}}" for b, n in self.controls.items()] or ["(?!)"])
+        return f"(?s)((?:{chars}|{drops})*+)(?:({controls})|(.+))?".encode(), f"(?s)((?:{chars})++)|{drops}".encode()
 
 
-def _latin(c: Column) -> Column:
-    return F.encode(c, "ISO-8859-1")
+_RUNS = ArrayType(StructType().add("place", LongType()).add("text", BinaryType()).add("control", BinaryType()).add("operands", BinaryType()).add("error", StringType()))
 
 
 def mixed_width(streams: DataFrame, widths: Widths, key: str = "path", content: str = "content") -> DataFrame:
@@ -48,22 +47,28 @@ def mixed_width(streams: DataFrame, widths: Widths, key: str = "path", content:
 
     place: where the run starts in the stream, in bytes. text: its bytes without escapes, to be decoded. control, operands: binary, null for
     the last run of a stream that ends in text. A stream that ends inside a unit gives `control` its first byte, `operands` what is there
-    of the others, and an error. Null and empty streams have no rows.
+    of the others, and an error. Null and empty streams have no rows. Nothing is shuffled.
     """
-    marked = F.regexp_replace(F.decode(content, "ISO-8859-1"), F.lit(widths.pattern), F.lit(f"$1{_DROP}$2{_DROPPED}{_CONTROL}$3{_END}"))
-    marked = F.replace(F.replace(marked, F.lit(_DROP + _DROPPED), F.lit("")), F.lit(_CONTROL + _END), F.lit(""))
-    rows = streams.select(key, F.posexplode(F.split(marked, _END, -1)).alias("seq", "_piece")).where("_piece <> ''")
-    used = F.length(F.translate("_piece", _DROP + _DROPPED + _CONTROL, ""))
-    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    text, control = F.split_part("_piece", F.lit(_CONTROL), F.lit(1)), F.split_part("_piece", F.lit(_CONTROL), F.lit(2))
-    # A control whose operands aren't all there, or anything else that is no control, was cut by the end.
-    whole = F.lit(False)
-    for b, n in widths.controls.items():
-        whole = whole | ((F.ascii("_control") == b) & (F.length("_control") == n + 1))
-    rows = rows.withColumn("place", F.coalesce(F.sum(used).over(before), F.lit(0)).cast("long")).withColumn("_control", control)
-    there = F.length("_control") > 0
-    return rows.select(
-        key, "seq", "place", _latin(F.regexp_replace(text, f"{_DROP}[^{_DROPPED}]*{_DROPPED}", "")).alias("text"),
-        F.when(there, _latin(F.substring("_control", 1, 1))).alias("control"), F.when(there, _latin(F.expr("substring(_control, 2)"))).alias("operands"),
-        F.when(there & ~whole, "ends inside a unit").alias("error"),
-    )
+    patterns = widths.patterns
+
+    @F.arrow_udf(_RUNS)
+    def walk(content: pa.Array) -> pa.Array:
+        run, units = map(re.compile, patterns)
+        ends, place, text, control, operands, error = [0], [], [], [], [], []
+        for data in content.to_pylist():
+            for m in run.finditer(data or b""):
+                if m.end() > m.start():
+                    own, whole, cut = m.groups()
+                    last = cut if whole is None else whole
+                    place.append(m.start())
+                    text.append(b"".join(units.findall(own)))
+                    control.append(last and last[:1])
+                    operands.append(last and last[1:])
+                    error.append(cut and "ends inside a unit")
+            ends.append(len(place))
+        columns = [pa.array(place, pa.int64()), *(pa.array(x, pa.binary()) for x in (text, control, operands)), pa.array(error, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, _RUNS.elementType.names))
+
+    # explode() would have Spark filter by the array's size first, which walks the stream twice.
+    rows = streams.select(key, F.posexplode_outer(walk(F.col(content))).alias("seq", "_r")).where("_r is not null")
+    return rows.select(key, "seq", "_r.*")

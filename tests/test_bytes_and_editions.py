@@ -54,6 +54,13 @@ def test_mixed_widths(spark):
     assert [bytes(r["text"]) for r in one] == [b"\x83\x02x", b"y"] and bytes(one[0]["operands"]) == b"\0\0"
 
 
+def test_mixed_widths_stay_in_their_row(spark):
+    # Streams of one key each have their own places, and nothing is shuffled.
+    rows = streams.mixed_width(spark.createDataFrame([("a", b"xy\x00z"), ("a", b"\x1bq\x00" + 70_000 * b"w" + b"\x00v")], "path string, content binary"), streams.Widths())
+    assert sorted((r["seq"], r["place"], len(r["text"])) for r in rows.collect()) == [(0, 0, 0), (0, 0, 2), (1, 3, 1), (1, 3, 70_000), (2, 70_004, 1)]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def packed(members, magic=b"ARC0"):
     head, body, at = magic + struct.pack("<I", len(members)), b"", 8 + 40 * len(members)
     for name, data in members:
