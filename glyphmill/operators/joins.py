@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from glyphmill.functions import text as T
-from glyphmill.session import durable, hinted
+from glyphmill.session import BROADCAST_ROWS, durable, hinted
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, order: str, value: str, strict: bool = False, within: str | None = None) -> DataFrame:
@@ -51,6 +54,60 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, "_row.*")
 
 
+#: Code points that are looked through at once.
+CODES_AT_ONCE = 1 << 19
+
+
+def _marks(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """For each window of n code points a number below 2 ** bits."""
+    mark = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+    for k in range(n):
+        mark *= np.uint64(0x9E3779B97F4A7C15)
+        mark += codes[k : len(codes) - n + 1 + k]
+    mark ^= mark >> np.uint64(29)
+    return (mark * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _may_hold(wanted: DataFrame, count: int, n: int):
+    """A function that gives of a text's n-grams (the whole text where it is shorter) those that a table of marks of wanted(gram) allows.
+
+    It leaves out none that is wanted, and one in 64 of the others stays at most, so a join must follow.
+    """
+    bits = max(16, (64 * count).bit_length())
+
+    @F.pandas_udf(LongType())
+    def mark(grams: pd.Series) -> pd.Series:
+        return pd.Series(_marks(_codes("".join(grams)), n, bits)[::n].astype(np.int64))
+
+    table = np.zeros(1 << bits, bool)
+    # A gram of other than n characters is a whole text, which none of n is equal to.
+    table[wanted.where(F.length("gram") == n).select(mark("gram").alias("m")).toArrow()["m"].to_numpy()] = True
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        table, out = shared.value, []
+        own = [x or "" for x in texts]
+        # All texts of a batch in a row, some at a time; windows that reach over a text's end are left out below.
+        row, hits = "".join(own), [np.zeros(0, np.int64)]
+        for at in range(0, len(row), CODES_AT_ONCE):
+            marks = _marks(_codes(row[at : at + CODES_AT_ONCE + n - 1]), n, bits)
+            hits.append(at + np.flatnonzero(table[(marks >> np.uint64(3)).astype(np.int64)] >> (marks & np.uint64(7)).astype(np.uint8) & 1))
+        hits = np.concatenate(hits)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        first = np.searchsorted(hits, starts)
+        for k, x in enumerate(own):
+            at = (hits[first[k] : first[k + 1]] - starts[k]).tolist() if len(x) >= n else []
+            out.append([x[i : i + n] for i in at if i + n <= len(x)] if len(x) >= n else [x] if x else [])
+        return pd.Series(out, dtype="object")
+
+    return run
+
+
 def containment(lines: DataFrame, corpus: DataFrame, n: int = 8) -> DataFrame:
     """For each line (line_id, line) the corpus item (item_id, text) that holds most of its n-grams: line_id, item_id, hits, share.
 
@@ -58,8 +115,10 @@ def containment(lines: DataFrame, corpus: DataFrame, n: int = 8) -> DataFrame:
     """
     own = durable(lines.select("line_id", T.grams(F.col("line"), n).alias("g")).where(F.size("g") > 0).select("line_id", F.size("g").alias("size"), F.explode("g").alias("gram")))
     # Of the corpus only those grams are kept that a line has, before they are made distinct.
-    wanted = hinted(durable(own.select("gram").distinct()))
-    theirs = corpus.select("item_id", F.explode(T.gram_list(F.col("text"), n)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
+    wanted = durable(own.select("gram").distinct())
+    count = wanted.count()
+    grams = T.gram_list(F.col("text"), n) if count > BROADCAST_ROWS else _may_hold(wanted, count, n)(F.col("text"))
+    theirs = corpus.select("item_id", F.explode_outer(grams).alias("gram")).join(hinted(wanted), "gram", "left_semi").distinct()
     hits = own.join(theirs, "gram").groupBy("line_id", "size", "item_id").agg(F.count("*").alias("hits"))
     best = hits.groupBy("line_id", "size").agg(F.max(F.struct("hits", (-F.col("item_id")).alias("i"))).alias("best"))
     return best.select("line_id", (-F.col("best.i")).alias("item_id"), F.col("best.hits").alias("hits"), (F.col("best.hits") / F.col("size")).alias("share"))

@@ -88,6 +88,28 @@ def test_containment_and_coverage(spark):
     assert joins.latest(rows, ["name"], [F.col("prio")]).first()["v"] == "patch"
 
 
+def test_containment_looks_for_marks_first(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdeé語😀") for _ in range(k))
+    lines = [(k, word(rng.choice((2, 5, 9)))) for k in range(30)] + [(90, ""), (91, None)]
+    texts = [(k, word(rng.randrange(60))) for k in range(200)] + [(500 + k, t) for k, t in lines] + [(800, "x" + lines[1][1] + "\n"), (801, None)]
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)} if len(t) >= 4 else {t} - {""}
+    want = {}
+    for k, line in lines:
+        hits = max(((len(grams(line or "") & grams(t or "")), -i) for i, t in texts), default=(0, 0))
+        if hits[0]:
+            want[k] = (-hits[1], hits[0], hits[0] / len(grams(line)))
+    a, b = spark.createDataFrame(lines, "line_id int, line string"), spark.createDataFrame(texts, "item_id int, text string").repartition(3)
+    for name, value in (("CODES_AT_ONCE", 1 << 19), ("CODES_AT_ONCE", 11), ("BROADCAST_ROWS", 5)):
+        monkeypatch.setattr(joins, name, value)
+        assert {r["line_id"]: (r["item_id"], r["hits"], r["share"]) for r in joins.containment(a, b, 4).collect()} == want
+    # Few grams that no line has leave the task that makes them.
+    wanted = spark.createDataFrame([("abcd",), ("ab",)], "gram string")
+    far = "".join(rng.choice("efgh") for _ in range(5000))
+    got = spark.createDataFrame([(far + "abcd" + far,), ("ab",), ("",), (None,)], "text string").select(joins._may_hold(wanted, 2, 4)(F.col("text")).alias("g")).collect()
+    assert "abcd" in got[0]["g"] and len(got[0]["g"]) < 200 and [r["g"] for r in got[1:]] == [["ab"], [], []]
+
+
 EVENTS = "doc_id long, pos long, kind string, text string"
 
 
