@@ -110,6 +110,22 @@ def test_containment_looks_for_marks_first(spark, monkeypatch):
     assert "abcd" in got[0]["g"] and len(got[0]["g"]) < 200 and [r["g"] for r in got[1:]] == [["ab"], [], []]
 
 
+def test_findings_of_rows_that_tell_their_declarations(spark):
+    texts = ["a", "〓 \ufffd \"x", "ｦ\n･", "\ue000\n\uf8ff", "「a\nab_c\n:x:", "A/b.png\n|a/b\nAB_C", "<b>x\n@name", "#Name[1]\n&&\n＆＆", "\\n\n**AB\n${x}\n{x}", "語" * 201, "é" * 300 + "語" * 51, "é" * 300 + "語" * 50, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    declared = docs.select("doc_id", F.array(F.lit("a")).alias("allowed"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("é"))).alias("ledger"))
+    found = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    own = rules.findings(docs.join(declared, "doc_id").localCheckpoint())
+    assert found(own) == found(rules.findings(docs, declared=declared))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    by = {k: {r["rule_id"] for r in own.collect() if r["doc_id"] == k} for k in range(len(texts))}
+    hits = {
+        1: {"Q3_replacement_character", "Q4_geta_mark", "Q14_double_quote"}, 2: {"Q6_half_width_kana", "Q7_half_width_punctuation"}, 3: {"Q8_private_use"}, 4: {"Q10_unbalanced_quote", "Q11_resource_label", "Q11_inline_code"},
+        5: {"Q11_resource_path", "Q11_numbered_resource", "Q11_upper_code"}, 6: {"Q12_inline_markup", "Q32_unresolved_macro"}, 7: {"Q32_unresolved_macro"}, 8: {"Q32_unresolved_macro"}, 9: {"Q30_wide_line"}, 10: {"Q30_wide_line"},
+    }
+    assert all(want <= by[k] for k, want in hits.items()) and "Q30_wide_line" not in by[11]
+
+
 EVENTS = "doc_id long, pos long, kind string, text string"
 
 
